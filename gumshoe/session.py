@@ -20,6 +20,7 @@ def get_spark(app: str = "gumshoe", master: str | None = None, **conf: str) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
     }
