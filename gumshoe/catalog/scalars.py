@@ -457,7 +457,8 @@ def fn_parse_points(spark, sf):
     + f" from (select doc_id, {_TOKENS} as t from documents))",
 )
 def lang_score(spark, sf):
-    scored = table(spark, sf, "documents").select("doc_id", language.language_score(col("text")).alias("s"))
+    words = table(spark, sf, "documents").select("doc_id", text.tokens(col("text")).alias("w"))
+    scored = words.select("doc_id", language.language_score(col("w")).alias("s"))
     counts = [col("s")[k].cast("bigint").alias("n_" + k) for k in language.STOP_WORDS]
     return scored.select("doc_id", language.detect_language(col("s")).alias("lang"), *counts)
 

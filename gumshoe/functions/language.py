@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.functions.text import tokens
@@ -17,15 +17,13 @@ STOP_WORDS = {
 ALL_STOP_WORDS = sorted({w for words in STOP_WORDS.values() for w in words})
 
 
-def language_score(text: Column) -> Column:
-    """Map language -> number of tokens that are stop words of it."""
-    words = tokens(text)
+def language_score(words: Column) -> Column:
+    """Struct with the number of tokens that are stop words of each language."""
 
     def hits(stops: list[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*stops)))
 
-    pairs = [x for language, stops in STOP_WORDS.items() for x in (F.lit(language), hits(stops))]
-    return F.create_map(*pairs)
+    return F.struct(*[hits(stops).alias(language) for language, stops in STOP_WORDS.items()])
 
 
 def detect_language(scores: Column) -> Column:
@@ -35,3 +33,13 @@ def detect_language(scores: Column) -> Column:
     for language in reversed(STOP_WORDS):
         out = F.when(scores[language] == best, F.lit(language)).otherwise(out)
     return F.when(best > 0, out)
+
+
+def with_language(df: DataFrame, text: str = "text", out: str = "lang") -> DataFrame:
+    """Adds the detected language. Tokens and scores are columns of their own, so each text is
+    tokenised once."""
+    columns = [c for c in df.columns if c != out]
+    scored = df.select(*columns, tokens(F.col(text)).alias("_words")).select(
+        *columns, language_score(F.col("_words")).alias("_scores")
+    )
+    return scored.select(*columns, detect_language(F.col("_scores")).alias(out))

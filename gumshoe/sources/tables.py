@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a table of few files, whose rows are costly to work on. A table of many
+    files is left alone: it is read in parallel anyway, and needs no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> Column:
     return table(spark, sf_dir, name).agg(F.count(F.lit(1))).scalar()
 
@@ -205,7 +212,7 @@ def quest_from_tables(spark: SparkSession, sf_dir: str) -> Quest:
 
 def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source texts: (source, text, lang, peer)."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         _key("source.d", F.col("doc_id")).alias("source"),
         "text",
         "lang",
