@@ -4,7 +4,7 @@ from importlib import import_module
 
 from gumshoe.catalog.registry import ORACLE, QUERIES
 
-AREAS = ("graph", "scalars", "analysis", "searching", "accounts", "upkeep")
+AREAS = ("graph", "scalars", "analysis", "searching", "accounts", "upkeep", "stores")
 
 
 def load():

@@ -110,3 +110,13 @@ def channel_latest(videos: DataFrame, channel: str, position: str, limit: str |
     if isinstance(limit, int):
         return top_per_group(videos, [channel], [F.asc(position)], limit)
     return videos.where(F.col(limit).isNull() | (F.col(position) < F.col(limit)))
+
+
+def timeline(events: DataFrame) -> DataFrame:
+    """(place, begin, label, side) of the dated events: one label per date, the last event by
+    name winning; labels alternate above and below in date order."""
+    dated = events.where(F.col("begin").isNotNull())
+    last = dated.groupBy("begin").agg(F.max_by("short", "name").alias("label"))
+    placed = ranked(last, [F.asc("begin")], name="place")
+    side = F.when(F.col("place") % 2 == 1, "above").otherwise("below")
+    return placed.select("place", "begin", "label", side.alias("side"))
