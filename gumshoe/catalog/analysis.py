@@ -12,6 +12,7 @@ from gumshoe.functions import language
 from gumshoe.functions.text import tokens
 from gumshoe.operators import mentions as m
 from gumshoe.operators import words as w
+from gumshoe.session import pin
 from gumshoe.sources.tables import quest_from_tables, table, text_docs
 
 # --- dictionaries: labels are words of the benchmark passages, which the documents quote ----
@@ -103,7 +104,8 @@ def ident_mentions(spark, sf):
 
 
 def mention_rows(spark, sf):
-    return m.mention_table(idents=ident_mentions(spark, sf))
+    """The stored result of an analysis run: written once, then read by every later question."""
+    return pin(m.mention_table(idents=ident_mentions(spark, sf)))
 
 
 @query("phrase_dict", with_views("select phrase, key from dict_idents", "dict_idents"))
@@ -227,7 +229,7 @@ def word_counts_listed(spark, sf):
 VIEWS["found_people"] = (
     ("dict_idents", "dict_countries"),
     r"""select 'source.d' || doc_id as source, person, count(*) as n from (
-        select doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+\s+[A-Z][a-z]+\b')) as person from documents)
+        select doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g'), '\b[A-Z][a-z]+\s+[A-Z][a-z]+\b')) as person from documents)
         where lower(person) not in (select phrase from dict_idents) and lower(person) not in (select phrase from dict_countries)
         group by 1, 2""",
 )
@@ -238,7 +240,7 @@ def _people(spark, sf):
     return m.people(text_docs(spark, sf), idents=idents, countries=countries)
 
 
-@query("people")
+@query("people", with_views("select source, person, n from found_people", "found_people"))
 def people(spark, sf):
     return _people(spark, sf)
 
@@ -448,7 +450,10 @@ def missing_relations(spark, sf):
     return m.missing_relations(quest_from_tables(spark, sf), mention_rows(spark, sf), STARTS)
 
 
-@query("suggest_idents")
+@query(
+    "suggest_idents",
+    with_views("select distinct replace(person, ' ', '') as name, person as label from found_people", "found_people"),
+)
 def suggest_idents(spark, sf):
     return m.suggest_idents(_people(spark, sf))
 

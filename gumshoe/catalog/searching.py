@@ -185,7 +185,7 @@ def search_synonyms(spark, sf):
     ),
 )
 def search_spelling(spark, sf):
-    words = index.vocabulary(index.index_terms(index.fields(corpus(spark, sf))))
+    words = index.vocabulary(index.term_counts(index.fields(corpus(spark, sf))))
     return search.search_spelling(words, "ingorr qeu zzzzzzzzzz")
 
 
@@ -269,7 +269,7 @@ def facet_terms(spark, sf):
     ),
 )
 def top_terms(spark, sf):
-    return index.top_terms(index.index_terms(index.fields(corpus(spark, sf))), stop_words=["the", "que", "les"])
+    return index.top_terms(index.term_counts(index.fields(corpus(spark, sf))), stop_words=["the", "que", "les"])
 
 
 @query(

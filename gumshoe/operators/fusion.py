@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gumshoe.functions.arrays import unnest
 from gumshoe.functions.urls import safe_url
 from gumshoe.operators.index import search_tokens
 from gumshoe.operators.ranking import ranked, top_per_group
 from gumshoe.operators.search import bm25, field_hits, query_words
+from gumshoe.session import pin
 
 KEYWORDS, ENTITIES = 300, 500
 
@@ -54,13 +56,13 @@ def fuse_results(
 def peer_vocabulary(docs: DataFrame, peer: str = "peer") -> DataFrame:
     """Published words (peer, term): the most frequent terms and the words of entity labels."""
     words = docs.select(peer, "doc", search_tokens(F.col("data")).alias("_t"))
-    terms = words.select(peer, F.explode(F.array_distinct("_t")).alias("term"))
+    terms = unnest(words, F.array_distinct("_t"), "term", peer)
     terms = terms.where((F.length("term") >= 3) & F.col("term").rlike(r"^\p{L}+$"))
     freq = terms.groupBy(peer, "term").agg(F.count(F.lit(1)).alias("df"))
     keywords = top_per_group(freq, [peer], [F.desc("df"), F.asc("term")], KEYWORDS).select(peer, "term")
     labels = docs.select(peer, F.lower("title").alias("label")).distinct()
     labels = top_per_group(labels, [peer], [F.asc("label")], ENTITIES)
-    entities = labels.select(peer, F.explode(F.split("label", r"\s+", -1)).alias("term"))
+    entities = unnest(labels, F.split("label", r"\s+", -1), "term", peer)
     return keywords.union(entities).distinct()
 
 
@@ -95,7 +97,7 @@ def peer_search(
             chosen = chosen.union(own).distinct()
         docs = docs.join(chosen, peer, "left_semi")
     words = query_words(query)
-    rows = field_hits(docs, words).join(docs.select("doc", peer), "doc")
+    rows = pin(field_hits(docs, words).join(docs.select("doc", peer), "doc"))
     lengths = rows.where("term = ''").select("doc", peer, F.col("tf").alias("doc_len"))
     scored = bm25(rows.where("term <> ''"), lengths, words, by=peer)
     best = top_per_group(scored, [peer], [F.desc("score"), F.asc("doc")], limit_per_peer)

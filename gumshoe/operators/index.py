@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gumshoe.functions.arrays import unnest
 from gumshoe.functions.lists import joined
 from gumshoe.functions.text import fold_accents, sanitize_description, sanitize_label, tokens
 from gumshoe.operators.attributes import effective_cats, effective_country, source_url
@@ -124,13 +125,18 @@ def stem(term: Column) -> Column:
     return F.regexp_replace(term, f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
 
 
-def index_terms(field_rows: DataFrame) -> DataFrame:
-    """Postings (doc, term, tf, doc_len). Terms are counted per document before the shuffle;
-    the length is the sum of the counts."""
+def term_counts(field_rows: DataFrame) -> DataFrame:
+    """(doc, term, tf): counted per document in each task before the shuffle."""
     split = field_rows.select("doc", "weight", search_tokens(F.col("text")).alias("_t"))
-    words = split.select("doc", "weight", F.explode("_t").alias("term"))
-    counts = words.groupBy("doc", "term").agg(F.sum("weight").alias("tf"))
-    lengths = split.groupBy("doc").agg(F.sum(F.size("_t") * F.col("weight")).alias("doc_len"))
+    words = unnest(split, "_t", "term", "doc", "weight")
+    return words.groupBy("doc", "term").agg(F.sum("weight").alias("tf"))
+
+
+def index_terms(field_rows: DataFrame) -> DataFrame:
+    """Postings (doc, term, tf, doc_len); the length is the sum of the counts."""
+    counts = term_counts(field_rows)
+    # From the same counts, so that the texts are split once and the shuffle is reused.
+    lengths = counts.groupBy("doc").agg(F.sum("tf").alias("doc_len"))
     return counts.join(lengths, "doc")
 
 

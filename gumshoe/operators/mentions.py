@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gumshoe.functions.arrays import unnest
 from gumshoe.functions.permute import word_permutations
 from gumshoe.functions.text import capitalised_names, clean_text, sanitize_label, tokens
 from gumshoe.operators.attributes import inherit_org_cats
@@ -27,33 +28,41 @@ def phrase_dict(entities: DataFrame, label: str = "label", altlabels: str | None
             F.coalesce(altlabels, F.array().cast("array<string>")), lambda a: word_permutations(F.trim(a), 3)
         )
         phrases = F.array_distinct(F.concat(phrases, F.flatten(others)))
-    return entities.select("name", F.explode(phrases).alias("phrase")).groupBy("phrase").agg(F.min("name").alias("key"))
+    return unnest(entities, phrases, "phrase", "name").groupBy("phrase").agg(F.min("name").alias("key"))
 
 
 def phrase_dict_desc(entities: DataFrame, label: str = "label", description: str = "description") -> DataFrame:
     """The older variant: word orders of the label and of the description, both up to 4 words."""
     texts = F.array(sanitize_label(F.col(label)), sanitize_label(F.coalesce(description, label)))
     phrases = F.flatten(F.transform(texts, lambda t: word_permutations(t, MAX_WORDS)))
-    return (
-        entities.select("name", F.explode(F.array_distinct(phrases)).alias("phrase"))
-        .groupBy("phrase")
-        .agg(F.min("name").alias("key"))
-    )
+    rows = unnest(entities, F.array_distinct(phrases), "phrase", "name")
+    return rows.groupBy("phrase").agg(F.min("name").alias("key"))
 
 
-def ngrams(words: Column, up_to: int) -> Column:
-    """All runs of 1..`up_to` words. `words` should be a plain column (see `match_phrases`)."""
+def ngrams(words: Column, starts: Column, up_to: int) -> Column:
+    """Runs of 1..`up_to` words from the given 1-based starts. Both should be plain columns
+    (see `match_phrases`)."""
     size = F.size(words)
 
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), size - n + 1)
-        return F.when(
-            size >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        ).otherwise(F.array().cast("array<string>"))
+        fitting = F.filter(starts, lambda i: i + n - 1 <= size)
+        return F.transform(fitting, lambda i: F.array_join(F.slice(words, i, n), " "))
 
     return F.flatten(F.array(*[runs(n) for n in range(1, up_to + 1)]))
 
 
+def _starts(dictionary: DataFrame) -> Column:
+    """Where in `_w` a phrase may start: where a first word of the dictionary stands. Beyond
+    `LITERAL_PHRASES` first words every place counts; the join then decides alone."""
+    places = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"))).otherwise(F.array().cast("array<int>"))
+    firsts = dictionary.select(F.substring_index("phrase", " ", 1).alias("w")).distinct()
+    rows = firsts.limit(LITERAL_PHRASES + 1).collect()
+    if len(rows) > LITERAL_PHRASES or not rows:
+        return places
+    known = [r.w for r in rows]
+    return F.filter(places, lambda i: F.get("_w", i - 1).isin(*known))
+
+
 def match_phrases(
     docs: DataFrame, dictionary: DataFrame, occurrences: bool = False, key: str = "source", text: str = "text"
 ) -> DataFrame:
@@ -67,8 +76,9 @@ def match_phrases(
     # again for every element.
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
     inner = words.select(key, F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))).alias("_w"))
-    runs = ngrams(F.col("_w"), MAX_WORDS)
-    found = inner.select(key, F.explode(runs if occurrences else F.array_distinct(runs)).alias("phrase"))
+    inner = inner.withColumn("_s", _starts(dictionary))
+    runs = ngrams(F.col("_w"), F.col("_s"), MAX_WORDS)
+    found = unnest(inner, runs if occurrences else F.array_distinct(runs), "phrase", key)
     hits = found.join(dictionary, "phrase")
     if not occurrences:
         return hits.groupBy(key, "key").agg(F.count(F.lit(1)).alias("n"))
@@ -97,9 +107,7 @@ def match_substrings(docs: DataFrame, dictionary: DataFrame, key: str = "source"
         return docs.select(key, F.lit("").alias("key"), F.lit(0).cast("bigint").alias("n")).where("false")
     pairs = F.array(*[F.struct(F.lit(r.phrase).alias("phrase"), F.lit(r.key).alias("key")) for r in rows])
     cleaned = docs.select(key, clean_text(F.col(text)).alias("_clean"))
-    hits = cleaned.select(
-        key, F.explode(F.filter(pairs, lambda p: F.contains(F.col("_clean"), p["phrase"]))).alias("hit")
-    )
+    hits = unnest(cleaned, F.filter(pairs, lambda p: F.contains(F.col("_clean"), p["phrase"])), "hit", key)
     return hits.groupBy(key, F.col("hit.key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -109,7 +117,7 @@ def match_substrings_by_gram(docs: DataFrame, dictionary: DataFrame, key: str =
     cleaned = docs.select(key, clean_text(F.col(text)).alias("_clean"))
     spelled = cleaned.select(key, F.split("_clean", "", -1).alias("_chars"))
     grams = F.flatten(F.array(*[_grams(F.col("_chars"), n) for n in (1, 2, 3)]))
-    keyed = spelled.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    keyed = unnest(spelled, F.array_distinct(grams), "_gram", key)
     wanted = dictionary.withColumn("_gram", F.substring("phrase", 1, 3))
     candidates = keyed.join(wanted, "_gram").select(key, "phrase", "key")
     hits = candidates.join(cleaned, key).where(F.contains("_clean", F.col("phrase")))
@@ -147,7 +155,7 @@ def people(docs: DataFrame, key: str = "source", text: str = "text", **lists: Da
     """(source, person, n): capitalised two-word names, counted after `flt_bad_names`.
 
     Counting comes first: the anti joins then see each (source, name) once."""
-    found = docs.select(key, F.explode(capitalised_names(F.col(text))).alias("person"))
+    found = unnest(docs, capitalised_names(F.col(text)), "person", key)
     counted = found.where(F.length("person") > 2).groupBy(key, "person").agg(F.count(F.lit(1)).alias("n"))
     return flt_bad_names(counted, **lists)
 

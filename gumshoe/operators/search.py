@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gumshoe.functions.arrays import unnest
 from gumshoe.functions import similarity
 from gumshoe.functions.text import context, fold_accents, sanitize_label
 from gumshoe.operators.attributes import source_url
@@ -16,6 +17,7 @@ from gumshoe.operators.index import fields, search_tokens, stem
 from gumshoe.operators.ranking import sort_dated
 from gumshoe.plans.report import get_sources
 from gumshoe.quest import Quest
+from gumshoe.session import pin
 
 # BM25 constants, the floor of the length norm, and the smallest idf.
 K1, B, MIN_NORM, MIN_IDF = 1.2, 0.3, 0.5, 1e-6
@@ -40,13 +42,12 @@ def field_hits(docs: DataFrame, words: Sequence[str], weighted: bool = False) ->
     """
     split = fields(docs, weighted).select("doc", "weight", search_tokens(F.col("text")).alias("_t"))
     hits = F.filter("_t", lambda w: w.isin(*words))
-    counted = split.select("doc", "weight", F.size("_t").alias("_n"), hits.alias("_h")).select(
-        "doc", "weight",
-        F.explode(F.concat(
-            F.array(F.struct(F.lit("").alias("term"), F.col("_n").alias("n"))),
-            F.transform("_h", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"))),
-        )).alias("e"),
+    found = split.select("doc", "weight", F.size("_t").alias("_n"), hits.alias("_h"))
+    entries = F.concat(
+        F.array(F.struct(F.lit("").alias("term"), F.col("_n").alias("n"))),
+        F.transform("_h", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"))),
     )
+    counted = unnest(found, entries, "e", "doc", "weight")
     return counted.groupBy("doc", F.col("e.term").alias("term")).agg(
         F.sum(F.col("e.n") * F.col("weight")).alias("tf")
     )
@@ -92,7 +93,8 @@ def search_bm25(
     words = query_words(query)
     if synonyms is not None:
         words = expand_synonyms(synonyms, words)
-    rows = field_hits(docs, words, weighted)
+    # Hits, lengths and statistics all come from here: written once, the texts are read once.
+    rows = pin(field_hits(docs, words, weighted))
     lengths = rows.where("term = ''").select("doc", F.col("tf").alias("doc_len"))
     scored = bm25(rows.where("term <> ''"), lengths, words, op)
     found = docs.drop("data").join(scored, "doc")
@@ -120,9 +122,8 @@ def synonym_pairs(docs: DataFrame) -> DataFrame:
     variants = docs.select("doc", F.array_distinct(F.filter(
         F.transform(F.concat(F.array("title"), others), lambda x: F.lower(fold_accents(x))), lambda x: x != ""
     )).alias("_v"))
-    return variants.select("doc", "_v", F.explode("_v").alias("variant")).select(
-        "variant", "doc", F.explode("_v").alias("other")
-    ).where(F.col("variant") != F.col("other"))
+    each = unnest(variants, "_v", "variant", "doc", "_v")
+    return unnest(each, "_v", "other", "variant", "doc").where(F.col("variant") != F.col("other"))
 
 
 def expand_synonyms(pairs: DataFrame, words: Sequence[str]) -> list[str]:
@@ -236,7 +237,7 @@ def phonetic_duplicates(idents: DataFrame, low: float = 0.93) -> DataFrame:
     # The shortest partner has m characters at least: m >= (need - 1) * n.
     keep = (F.col("n") - F.ceil((need - 1) * F.col("n")) + 1).cast("int")
     prefixed = spelled.select("low", "code", "n", ordered.alias("t")).withColumn("_keep", keep)
-    keyed = prefixed.select("low", "code", "n", "t", F.explode(F.slice("t", 1, F.greatest("_keep", F.lit(1)))).alias("tok"))
+    keyed = unnest(prefixed, F.slice("t", 1, F.greatest("_keep", F.lit(1))), "tok", "low", "code", "n", "t")
     other = keyed.select(F.col("low").alias("low_b"), "code", F.col("n").alias("n_b"), F.col("t").alias("t_b"), "tok")
     common = F.size(F.array_intersect("t", "t_b"))
     met = keyed.join(other, ["code", "tok"]).where(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gumshoe.functions.arrays import unnest
 from gumshoe.functions.language import STOP_WORDS
 from gumshoe.functions.text import capitalised_names, hashtags, letter_tokens, mentions, tokens
 from gumshoe.operators.ranking import carry_forward, top_per_group
@@ -57,7 +58,7 @@ def account_summary(posts: DataFrame) -> DataFrame:
 def compound(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(cid, compound): summed polarity of the listed words, squashed to -1..1; 0 without any."""
     split = posts.select("cid", tokens(F.col("text")).alias("_t"))
-    words = split.select("cid", F.explode("_t").alias("word"))
+    words = unnest(split, "_t", "word", "cid")
     sums = words.join(lexicon.select("word", "polarity"), "word").groupBy("cid").agg(F.sum("polarity").alias("_s"))
     value = F.coalesce("_s", F.lit(0.0))
     return posts.select("cid").join(sums, "cid", "left").select("cid", (value / F.sqrt(value * value + 15)).alias("compound"))
@@ -78,7 +79,7 @@ def insult_hits(posts: DataFrame, swear: DataFrame) -> DataFrame:
     """(did, cid, kind, word): listed words per post, each once. Tokens are made distinct in the
     row, so the join sees a word once per post."""
     split = posts.select("did", "cid", post_kind().alias("kind"), F.array_distinct(letter_tokens(F.col("text"))).alias("_t"))
-    words = split.select("did", "cid", "kind", F.explode("_t").alias("word"))
+    words = unnest(split, "_t", "word", "did", "cid", "kind")
     return words.join(swear.select("word").distinct(), "word", "left_semi")
 
 
@@ -136,7 +137,7 @@ def word_frequency(posts: DataFrame, top: int = 20, min_length: int = 3, swear:
     """(did, word, n): most frequent words of each account, stop words (and swear words) out."""
     split = posts.select("did", letter_tokens(F.col("text")).alias("_t"))
     kept = F.filter("_t", lambda w: (F.length(w) >= min_length) & ~w.isin(*POST_STOP_WORDS))
-    words = split.select("did", F.explode(kept).alias("word"))
+    words = unnest(split, kept, "word", "did")
     counts = words.groupBy("did", "word").agg(F.count(F.lit(1)).alias("n"))
     if swear is not None:
         counts = counts.join(swear.select("word").distinct(), "word", "left_anti")
@@ -146,14 +147,12 @@ def word_frequency(posts: DataFrame, top: int = 20, min_length: int = 3, swear:
 def account_top(posts: DataFrame, top: int = 20, swear: DataFrame | None = None) -> DataFrame:
     """(did, kind, key, n): top words, hashtags, mentions and entities in one table."""
     text = F.col("text")
-    split = posts.select(
-        "did",
-        F.explode(F.array(
-            F.struct(F.lit("hashtag").alias("kind"), hashtags(text).alias("keys")),
-            F.struct(F.lit("mention").alias("kind"), mentions(text).alias("keys")),
-            F.struct(F.lit("entity").alias("kind"), capitalised_names(text).alias("keys")),
-        )).alias("f"),
-    ).select("did", "f.kind", F.explode("f.keys").alias("key"))
+    found = F.array(
+        F.struct(F.lit("hashtag").alias("kind"), hashtags(text).alias("keys")),
+        F.struct(F.lit("mention").alias("kind"), mentions(text).alias("keys")),
+        F.struct(F.lit("entity").alias("kind"), capitalised_names(text).alias("keys")),
+    )
+    split = unnest(unnest(posts, found, "f", "did"), "f.keys", "key", "did", "f.kind")
     counts = split.groupBy("did", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
     ranked = top_per_group(counts, ["did", "kind"], [F.desc("n"), F.asc("key")], top)
     words = word_frequency(posts, top, swear=swear)

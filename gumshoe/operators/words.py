@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gumshoe.functions.arrays import unnest
 from gumshoe.functions.language import STOP_WORDS, detect_language, language_score
 from gumshoe.functions.text import tokens
 from gumshoe.operators.ranking import first_by_key, top_per_group
@@ -49,7 +50,7 @@ def word_counts(
     if not lang:
         split = split.withColumn("_s", language_score(F.col("_t")))
         split = split.withColumn("_lang", detect_language(F.col("_s")))
-    words = split.select(key, F.explode(topic_words(F.col("_t"), F.col("_lang"))).alias("word"))
+    words = unnest(split, topic_words(F.col("_t"), F.col("_lang")), "word", key)
     counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     if bad is not None:
         counts = counts.join(bad.select("word").distinct(), "word", "left_anti")

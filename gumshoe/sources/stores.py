@@ -138,7 +138,7 @@ TEXT_SCHEMA = T.StructType(
 )
 
 
-def stored_json(spark: SparkSession, schema: T.StructType, store: str | Sequence[str], cache: str | Sequence[str]) -> DataFrame:
+def stored_json(spark: SparkSession, schema: T.StructType | str, store: str | Sequence[str], cache: str | Sequence[str]) -> DataFrame:
     """One JSON document per file from two folders: (source, origin, ...fields), the store's
     document winning over the cache's. Files are found in parallel by Spark."""
 
@@ -168,7 +168,7 @@ def read_text_docs(spark: SparkSession, store, cache) -> DataFrame:
 
 
 _PAIRS = "array<array<string>>"
-ANALYSIS_SCHEMA = T.StructType.fromDDL(
+ANALYSIS_SCHEMA = (
     "mood struct<sentiment_general: string, polarite: double, subjectivite: double, "
     "scores_vader: struct<positif: double, neutre: double, negatif: double, compose: double>>, "
     f"words struct<commons: {_PAIRS}, lists: {_PAIRS}>, people struct<commons: {_PAIRS}>, "

@@ -224,7 +224,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Social posts: one per event, with a benchmark passage, a tag and a mention as text."""
     users = table(spark, sf_dir, "events").agg(F.max("user_id") + 1).scalar()
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"), "event_id")
     parent = F.get_json_object("props", "$.k").cast("bigint")
     return (
         events.withColumn("item_id", F.col("event_id") % row_count(spark, sf_dir, "benchmark"))

@@ -47,7 +47,8 @@ def profile_changes(snapshots: DataFrame, key: str = "did", time: str = "taken_a
                         (keys[0], row[1], f, o, n) for f, o, n in zip(fields, last[1:], now) if o != n
                     ]
                 last = [row[1], *now]
-            yield pd.DataFrame(changes, columns=[key, time, "field", "old", "new"])
+            if changes:
+                yield pd.DataFrame(changes, columns=[key, time, "field", "old", "new"])
         if last is not None:
             state.update(tuple(last))
 
