@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def fold_accents(text: Column) -> Column:
 
 def fold_unicode():
     """Pandas UDF: compatibility decomposition, marks dropped. For what `translate` misses."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         plain = texts.str.normalize("NFKD")

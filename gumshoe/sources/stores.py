@@ -294,8 +294,24 @@ def read_wordlists(spark: SparkSession, folder: str, cats: Sequence[str] = (), k
     one list per category. Kinds: __all__, __badwords__, __badpeoples__, __badcountries__."""
     suffix = "" if kind == "__all__" else kind.rstrip("_")
     names = [kind, *[c + suffix for c in cats]]
-    lines = spark.read.option("pathGlobFilter", "*.txt").text(folder)
-    return wordlists(lines.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("list"), "value"), names)
+    rows = [(n, line) for n in names for line in _small_file(spark, f"{folder}/{n}.txt").splitlines()]
+    return wordlists(spark.createDataFrame(rows, "list string, value string"), names)
+
+
+def _small_file(spark: SparkSession, path: str, limit: int = 16 << 20) -> str:
+    """Text of a configuration file, '' when absent. Spark's own readers skip names that begin
+    with an underscore, as these lists do. Larger files than `limit` bytes are refused."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return ""
+    if fs.getFileStatus(where).getLen() > limit:
+        raise ValueError(f"{path} is too large for a word list; pass its lines to wordlists()")
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def wordlists(lines: DataFrame, names: Sequence[str]) -> DataFrame:
