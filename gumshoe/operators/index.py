@@ -140,15 +140,16 @@ def index_terms(field_rows: DataFrame) -> DataFrame:
     return counts.join(lengths, "doc")
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = 64, weighted: bool = False) -> None:
+def write_index(docs: DataFrame, path: str, buckets: int = 64, spread: int = 8, weighted: bool = False) -> None:
     """Store documents, lengths and postings; postings lie in folders by term hash, so a query
     reads only the buckets of its words."""
     docs.write.mode("overwrite").parquet(os.path.join(path, "docs"))
     terms = index_terms(fields(docs, weighted))
     bucketed = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    # Frequent terms are long lists: spread each bucket over several files by document.
+    # A frequent term may hold a good part of the postings: each bucket is cut by document into
+    # `spread` files, more of them for a larger collection.
     (
-        bucketed.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8)))
+        bucketed.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(spread)))
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite")
         .partitionBy("bucket")

@@ -126,9 +126,13 @@ def synonym_pairs(docs: DataFrame) -> DataFrame:
     return unnest(each, "_v", "other", "variant", "doc").where(F.col("variant") != F.col("other"))
 
 
-def expand_synonyms(pairs: DataFrame, words: Sequence[str]) -> list[str]:
-    """The query words plus the words of every variant of an entity one of them names."""
-    rows = pairs.where(F.col("variant").isin(*words)).select("other").distinct().limit(1000).collect()
+def expand_synonyms(pairs: DataFrame, words: Sequence[str], limit: int = 10_000) -> list[str]:
+    """The query words plus the words of every variant of an entity that one of them, or all
+    together, name. A name borne by more than `limit` variants is refused, not cut."""
+    named = [*words, " ".join(words)]
+    rows = pairs.where(F.col("variant").isin(*named)).select("other").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} synonyms; narrow the query")
     extra = [w for r in rows for w in query_words(r.other)]
     return list(dict.fromkeys([*words, *sorted(extra)]))
 
@@ -200,10 +204,11 @@ def search_fuzzy(found: DataFrame, query: str, threshold: float = 70.0, pool: in
 
 
 def phonetic_duplicates(idents: DataFrame, low: float = 0.93) -> DataFrame:
-    """(a, b, label_a, label_b, similarity): idents whose labels start with words of the same
-    sound and are alike, `low` <= Jaro-Winkler < 1.
+    """(label_a, label_b, similarity, a, n_a, b, n_b): labels that start with words of the same
+    sound and are alike, `low` <= Jaro-Winkler < 1, each with its first ident and how many bear
+    it; `label_holders` lists them all.
 
-    Exact without comparing all pairs of a bucket. Equal labels are compared once. A pair can
+    Exact without comparing all pairs of a bucket. A label counts once, whoever bears it. A pair can
     only reach `low` when enough characters agree: Jaro must be at least (low - 0.4) / 0.6, so
     with m common characters m/|a| + m/|b| >= 3*jaro - 1. Hence each label shares a character
     (with its occurrence number) among its rarest few with every partner; labels meet on
@@ -254,20 +259,18 @@ def phonetic_duplicates(idents: DataFrame, low: float = 0.93) -> DataFrame:
         return pd.Series([similarity.jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
     pairs = met.withColumn("similarity", alike("low", "low_b")).where((F.col("similarity") >= low) & (F.col("similarity") < 1))
-    holders = rows.select(F.lower("label").alias("low"), "name", "label")
-    named = pairs.join(holders, "low").join(
-        holders.select(F.col("low").alias("low_b"), F.col("name").alias("name_b"), F.col("label").alias("label_b")), "low_b"
-    )
-    flip = F.col("name") > F.col("name_b")
-    return named.select(
-        F.when(flip, F.col("name_b")).otherwise(F.col("name")).alias("a"),
-        F.when(flip, F.col("name")).otherwise(F.col("name_b")).alias("b"),
-        F.when(flip, F.col("label_b")).otherwise(F.col("label")).alias("label_a"),
-        F.when(flip, F.col("label")).otherwise(F.col("label_b")).alias("label_b"),
-        "similarity",
+    holders = rows.groupBy(F.lower("label").alias("low")).agg(F.min("name").alias("a"), F.count(F.lit(1)).alias("n_a"))
+    other = holders.select(F.col("low").alias("low_b"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    return pairs.join(holders, "low").join(other, "low_b").select(
+        F.col("low").alias("label_a"), F.col("low_b").alias("label_b"), "similarity", "a", "n_a", "b", "n_b"
     )
 
 
+def label_holders(idents: DataFrame) -> DataFrame:
+    """(label, name): the idents behind each lower-case label."""
+    return idents.select(F.lower(sanitize_label(F.col("label"))).alias("label"), "name").distinct()
+
+
 def search_filters(
     quest: Quest,
     texts: DataFrame | None = None,

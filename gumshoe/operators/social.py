@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions.language import STOP_WORDS
 from gumshoe.functions.text import capitalised_names, hashtags, letter_tokens, mentions, tokens
-from gumshoe.operators.ranking import carry_forward, top_per_group
+from gumshoe.operators.ranking import carry_forward, first_by_key, top_per_group
+from gumshoe.session import pin
 
 # Weekday names from Monday.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -229,40 +232,43 @@ def ratio_history(changes: DataFrame, current: DataFrame, now: str | Column) ->
     return known.select("did", "at", F.col("followers_count").alias("followers"), F.col("follows_count").alias("follows"), ratio.alias("ratio"))
 
 
-def thread_text(replies: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(root, did, text): the chain of same-author replies under each root post, joined by lines.
+def thread_text(replies: DataFrame) -> DataFrame:
+    """(root, did, text, replies): the chain of same-author replies under each root post, joined
+    by lines.
 
-    `replies` is (cid, parent, did, created_at, text). At each step the first same-author reply
-    (by time, then id) continues the chain, so a thread grows by one row per round and a round
-    is one equi join; rounds end when no chain grows. Every round is written, so the plan stays
-    flat however long the threads are.
+    `replies` is (cid, parent, did, created_at, text). The first same-author reply to a post (by
+    time, then id) continues its chain, so every chained post has one predecessor. Each post
+    finds its root by jumping twice as far every round: the rounds grow with the logarithm of
+    the longest thread, and every round is one equi join on distinct posts, written so that the
+    plan stays flat.
     """
-    from gumshoe.operators.ranking import first_by_key
-    from gumshoe.session import pin
-
-    own = replies.select("parent", "did", "created_at", "cid", "text").where(F.col("parent").isNotNull())
-    nexts = pin(first_by_key(own, ["parent", "did"], ["created_at", "cid"]))
-    chains = replies.where(F.col("parent").isNull()).select(
-        F.col("cid").alias("root"), "did", F.col("cid").alias("last"), F.lit(0).alias("depth"), "text"
-    )
-    done = [chains]
-    front = chains.select("root", "did", "last")
-    for depth in range(1, max_depth + 1):
-        step = front.join(
-            nexts.select(F.col("parent").alias("last"), "did", F.col("cid").alias("_next"), "text"), ["last", "did"]
-        ).select("root", "did", F.col("_next").alias("last"), F.lit(depth).alias("depth"), "text")
-        step = pin(step)
-        if step.isEmpty():
-            break
-        done.append(step)
-        front = step.select("root", "did", "last")
-    rows = done[0]
-    for step in done[1:]:
-        rows = rows.unionByName(step)
-    # The posts of one thread by one author.
-    return rows.groupBy("root", "did").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("depth", "text")))["text"], "\n").alias("text"),
-        F.max("depth").alias("replies"),
+    posts = pin(replies.select("cid", "parent", "did", "created_at", "text"))
+    answers = posts.where(F.col("parent").isNotNull()).select("parent", "did", "created_at", "cid")
+    chained = first_by_key(answers, ["parent", "did"], ["created_at", "cid"])
+    authors = posts.select(F.col("cid").alias("parent"), "did")
+    links = chained.join(authors, ["parent", "did"], "left_semi")
+    # (cid, up, steps): `up` is the post `steps` before; a root is its own end.
+    ends = posts.where(F.col("parent").isNull()).select("cid", F.col("cid").alias("up"), F.lit(0).alias("steps"))
+    done = [ends]
+    open_ = pin(links.select("cid", F.col("parent").alias("up"), F.lit(1).alias("steps")))
+    while not open_.isEmpty():
+        # Within a thread no two open posts point to the same one, so no key is hot.
+        both = open_.withColumn("_end", F.lit(False)).unionByName(ends.withColumn("_end", F.lit(True)))
+        jump = both.select(F.col("cid").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), "_end")
+        # A predecessor outside every chain drops out: its thread has no root here.
+        moved = pin(
+            open_.join(jump, "up").select(
+                "cid", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), "_end"
+            )
+        )
+        done.append(moved.where("_end").drop("_end"))
+        open_ = moved.where("not _end").drop("_end")
+        ends = reduce(DataFrame.unionByName, done)
+    placed = reduce(DataFrame.unionByName, done).join(posts.select("cid", "did", "text"), "cid")
+    # One thread is one result row: its own posts, in order.
+    return placed.groupBy(F.col("up").alias("root"), "did").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("steps", "text")))["text"], "\n").alias("text"),
+        F.max("steps").alias("replies"),
     )
 
 
@@ -270,8 +276,6 @@ def story_tree(stories: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(root, name, parent, pager): every story under its root, the page number being its depth.
 
     One equi join per level; levels are written so the plan stays flat."""
-    from gumshoe.session import pin
-
     level = stories.where(F.col("parent").isNull()).select(
         F.col("name").alias("root"), "name", "parent", F.lit(1).alias("pager")
     )

@@ -25,8 +25,10 @@ def feed_dedup(posts: DataFrame, key: str = "cid", time: str = "created_at", del
 def profile_changes(snapshots: DataFrame, key: str = "did", time: str = "taken_at") -> DataFrame:
     """(did, taken_at, field, old, new) whenever a field differs from the account's last state.
 
-    State is one row per account, kept without timeout: an account may be silent for long.
-    Arrow batches of one account arrive in pieces, so a busy account is never held whole.
+    State is one row per account, kept without timeout: an account may be silent for long. The
+    snapshots of one account within one trigger are put in time order first; the source's
+    trigger limits (`maxFilesPerTrigger` and the like) bound them. A snapshot older than the
+    state belongs to history already passed and changes nothing.
     """
     fields = [f for f in PROFILE_FIELDS if f in snapshots.columns]
     columns = [key, time, *fields]
@@ -36,19 +38,17 @@ def profile_changes(snapshots: DataFrame, key: str = "did", time: str = "taken_a
 
     def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get) if state.exists else None
-        for batch in batches:
-            changes = []
-            for row in batch[columns].sort_values(time).itertuples(index=False):
-                if last is not None and row[1] < last[0]:
-                    continue
-                now = [None if pd.isna(v) else v for v in row[2:]]
-                if last is not None:
-                    changes += [
-                        (keys[0], row[1], f, o, n) for f, o, n in zip(fields, last[1:], now) if o != n
-                    ]
-                last = [row[1], *now]
-            if changes:
-                yield pd.DataFrame(changes, columns=[key, time, "field", "old", "new"])
+        changes = []
+        rows = pd.concat([batch[columns] for batch in batches]).sort_values(time, kind="stable")
+        for row in rows.itertuples(index=False):
+            if last is not None and row[1] < last[0]:
+                continue
+            now = [None if pd.isna(v) else v for v in row[2:]]
+            if last is not None:
+                changes += [(keys[0], row[1], f, o, n) for f, o, n in zip(fields, last[1:], now) if o != n]
+            last = [row[1], *now]
+        if changes:
+            yield pd.DataFrame(changes, columns=[key, time, "field", "old", "new"])
         if last is not None:
             state.update(tuple(last))
 

@@ -88,10 +88,15 @@ def test_phonetic_duplicates_equal_brute_force(spark):
                 continue
             if 0.93 <= similarity.jaro_winkler(la.lower(), lb.lower()) < 1:
                 want.add((a, b))
-    got = search.phonetic_duplicates(spark.createDataFrame(people, "name string, label string"))
-    pairs = [(r.a, r.b) for r in got.collect()]
-    assert len(pairs) == len(set(pairs))
-    assert set(pairs) == want and len(want) > 50
+    frame = spark.createDataFrame(people, "name string, label string")
+    got = search.phonetic_duplicates(frame).collect()
+    assert len(got) == len({(r.label_a, r.label_b) for r in got})
+    holders = {}
+    for r in search.label_holders(frame).collect():
+        holders.setdefault(r.label, []).append(r.name)
+    pairs = {tuple(sorted((a, b))) for r in got for a in holders[r.label_a] for b in holders[r.label_b]}
+    assert pairs == want and len(want) > 50
+    assert all(r.n_a == len(holders[r.label_a]) and r.b == min(holders[r.label_b]) for r in got)
 
 
 def test_network_counts_equal_pairs(spark):
@@ -136,3 +141,12 @@ def test_thread_text(spark):
     data = [("1", None, "a", 1, "root"), ("2", "1", "b", 2, "other"), ("3", "1", "a", 3, "more"), ("4", "1", "a", 4, "late"), ("5", "3", "a", 5, "end"), ("6", "5", "b", 6, "no")]
     replies = spark.createDataFrame(data, "cid string, parent string, did string, created_at int, text string")
     assert [(r.root, r.text, r.replies) for r in thread_text(replies).collect()] == [("1", "root\nmore\nend", 2)]
+
+
+def test_long_thread(spark):
+    replies = spark.range(300).select(
+        F.col("id").cast("string").alias("cid"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"),
+        F.lit("a").alias("did"), F.col("id").cast("int").alias("created_at"), F.col("id").cast("string").alias("text"),
+    )
+    row = thread_text(replies).first()
+    assert row.replies == 299 and row.text.split("\n") == [str(i) for i in range(300)]
