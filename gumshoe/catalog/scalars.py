@@ -162,7 +162,16 @@ def fn_clean_label(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.clean_label(raw).alias("label"))
 
 
-@query("fn_story_text")
+@query(
+    "fn_story_text",
+    with_views(
+        """select cid, story, length(story)::int as length, length(story) > 298 as too_long from (
+        select cid, array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(
+            list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> ''), lambda w: case when left(w, 1) = '#' then substr(w, 2) else w end), ' ') || chr(10)), '')
+            || substr(cid, 2) || '/' as story from posts)""",
+        "posts",
+    ),
+)
 def fn_story_text(spark, sf):
     numbered = posts(spark, sf).withColumn("page", F.regexp_extract("cid", r"\d+", 0))
     return story.story_text(numbered, page="page").select("cid", "story", "length", "too_long")
@@ -249,7 +258,11 @@ def fn_page_title(spark, sf):
     return html.page_metadata(table(spark, sf, "pages"), this_year=2025).select("page_id", "title")
 
 
-@query("fn_page_description")
+@query(
+    "fn_page_description",
+    """select page_id, left(trim(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<p>(.*?)(?:<p>|</p>|</article>)', 1, 's'),
+        '<[^>]*>', '', 'g'), '&amp;', '&'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>')), 300) as description from pages""",
+)
 def fn_page_description(spark, sf):
     return html.page_metadata(table(spark, sf, "pages"), this_year=2025).select("page_id", "description")
 

@@ -413,7 +413,17 @@ def peer_search(spark, sf):
     return out.select("doc", "peer", F.round("score", 6).alias("score"), F.round("normalized_score", 6).alias("normalized_score"))
 
 
-@query("peer_search_fast")
+@query(
+    "peer_search_fast",
+    with_views(
+        """, best as (select * from peer_scored where peer = 'src0' or peer in (select peer from peer_vocab where term in ('que', 'les', 'éque', 'la'))
+            qualify row_number() over (partition by peer order by round(score, 9) desc, doc) <= 10),
+        placed as (select *, row_number() over (partition by peer order by score desc, doc) as r, count(*) over (partition by peer) as n from best)
+        select doc, peer, round(score, 6) as score, round(ns, 6) as normalized_score from (
+            select *, case when n = 1 then 1.0 else 1.0 - (r - 1)::double / (n - 1) end as ns from placed) order by ns desc, peer, doc limit 50""",
+        "peer_scored", "peer_vocab",
+    ),
+)
 def peer_search_fast(spark, sf):
     out = fusion.peer_search(corpus(spark, sf), QUERY, mode="fast", self_peer="src0", method="rank", total_limit=50)
     return out.select("doc", "peer", F.round("score", 6).alias("score"), F.round("normalized_score", 6).alias("normalized_score"))

@@ -48,6 +48,8 @@ BOT_PHRASES = (
     "activer les cookies",
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Block elements that end an open paragraph.
+BLOCKS = frozenset("address blockquote div dl fieldset form h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 
 
 class _Page(HTMLParser):
@@ -61,12 +63,25 @@ class _Page(HTMLParser):
         self.metas: list[dict[str, str]] = []
         self.first: dict[str, list[str]] = {}
         self.open: dict[str, int] = {}
+        self.stack: list[str] = []
         self.time_attr: str | None = None
         self.hidden = 0
         self.in_title = False
 
+    def _close(self, tag: str) -> None:
+        """Close the innermost open `tag` with everything inside it."""
+        if tag in self.stack:
+            while self.stack.pop() != tag:
+                pass
+            depth = len(self.stack)
+            self.open = {t: d for t, d in self.open.items() if d <= depth}
+
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
+        if tag in BLOCKS:
+            self._close("p")
+        if tag not in VOID:
+            self.stack.append(tag)
         if tag == "title":
             self.in_title = True
         elif tag in ("script", "style"):
@@ -75,18 +90,16 @@ class _Page(HTMLParser):
             self.metas.append(values)
         elif tag in ("h1", "p", "time") and tag not in self.first:
             self.first[tag] = []
-            self.open[tag] = 1
+            self.open[tag] = len(self.stack)
             if tag == "time":
                 self.time_attr = values.get("datetime")
-        elif tag == "p":
-            self.open.pop("p", None)
 
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
         elif tag in ("script", "style"):
             self.hidden = 0
-        self.open.pop(tag, None)
+        self._close(tag)
 
     def handle_data(self, data):
         if self.hidden:
