@@ -10,9 +10,16 @@ from gumshoe.catalog.views import with_views
 from gumshoe.functions import dates, hashes, language, lists, permute, points, story, text, urls
 from gumshoe.operators import filters, ranking
 from gumshoe.sources import html
-from gumshoe.sources.tables import posts, quest_from_tables, table
+from gumshoe.sources.tables import posts, quest_from_tables, spread, table
+
+
+def _documents(spark, sf):
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
+def _pages(spark, sf):
+    return spread(table(spark, sf, "pages"), "page_id")
 
-_SPLIT = "list_filter(string_split({0}, ','), lambda x: x <> '')"
 
 
 @query(
@@ -59,7 +66,7 @@ def fn_sanitize_label(spark, sf):
 @query("fn_fold_accents", "select doc_id, sha256(replace(strip_accents(text), 'ß', 'ss')) as folded from documents")
 def fn_fold_accents(spark, sf):
     folded = text.fold_accents(col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(folded, 256).alias("folded"))
+    return _documents(spark, sf).select("doc_id", F.sha2(folded, 256).alias("folded"))
 
 
 @query(
@@ -67,7 +74,7 @@ def fn_fold_accents(spark, sf):
     r"select doc_id, sha256(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g')) as cleaned from documents",
 )
 def fn_clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(text.clean_text(col("text")), 256).alias("cleaned"))
+    return _documents(spark, sf).select("doc_id", F.sha2(text.clean_text(col("text")), 256).alias("cleaned"))
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
@@ -81,7 +88,7 @@ _LETTERS = f"regexp_extract_all(lower(text), '([{text.WORD_LETTERS}]+)', 1)"
 )
 def fn_tokenize(spark, sf):
     words = text.tokens(col("text"))
-    return table(spark, sf, "documents").select(
+    return _documents(spark, sf).select(
         "doc_id",
         F.size(words).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(words, " "), 256).alias("tokens"),
@@ -105,7 +112,7 @@ def fn_hashtags(spark, sf):
     r"select doc_id, lower(array_to_string(regexp_extract_all(text, '@([\p{L}\p{N}_.\-]+)', 1), ',')) as names from documents",
 )
 def fn_mentions(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", lists.joined(text.mentions(col("text"))).alias("names"))
+    return _documents(spark, sf).select("doc_id", lists.joined(text.mentions(col("text"))).alias("names"))
 
 
 @query("fn_segments")
@@ -142,7 +149,7 @@ _SLUG = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         'sans_titre') as slug from documents""",
 )
 def fn_slugify(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.slugify(col("text")).alias("slug"))
+    return _documents(spark, sf).select("doc_id", text.slugify(col("text")).alias("slug"))
 
 
 @query(
@@ -150,7 +157,7 @@ def fn_slugify(spark, sf):
     r"select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:7], ' ') as head from documents",
 )
 def fn_truncate_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.truncate_words(col("text"), 7).alias("head"))
+    return _documents(spark, sf).select("doc_id", text.truncate_words(col("text"), 7).alias("head"))
 
 
 @query(
@@ -183,7 +190,7 @@ _URL = "url || case page_id % 3 when 0 then '/' when 1 then '?utm=1#top' else ''
 
 @query("fn_clean_url", f"select page_id, {_CLEAN.format('url')} as url from pages")
 def fn_clean_url(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.clean_url(col("url")).alias("url"))
+    return _pages(spark, sf).select("page_id", urls.clean_url(col("url")).alias("url"))
 
 
 @query("fn_normalize_url", f"select page_id, lower(rtrim({_CLEAN.format('u')}, '/')) as url from (select page_id, {_URL} as u from pages)")
@@ -191,7 +198,7 @@ def fn_normalize_url(spark, sf):
     raw = F.concat(
         "url", F.when(col("page_id") % 3 == 0, "/").when(col("page_id") % 3 == 1, "?utm=1#top").otherwise("")
     )
-    return table(spark, sf, "pages").select("page_id", urls.normalize_url(raw).alias("url"))
+    return _pages(spark, sf).select("page_id", urls.normalize_url(raw).alias("url"))
 
 
 _DOMAIN = r"regexp_replace(lower(regexp_extract({0}, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)', 1)), '^www\.', '')"
@@ -199,7 +206,7 @@ _DOMAIN = r"regexp_replace(lower(regexp_extract({0}, '^(?:[a-zA-Z][a-zA-Z0-9+.\-
 
 @query("fn_domain", f"select page_id, coalesce(nullif({_DOMAIN.format('url')}, ''), 'inconnu') as domain from pages")
 def fn_domain(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.domain(col("url")).alias("domain"))
+    return _pages(spark, sf).select("page_id", urls.domain(col("url")).alias("domain"))
 
 
 _UNSAFE = "case page_id % 4 when 0 then replace(url, 'http', 'javascript') else url end"
@@ -211,7 +218,7 @@ _UNSAFE = "case page_id % 4 when 0 then replace(url, 'http', 'javascript') else
 )
 def fn_safe_url(spark, sf):
     raw = F.when(col("page_id") % 4 == 0, F.replace(col("url"), lit("http"), lit("javascript"))).otherwise(col("url"))
-    return table(spark, sf, "pages").select("page_id", urls.safe_url(raw).alias("url"))
+    return _pages(spark, sf).select("page_id", urls.safe_url(raw).alias("url"))
 
 
 def _bsky_url():
@@ -255,7 +262,7 @@ _TITLE = "replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&a
 
 @query("fn_page_title", f"select page_id, trim({_TITLE}) as title from pages")
 def fn_page_title(spark, sf):
-    return html.page_metadata(table(spark, sf, "pages"), this_year=2025).select("page_id", "title")
+    return html.page_metadata(_pages(spark, sf), this_year=2025).select("page_id", "title")
 
 
 @query(
@@ -264,7 +271,7 @@ def fn_page_title(spark, sf):
         '<[^>]*>', '', 'g'), '&amp;', '&'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>')), 300) as description from pages""",
 )
 def fn_page_description(spark, sf):
-    return html.page_metadata(table(spark, sf, "pages"), this_year=2025).select("page_id", "description")
+    return html.page_metadata(_pages(spark, sf), this_year=2025).select("page_id", "description")
 
 
 def _dated_pages(spark, sf):
@@ -275,7 +282,7 @@ def _dated_pages(spark, sf):
         .otherwise("")
     )
     dated_url = F.concat(lit("http://news.example.com/"), F.replace(day, lit("-"), lit("/")), lit("/item"))
-    return table(spark, sf, "pages").select(
+    return _pages(spark, sf).select(
         "page_id", dated_url.alias("url"), F.concat(head, lit('<meta property="og:image" content="/i'), col("page_id").cast("string"), lit('.png">'), "html").alias("html")
     )
 
@@ -302,7 +309,7 @@ def fn_og_tags(spark, sf):
 )
 def fn_bot_page(spark, sf):
     body = F.when(col("doc_id") % 5 == 0, F.concat(lit("Just a moment... "), "text")).otherwise(col("text"))
-    return table(spark, sf, "documents").select("doc_id", html.bot_page(lit("Some page"), body).alias("bot"))
+    return _documents(spark, sf).select("doc_id", html.bot_page(lit("Some page"), body).alias("bot"))
 
 
 @query(
@@ -352,7 +359,7 @@ def _context_sql(words: list[str], distance: int) -> str:
 
 @query("fn_context", f"select doc_id, {_context_sql(['the', 'que', 'nicht'], 20)} as context from documents")
 def fn_context(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.context(col("text"), "the que nicht", 20).alias("context"))
+    return _documents(spark, sf).select("doc_id", text.context(col("text"), "the que nicht", 20).alias("context"))
 
 
 @query(
@@ -360,7 +367,7 @@ def fn_context(spark, sf):
     "select doc_id, sha256(regexp_replace(text, '(?i)(the|que)', '<mark>\\1</mark>', 'g')) as marked from documents",
 )
 def fn_highlight(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(text.highlight_terms(col("text"), "the que"), 256).alias("marked"))
+    return _documents(spark, sf).select("doc_id", F.sha2(text.highlight_terms(col("text"), "the que"), 256).alias("marked"))
 
 
 @query(
@@ -369,7 +376,7 @@ def fn_highlight(spark, sf):
 )
 def fn_split_text(spark, sf):
     """The chunks of a document, in order, are the document."""
-    pieces = story.chunk_documents(table(spark, sf, "documents"), "doc_id", size=1000)
+    pieces = story.chunk_documents(_documents(spark, sf), "doc_id", size=1000)
     # Regroup: the pieces of one document only.
     return (
         pieces.groupBy("doc_id")
@@ -388,7 +395,7 @@ def fn_split_text(spark, sf):
 
 @query("fn_split_text_rows")
 def fn_split_text_rows(spark, sf):
-    return story.chunk_documents(table(spark, sf, "documents"), "doc_id")
+    return story.chunk_documents(_documents(spark, sf), "doc_id")
 
 
 _PUNCT = text.PUNCTUATION.replace("'", "''")
@@ -402,7 +409,7 @@ _PUNCT = text.PUNCTUATION.replace("'", "''")
 )
 def fn_repair_text(spark, sf):
     fixed = text.repair_text(col("text"), ["copyright", "the "])
-    return table(spark, sf, "documents").select("doc_id", F.sha2(fixed, 256).alias("repaired"))
+    return _documents(spark, sf).select("doc_id", F.sha2(fixed, 256).alias("repaired"))
 
 
 @query(
@@ -418,7 +425,7 @@ def fn_fingerprint(spark, sf):
 
 @query("fn_content_hash", "select doc_id, sha256(text) as digest from documents")
 def fn_content_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", hashes.content_hash(col("text")).alias("digest"))
+    return _documents(spark, sf).select("doc_id", hashes.content_hash(col("text")).alias("digest"))
 
 
 @query(
@@ -427,7 +434,7 @@ def fn_content_hash(spark, sf):
 )
 def fn_meta_hash(spark, sf):
     meta = F.create_map(lit("source"), "source", lit("size"), col("n_chars").cast("string"), lit("lang"), "lang")
-    return table(spark, sf, "documents").select("doc_id", hashes.meta_hash(meta).alias("digest"))
+    return _documents(spark, sf).select("doc_id", hashes.meta_hash(meta).alias("digest"))
 
 
 @query("fn_initial", "select c_custkey, lower(left(c_mktsegment, 1)) as initial from customer")
@@ -470,7 +477,7 @@ def fn_parse_points(spark, sf):
     + f" from (select doc_id, {_TOKENS} as t from documents))",
 )
 def lang_score(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", text.tokens(col("text")).alias("w"))
+    words = _documents(spark, sf).select("doc_id", text.tokens(col("text")).alias("w"))
     scored = words.select("doc_id", language.language_score(col("w")).alias("s"))
     counts = [col("s")[k].cast("bigint").alias("n_" + k) for k in language.STOP_WORDS]
     return scored.select("doc_id", language.detect_language(col("s")).alias("lang"), *counts)
@@ -478,12 +485,12 @@ def lang_score(spark, sf):
 
 @query("flt_min_size", "select doc_id, n_chars from documents where length(text) > 500")
 def flt_min_size(spark, sf):
-    return filters.min_size(table(spark, sf, "documents")).select("doc_id", "n_chars")
+    return filters.min_size(_documents(spark, sf)).select("doc_id", "n_chars")
 
 
 @query("flt_site", "select page_id, url from pages where strpos(url, 'example.com/fr') > 0")
 def flt_site(spark, sf):
-    return filters.site(table(spark, sf, "pages"), "example.com/fr").select("page_id", "url")
+    return filters.site(_pages(spark, sf), "example.com/fr").select("page_id", "url")
 
 
 @query(
@@ -503,7 +510,7 @@ def flt_stale(spark, sf):
 
 @query("src_html")
 def src_html(spark, sf):
-    return html.extract_html(table(spark, sf, "pages"))
+    return html.extract_html(_pages(spark, sf))
 
 
 _REF_HTML = """<ol class="references"><li id="cite_note-%s-a"><span class="reference-text">Text  %s <a href="/local">l</a>
@@ -521,7 +528,7 @@ _REF_HTML = """<ol class="references"><li id="cite_note-%s-a"><span class="refer
 def src_wiki_refs(spark, sf):
     key, clean = col("page_id").cast("string"), urls.clean_url(col("url"))
     filled = F.format_string(_REF_HTML, key, key, col("url"), key, clean, key, key)
-    refs = html.wiki_references(table(spark, sf, "pages").select("page_id", filled.alias("html")))
+    refs = html.wiki_references(_pages(spark, sf).select("page_id", filled.alias("html")))
     return refs.select("page_id", "ref_id", "cite_text", "url")
 
 
@@ -534,7 +541,7 @@ def src_wiki_refs(spark, sf):
         from (select page_id, url, """ + _DOMAIN.format("url") + """ as domain from pages) group by 1""",
 )
 def first_by_key(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", "url", urls.domain(col("url")).alias("domain"))
+    rows = _pages(spark, sf).select("page_id", "url", urls.domain(col("url")).alias("domain"))
     return ranking.first_by_key(rows, ["domain"], ["page_id"])
 
 

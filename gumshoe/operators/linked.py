@@ -11,7 +11,7 @@ from gumshoe.functions.lists import joined
 from gumshoe.functions.text import sanitize_description, sanitize_label
 from gumshoe.operators.filters import DATE_MIN, Params, get_idents
 from gumshoe.plans.report import Report, build_report
-from gumshoe.quest import Quest, named
+from gumshoe.quest import KINDS, Quest, named
 from gumshoe.session import pin
 
 
@@ -71,9 +71,18 @@ def report_rows(quest: Quest, report: Report) -> DataFrame:
 
 
 def report_neighbours(quest: Quest, report: Report) -> DataFrame:
-    """The linked rows of the report, both ends reported: two semi joins over the bridge."""
+    """The linked rows of the report, both ends reported.
+
+    Every linked row comes from some table row that must be reported itself, so each table is
+    cut to the report before the bridge is built; the semi joins then settle the other end.
+    """
     inside = pin(report.rows())
-    links = linked_rows(quest).withColumn(
+
+    def reported(kind: str) -> DataFrame:
+        return quest.table(kind).join(inside.where(F.col("kind") == kind).select("name"), "name", "left_semi")
+
+    cut = quest.with_tables(**{kind: (lambda kind=kind: reported(kind)) for kind in KINDS})
+    links = linked_rows(cut).withColumn(
         "_side", F.regexp_replace("linked_kind", "_(from|to)$", "")
     )
     return links.join(inside, ["kind", "name"], "left_semi").join(

@@ -39,10 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table of few files, whose rows are costly to work on. A table of many
-    files is left alone: it is read in parallel anyway, and needs no shuffle."""
+    """Use every core on a table of few splits, whose rows are costly to work on. A large table
+    is left alone: it is read in parallel anyway, and needs no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> Column:
