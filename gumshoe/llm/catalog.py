@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gumshoe.llm import language, toxicity
+from gumshoe.llm.bpe import decode_documents, encode_documents
 from gumshoe.llm.common import table
+from gumshoe.llm.packing import Limits, pack_documents
 from gumshoe.llm.sharding import shard_documents
+from gumshoe.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +24,43 @@ def query(fn):
     return fn
 
 
+@query
+def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Limits(1024, 256, 1024))
+
+
+@query
+def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = toxicity.id_remainder("doc_id", 3)
+    model = language.fit_on(docs.filter(remainder != 1))
+    return language.identify(docs, model).withColumn("held_out", F.coalesce(remainder == 1, F.lit(False)))
+
+
+@query
+def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = toxicity.id_remainder("doc_id", 5)
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels").filter(remainder != 0))
+    scored = toxicity.score_documents(docs, model).select("doc_id", "score", "predicted")
+    return scored.withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
+
+
+@query
+def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode_documents(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
