@@ -15,7 +15,7 @@ from gumshoe.llm.units import unit_lists
 
 #: Characters of text whose words share one index; words already encoded by the task are remembered.
 BLOCK_CHARS = 6_000_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +50,7 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
             before[j] = i
     queue = list(index)
     heapq.heapify(queue)
-    token = {rank: text for text, rank in ranks.items()} if queue else {}
+    token = {rank: text for text, rank in ranks.items()}
     while queue:
         rank = heapq.heappop(queue)
         places = index.pop(rank, None)
@@ -105,32 +105,42 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
 
 
 class BlockEncoder:
-    """Encodes blocks of texts; ids of words are remembered up to a fixed number."""
+    """Encodes blocks of texts. Ids of words and units are remembered for two generations of at least
+    KNOWN_WORDS, so those in use are not replayed again."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
-        self.units: tuple[dict[str, bytes], dict[str, bytes]] = ({"": b""}, {})
+        self.older_words: dict[str, bytes] = {}
+        self.units: list[dict[str, bytes]] = [{}, {}]
+        self.older: list[dict[str, bytes]] = [{}, {}]
 
     def learn(self, texts: list[str]) -> None:
+        if len(self.words) > KNOWN_WORDS:
+            self.words, self.older_words = {}, self.words
+        if len(self.units[0]) + len(self.units[1]) > KNOWN_WORDS:
+            self.units, self.older = [{}, {}], self.units
         new: tuple[set, set] = (set(), set())
         for text in texts:
             for blank, units in unit_lists(text):
                 new[blank].update(units)
-        if len(self.words) > KNOWN_WORDS:
-            self.words = {}
-        if len(self.units[0]) + len(self.units[1]) > KNOWN_WORDS:
-            self.units = ({"": b""}, {})
         parts: tuple[dict, dict] = ({}, {})
         words: dict[str, None] = {}
         for blank in (0, 1):
-            for unit in new[blank] - self.units[blank].keys():
+            known, older = self.units[blank], self.older[blank]
+            for unit in new[blank] - known.keys():
+                if unit in older:
+                    known[unit] = older[unit]
+                    continue
                 parts[blank][unit] = found = self.split(" " + unit if blank else unit)
                 for word in found:
                     if word not in self.words:
-                        words[word] = None
+                        if word in self.older_words:
+                            self.words[word] = self.older_words[word]
+                        else:
+                            words[word] = None
         listed = list(words)
         for word, ids in zip(listed, replay_merges([w.encode() for w in listed], self.ranks)):
             self.words[word] = np.array(ids, "<u4").tobytes()

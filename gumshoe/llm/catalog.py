@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gumshoe.llm import language, toxicity
 from gumshoe.llm.bpe import decode_documents, encode_documents
 from gumshoe.llm.common import table
+from gumshoe.llm.minhash import link_documents
 from gumshoe.llm.packing import Limits, pack_documents
 from gumshoe.llm.sharding import shard_documents
 from gumshoe.llm.token_counts import count_tokens
@@ -24,6 +25,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Limits(1024, 256, 1024))

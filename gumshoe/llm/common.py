@@ -71,6 +71,27 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+class Recent(dict):
+    """Values by key, made when first asked for. Beyond a fixed number the keys met since the last time
+    become the older generation, from which those still in use come back; the rest are forgotten."""
+
+    SIZE = 250_000
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.SIZE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finalizer of MurmurHash3)."""
     x = x ^ (x >> np.uint64(33))

@@ -8,25 +8,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import Scratch, components, map_batches, mix64, texts_of
+from gumshoe.llm.common import Recent, Scratch, components, map_batches, mix64, texts_of
 
 WORDS = 5
 #: One permutation is cut into so many bins by the first byte of the hash.
 BINS = 256
 #: At a similarity of 0.85 a pair shares no band with a chance of 9e-7, at 0.5 one with 0.25.
 BANDS, ROWS = 36, 7
-KNOWN_WORDS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; starts anew beyond a fixed number."""
+class WordHashes(Recent):
+    """64-bit hashes of words, and the shingle sets of texts made of them."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def __init__(self):
+        super().__init__(xxhash.xxh3_64_intdigest)
 
     def shingles(self, text: str, n: int = WORDS) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the runs of n words; of all words if there are fewer.
@@ -141,7 +137,7 @@ def link_documents(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", t
     2. Representatives that share a band key share a bucket. Each bucket is a star: its centre is the
        member met most often in buckets, as the original of altered copies is, and the edges
        from the centre to the others are confirmed on whole sets.
-    3. A bucket whose members are then in one component is settled. In the others twice as many
+    3. A bucket whose members are then in one component is settled. In the others four times as many
        centres as before are compared with the members of other components, until every bucket is
        settled or all its members were centres: no pair that shares a bucket and could join two
        components stays uncompared, and no bucket emits its pairs as long as stars settle it.
@@ -165,28 +161,25 @@ def link_documents(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", t
     members = scratch.keep(met.join(weights, "id").select("key", "id", "n", "size", "weight"))
     scratch.drop(met)
     sets = scratch.keep(_sets(rows.filter("doc_id is not null").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")))
-    edges = None
-    labels = None
-    centres = 1
+    several = copies.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("doc_id")
+    edges = copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    centres, tried = 1, 0
     open_ = members.withColumn("component", F.col("id"))
     while True:
         best = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-        stars = open_.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= centres)
-        if centres > 1:
-            stars = stars.filter(F.col("place") > centres // 2)
+        stars = open_.withColumn("place", F.row_number().over(best)).filter((F.col("place") <= centres) & (F.col("place") > tried))
         stars = stars.select("key", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"))
         alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("other"))
         pairs = open_.join(stars, "key").filter(alike).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        found = _confirmed(pairs, sets, percent)
-        edges = scratch.keep(found if edges is None else edges.unionByName(found))
+        edges = scratch.keep(edges.unionByName(_confirmed(pairs, sets, percent)))
         labels = scratch.keep(components(edges, scratch))
         placed = members.filter(F.col("size") > centres).join(labels, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         open_ = scratch.keep(placed.join(mixed, "key"))
         if open_.isEmpty():
             break
-        centres *= 2
-    by_doc = copies.join(labels, F.col("id") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"), F.min("id").alias("low"), F.max("id").alias("high"))
+        tried, centres = centres, 4 * centres
+    by_doc = copies.join(labels, F.col("id") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc.select("doc_id", "component_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

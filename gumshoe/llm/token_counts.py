@@ -7,15 +7,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.llm.common import BATCH_ROWS, Scratch, map_batches, texts_of
 
 #: Most frequent pre-tokens whose piece counts every task holds: at most so many rows are broadcast.
-FREQUENT = 2**19
+FREQUENT = 400_000
 #: Distinct pre-tokens a task gathers before it passes their counts on.
-GATHERED = 400_000
+GATHERED = 200_000
 
 
 def pre_tokens(text: str) -> list[bytes]:
@@ -67,6 +67,22 @@ def piece_counts(vocabulary: DataFrame, tokenizer_path: str) -> DataFrame:
     return map_batches(vocabulary.select("pre", "freq"), make, "pre string, freq bigint, pieces bigint")
 
 
+def octave(freq: str = "freq") -> Column:
+    """Frequencies by eighths of octaves: a fixed number of bins."""
+    return F.floor(F.log2(freq) * 8)
+
+
+def least_octave(vocabulary: DataFrame, most: int) -> int:
+    """The lowest bin of frequencies from which on there are at most `most` pre-tokens."""
+    bins = sorted(tuple(r) for r in vocabulary.groupBy(octave().alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
+    left = sum(n for _, n in bins)
+    for at, n in bins:
+        if left <= most:
+            return at
+        left -= n
+    return 8 * 64
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row, exactly as encoding the whole text would count.
 
@@ -80,7 +96,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     scratch = Scratch(spark, "token-counts")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = scratch.keep(piece_counts(frequencies(rows), tokenizer_path))
-    top = vocabulary.orderBy(F.desc("freq"), "pre").limit(frequent).select("pre", "pieces").toArrow()
+    top = vocabulary.filter(octave() >= least_octave(vocabulary, frequent)).select("pre", "pieces").toArrow()
     known = spark.sparkContext.broadcast({k.encode(): v for k, v in zip(top.column(0).to_pylist(), top.column(1).to_pylist())})
     del top
 

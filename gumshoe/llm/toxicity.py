@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import map_batches, texts_of
+from gumshoe.llm.common import Recent, map_batches, texts_of
 
 #: The model is fitted on at most so many labelled documents and characters.
 SAMPLE_DOCS = 12_000
 SAMPLE_CHARS = 60_000_000
-EPOCHS = 120
-#: Words in fewer sample documents get no weight.
-LEAST_DOCS = 3
-KNOWN_TOKENS = 400_000
+EPOCHS = 150
+DECAY = 0.5
+#: Features in fewer sample documents, or with a weaker log odds ratio in standard errors, get no weight.
+LEAST_DOCS, LEAST_ODDS, FEATURES = 4, 2.0, 5000
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
 ENDS = (".", "!", "?")
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡“”‘’…"
@@ -30,87 +30,100 @@ def tokens_of(text: str) -> list[str]:
     return text.lower().replace("\n", " . ").split()
 
 
+def features_of(token: str) -> list[str]:
+    """The bare word and its beginnings of three to five letters, which inflected forms share."""
+    word = token.strip(EDGES)
+    return [word, *(word[:n] + "*" for n in (3, 4, 5) if len(word) > n)] if word else []
+
+
 @dataclass
 class Model:
-    """Weights of words and the bias of every sentence."""
+    """Weights of features and the bias of every sentence."""
 
     weights: dict[str, float]
     bias: float
 
-    def coder(self) -> Coder:
-        return Coder(list(self.weights))
-
-
-class Coder(dict):
-    """Token -> 2 * word + 1 if it ends a sentence; words without a weight share the last number."""
-
-    def __init__(self, words: list[str]):
-        super().__init__()
-        self.words = {w: i for i, w in enumerate(words)}
-        self.unknown = len(words)
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= KNOWN_TOKENS:
-            self.clear()
-        code = self[token] = 2 * self.words.get(token.strip(EDGES), self.unknown) + token.endswith(ENDS)
-        return code
+def tokens_with(weights: dict[str, float]) -> Recent:
+    """Token -> its weight, plus 1j if it ends a sentence."""
+    weight = weights.get
+    return Recent(lambda token: complex(sum(weight(x, 0.0) for x in features_of(token)), token.endswith(ENDS)))
 
-    def __call__(self, text: str) -> np.ndarray:
-        tokens = tokens_of(text)
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
-
-def sentence_starts(codes: np.ndarray) -> np.ndarray:
+def sentence_starts(ends: np.ndarray) -> np.ndarray:
     """Places of the first words of sentences."""
-    starts = np.flatnonzero(codes & 1) + 1
-    return np.concatenate([[0], starts[starts < len(codes)]])
+    starts = np.flatnonzero(ends) + 1
+    return np.concatenate([[0], starts[starts < len(ends)]])
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def telling_features(texts: list[str], toxic: list[int]) -> list[str]:
+    """The features whose share among toxic documents differs most clearly from that among the others."""
+    counts = (Counter(), Counter())
+    for text, label in zip(texts, toxic):
+        counts[label > 0].update({x for t in set(tokens_of(text)) for x in features_of(t)})
+    n_one = sum(x > 0 for x in toxic)
+    n_none = len(toxic) - n_one
+    names = sorted(x for x in counts[0].keys() | counts[1].keys() if counts[0][x] + counts[1][x] >= LEAST_DOCS)
+    one = np.array([counts[1][x] for x in names], float)
+    none = np.array([counts[0][x] for x in names], float)
+    odds = np.log((one + 0.5) / (n_one - one + 0.5)) - np.log((none + 0.5) / (n_none - none + 0.5))
+    clear = np.abs(odds) / np.sqrt(1 / (one + 0.5) + 1 / (none + 0.5) + 1 / (n_one - one + 0.5) + 1 / (n_none - none + 0.5))
+    best = np.argsort(-clear, kind="stable")[:FEATURES]
+    return [names[i] for i in best if clear[i] >= LEAST_ODDS]
+
+
 def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Model:
     """Logistic sentence scores p, combined as 1 - prod(1 - p), fitted to the documents' labels by
     full-gradient Adam steps with a decay of the weights; the same input gives the same model."""
-    counts: Counter = Counter()
-    for text in texts:
-        counts.update({t.strip(EDGES) for t in set(tokens_of(text))})
-    words = sorted(w for w, n in counts.items() if n >= LEAST_DOCS and w)
-    coder = Coder(words)
-    ids, firsts, owners, y = [], [], [], []
-    size = 0
+    if not toxic or not 0 < sum(toxic) < len(toxic):
+        return Model({}, 8.0 if toxic and sum(toxic) else -20.0)
+    names = telling_features(texts, toxic)
+    number = {x: i for i, x in enumerate(names)}
+    types: dict[str, int] = {}
+    features: list[int] = []
+    counts: list[int] = []
+    tokens, sentences, owners, y = [], [], [], []
+    total = 0
     for text, label in zip(texts, toxic):
-        codes = coder(text)
-        if not len(codes):
+        words = tokens_of(text)
+        if not words:
             continue
-        starts = sentence_starts(codes)
-        ids.append((codes >> 1).astype(np.int32))
-        firsts.append(starts + size)
-        owners.append(np.full(len(starts), len(y), np.int32))
-        size += len(codes)
-        y.append(label)
-    if not y or not 0 < sum(y) < len(y):
-        return Model({}, 8.0 if y and sum(y) else -20.0)
-    word, first, owner, label = np.concatenate(ids), np.concatenate(firsts), np.concatenate(owners), np.array(y, float)
-    sentence = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, size)))
-    seen = word < len(words)
-    word, sentence = word[seen], sentence[seen]
-    n_words, n_sentences, n_docs = len(words), len(first), len(y)
+        for t in set(words) - types.keys():
+            types[t] = len(types)
+            own = [number[x] for x in features_of(t) if x in number]
+            features += own
+            counts.append(len(own))
+        tokens.append(np.fromiter(map(types.__getitem__, words), np.int64, len(words)))
+        starts = sentence_starts(np.fromiter((t.endswith(ENDS) for t in words), bool, len(words)))
+        sentences.append(np.repeat(np.arange(total, total + len(starts)), np.diff(np.append(starts, len(words)))))
+        owners.append(np.full(len(starts), len(y)))
+        total += len(starts)
+        y.append(label > 0)
+    token, sentence, owner, label = np.concatenate(tokens), np.concatenate(sentences), np.concatenate(owners), np.array(y, float)
+    count = np.array(counts)
+    first = np.cumsum(count) - count
+    size = count[token]
+    end = np.cumsum(size)
+    word = np.array(features, np.int64)[np.arange(end[-1]) + np.repeat(first[token] - (end - size), size)] if end[-1] else np.zeros(0, np.int64)
+    sentence = np.repeat(sentence, size)
+    n_words, n_docs = len(names), len(y)
     theta = np.zeros(n_words + 1)
-    theta[-1] = np.log(label.mean() / (n_sentences / n_docs))
+    theta[-1] = np.log(max(label.mean(), 1e-3) / (total / n_docs))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, epochs + 1):
-        z = theta[-1] + np.bincount(sentence, theta[word], n_sentences)
+        z = theta[-1] + np.bincount(sentence, theta[word], total)
         s = np.bincount(owner, _softplus(z), n_docs)
         pull = np.where(label > 0, -1.0 / np.expm1(np.clip(s, 1e-9, 50.0)), 1.0)
-        dz = pull[owner] / (1.0 + np.exp(-z))
+        dz = pull[owner] / (1.0 + np.exp(-np.clip(z, -50, 50)))
         grad = np.append(np.bincount(word, dz[sentence], n_words), dz.sum())
-        grad[:-1] += 0.02 * theta[:-1]
+        grad[:-1] += DECAY * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * (0.2 if step > 0.8 * epochs else 1.0)
-    kept = np.flatnonzero(np.abs(theta[:-1]) > 0.05)
-    return Model({words[i]: float(theta[i]) for i in kept}, float(theta[-1]))
+    return Model({x: float(w) for x, w in zip(names, theta) if abs(w) > 0.02}, float(theta[-1]))
 
 
 def fit_on(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -139,14 +152,14 @@ class Scorer:
     """Scores texts with a model; also finds the sentences that are toxic by themselves."""
 
     def __init__(self, model: Model):
-        self.coder, self.bias = model.coder(), model.bias
-        self.weights = np.array([*model.weights.values(), 0.0])
+        self.tokens, self.bias = tokens_with(model.weights), model.bias
 
     def sentences(self, text: str) -> np.ndarray:
-        codes = self.coder(text)
-        if not len(codes):
+        words = tokens_of(text)
+        if not words:
             return np.zeros(0)
-        return self.bias + np.add.reduceat(self.weights[codes >> 1], sentence_starts(codes))
+        found = np.fromiter(map(self.tokens.__getitem__, words), np.complex128, len(words))
+        return self.bias + np.add.reduceat(found.real, sentence_starts(found.imag))
 
     def score(self, text: str) -> float:
         return float(-np.expm1(-_softplus(self.sentences(text)).sum()))

@@ -10,25 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+from gumshoe.llm.common import Recent
+
 # The code points with the Unicode property White_Space.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 RUNS = re.compile(f"[{WHITE}]+[^{WHITE}]*|[^{WHITE}]+")
 ADJACENT = re.compile(f"[{WHITE}]{{2}}")
-CACHE_UNITS = 300_000
-
-
-class Cache(dict):
-    """Values by unit, made when first asked for; starts anew beyond a fixed number."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE_UNITS:
-            self.clear()
-        value = self[unit] = self.make(unit)
-        return value
 
 
 def unit_lists(text: str) -> Iterator[tuple[bool, list[str]]]:
@@ -50,8 +37,8 @@ class UnitEncoder:
     """Encodes texts unit by unit with `encode`, remembering what it gave for a unit."""
 
     def __init__(self, encode: Callable[[str], bytes]):
-        self.bare = Cache(lambda unit: encode(unit) if unit else b"")
-        self.spaced = Cache(lambda unit: encode(" " + unit))
+        self.bare = Recent(lambda unit: encode(unit) if unit else b"")
+        self.spaced = Recent(lambda unit: encode(" " + unit))
 
     def __call__(self, text: str) -> bytes:
         bare, spaced, out = self.bare.__getitem__, self.spaced.__getitem__, []
