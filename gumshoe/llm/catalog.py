@@ -15,6 +15,7 @@ from gumshoe.llm.minhash import link_documents
 from gumshoe.llm.packing import Limits, pack_documents
 from gumshoe.llm.sharding import shard_documents
 from gumshoe.llm.token_counts import count_tokens
+from gumshoe.llm.vector_links import link_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,11 @@ def op1_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), percent=85)
 
 
+@query
+def op3_link_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"), least=0.98)[0]
+
+
 @query
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Limits(1024, 256, 1024))
