@@ -12,6 +12,7 @@ from gumshoe.llm import language, toxicity
 from gumshoe.llm.bpe import decode_documents, encode_documents
 from gumshoe.llm.common import table
 from gumshoe.llm.minhash import link_documents
+from gumshoe.llm.nearest import search_nearest
 from gumshoe.llm.packing import Limits, pack_documents
 from gumshoe.llm.sharding import shard_documents
 from gumshoe.llm.token_counts import count_tokens
@@ -73,6 +74,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)[0]
+
+
 @query
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
