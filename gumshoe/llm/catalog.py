@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gumshoe.llm import language, toxicity
+from gumshoe.llm import html_text, language, toxicity
 from gumshoe.llm.bpe import decode_documents, encode_documents
 from gumshoe.llm.common import table
 from gumshoe.llm.minhash import link_documents
@@ -32,6 +32,12 @@ def op1_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), percent=85)
 
 
+@query
+def op2_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract_text(pages, html_text.fit_on(pages)).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op3_link_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"), least=0.98)[0]
