@@ -23,9 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language learned from the documents; null and letterless texts go."""
-    model = language.fit_on(docs.filter(toxicity.id_remainder("doc_id", 3) != 1))
-    return language.determined_documents(docs, model)
+    """Documents whose language can be determined, from all labelled documents; null and letterless texts go."""
+    return language.determined_documents(docs, language.fit_on(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

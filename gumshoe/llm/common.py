@@ -119,11 +119,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.keep(large.unionByName(edges.join(least.filter("m < a"), "a").select("a", F.col("m").alias("b"))).filter("a <> b").select(*down).distinct())
+        large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").select(*down).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = scratch.keep(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").select(*down).distinct())
-        scratch.drop(edges, large)
+        scratch.drop(edges)
         edges, now = after, _state(after)
         if now == before:
             break

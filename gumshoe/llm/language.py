@@ -22,7 +22,8 @@ SYMBOLS = 64
 PAD, GAP, OTHER = 0, 1, 2
 #: Symbols of one lane; a text is parsed in lanes that restart the match.
 LANE = 512
-UNDETERMINED = "und"
+#: No letter; letters, but no language was learned.
+UNDETERMINED, UNLEARNED = "und", "mis"
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
@@ -175,8 +176,8 @@ class Parser:
         phrases, sizes, letters = self.phrases(texts)
         names, scores = [], []
         for i in range(len(texts)):
-            if not letters[i] or not len(self.model.languages):
-                names.append(UNDETERMINED)
+            if not letters[i] or not self.model.languages:
+                names.append(UNDETERMINED if not letters[i] else UNLEARNED)
                 scores.append(0.0)
                 continue
             rate = phrases[:, i] / sizes[i]
@@ -191,7 +192,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     phrases per symbol, ties to the first name, and by what share the second needs more.
 
     The automata, of bounded size, are broadcast; each text is parsed whole where it is read. Null,
-    empty and letterless texts are `und` with score 0, as is everything if no language was learned;
+    empty and letterless texts are `und` with score 0, other texts `mis` if no language was learned;
     repeated rows and null ids are kept; no rows give no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -210,13 +211,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def determined_documents(docs: DataFrame, model: Model, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text is in one of `languages` (any learned one if None), with all their columns."""
+    """The rows of `docs`, with all their columns, whose text has a letter and, if `languages` are given,
+    is in one of them. Null and empty texts go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    wanted = set(model.languages if languages is None else languages)
+    wanted = None if languages is None else set(languages)
 
     def make():
         parser = Parser(shared.value)
-        return lambda batch: batch.filter(pa.array([x in wanted for x in parser.predict(texts_of(batch.column(at)))[0]], pa.bool_()))
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            names, _ = parser.predict(texts_of(batch.column(at)))
+            return batch.filter(pa.array([n != UNDETERMINED and (wanted is None or n in wanted) for n in names], pa.bool_()))
+
+        return step
 
     return map_batches(docs, make, docs.schema)

@@ -137,7 +137,7 @@ def link_documents(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", t
     2. Representatives that share a band key share a bucket. Each bucket is a star: its centre is the
        member met most often in buckets, as the original of altered copies is, and the edges
        from the centre to the others are confirmed on whole sets.
-    3. A bucket whose members are then in one component is settled. In the others four times as many
+    3. A bucket whose members are then in one component is settled. In the others 16 times as many
        centres as before are compared with the members of other components, until every bucket is
        settled or all its members were centres: no pair that shares a bucket and could join two
        components stays uncompared, and no bucket emits its pairs as long as stars settle it.
@@ -171,14 +171,16 @@ def link_documents(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", t
         stars = stars.select("key", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"))
         alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("other"))
         pairs = open_.join(stars, "key").filter(alike).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        edges = scratch.keep(edges.unionByName(_confirmed(pairs, sets, percent)))
-        labels = scratch.keep(components(edges, scratch))
+        found = scratch.keep(_confirmed(pairs, sets, percent))
+        if not tried or not found.isEmpty():
+            edges = scratch.keep(edges.unionByName(found))
+            labels = scratch.keep(components(edges, scratch))
         placed = members.filter(F.col("size") > centres).join(labels, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         open_ = scratch.keep(placed.join(mixed, "key"))
         if open_.isEmpty():
             break
-        tried, centres = centres, 4 * centres
+        tried, centres = centres, 16 * centres
     by_doc = copies.join(labels, F.col("id") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc.select("doc_id", "component_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
