@@ -154,10 +154,11 @@ def account_toxicity_means(spark, sf):
 @query(
     "account_ai",
     with_views(
-        """select did, label, count(*) as n, round(any_value(m), 6) as average_score from (
-        select did, case when quality = 1 then 'Real' else 'Fake' end as label, toxic + value / 1000 as score,
-        avg(toxic + value / 1000) over (partition by did) as m from posts
-        join labels on doc_id = substr(cid, 2)::bigint) group by 1, 2""",
+        """, scored as (select did, case when quality = 1 then 'Real' else 'Fake' end as label,
+            ((toxic + value / 1000)::decimal(20, 9) * 1000000000)::hugeint as score from posts join labels on doc_id = substr(cid, 2)::bigint),
+        means as (select did, sum(score) as s, count(*) as n from scored group by 1)
+        select did, label, count(*) as n, any_value((m.s + m.n * 500) // (m.n * 1000))::double / 1000000 as average_score
+        from scored join means m using (did) group by 1, 2""",
         "posts",
     ),
 )
@@ -169,7 +170,7 @@ def account_ai(spark, sf):
         F.when(col("quality") == 1, "Real").otherwise("Fake").alias("label"),
         (col("toxic") + col("value") / 1000).alias("score"),
     )
-    return social.account_ai(rows, scored).withColumn("average_score", F.round("average_score", 6))
+    return social.account_ai(rows, scored).withColumn("average_score", F.round("average_score", 6).cast("double"))
 
 
 _WORDS = f"""select did, word, count(*) as n from (select did, unnest({_LETTERS}) as word from posts)

@@ -188,10 +188,6 @@ VIEWS["topic"] = (
         from (select source, t, {_N_WORDS} from doc_tokens))""",
 )
 VIEWS["topic_counts"] = (("topic",), "select source, word, count(*) as n from topic group by 1, 2")
-VIEWS["words_top"] = (
-    ("topic_counts",),
-    "select * from topic_counts qualify row_number() over (partition by source order by n desc, word) <= 30",
-)
 
 
 def _bad_words(spark, sf):
@@ -319,10 +315,10 @@ def _counts(spark, sf):
     "counts_rollup",
     with_views(
         """select engine, bucket, key, sum(n)::bigint as n from (
-        select source, 'words' as engine, 'commons' as bucket, word as key, n from words_top
+        select source, 'words' as engine, 'commons' as bucket, word as key, n from topic_counts
         union all select source, 'orgs', 'orgs', key, count(*) from doc_grams join dict_orgs using (phrase) group by 1, 4)
         where source in (select name from sources where list_has_any(cats, ['fr', 'en'])) group by 1, 2, 3""",
-        "words_top", "doc_grams", "dict_orgs", "sources",
+        "topic_counts", "doc_grams", "dict_orgs", "sources",
     ),
 )
 def counts_rollup(spark, sf):
@@ -335,9 +331,9 @@ def counts_rollup(spark, sf):
 @query(
     "cloud_terms",
     with_views(
-        """, t as (select word as key, sum(n)::bigint as n from words_top group by 1 order by n desc, key limit 20)
+        """, t as (select word as key, sum(n)::bigint as n from topic_counts group by 1 order by n desc, key limit 20)
         select key, n, round(n / (select max(n) from t), 6) as weight from t""",
-        "words_top",
+        "topic_counts",
     ),
 )
 def cloud_terms(spark, sf):
@@ -348,12 +344,12 @@ def cloud_terms(spark, sf):
 @query(
     "translation_lookup",
     with_views(
-        """, terms as (select distinct d.lang, t.word as term from words_top t join documents d on 'source.d' || d.doc_id = t.source),
+        """, terms as (select distinct d.lang, t.word as term from topic_counts t join documents d on 'source.d' || d.doc_id = t.source),
         memory as (select distinct 'fr' as lang, unnest(w) as term from passages_w)
         select terms.lang, terms.term, case when memory.term is null then terms.term
             when length(terms.term) > 6 then upper(terms.term) else 'x_' || terms.term end as translation
         from terms left join (select 'en' as lang, term from memory) memory on memory.lang = terms.lang and memory.term = terms.term""",
-        "words_top", "passages_w",
+        "topic_counts", "passages_w",
     ),
 )
 def translation_lookup(spark, sf):

@@ -140,7 +140,7 @@ def fn_link_target(spark, sf):
 
 
 _SLUG = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-    replace(strip_accents({0}), 'ß', 'ss'), '[^\x00-\x7F]', '', 'g'), '["''\-]', '', 'g'), '[^A-Za-z0-9_\s]', '', 'g'), '\s+', ' ', 'g'))"""
+    strip_accents({0}), '[^\x00-\x7F]', '', 'g'), '["''\-]', '', 'g'), '[^A-Za-z0-9_\s]', '', 'g'), '\s+', ' ', 'g'))"""
 
 
 @query(

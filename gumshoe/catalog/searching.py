@@ -380,11 +380,9 @@ def fuse_results(spark, sf):
 
 VIEWS["peer_vocab"] = (
     ("corpus",),
-    rf"""select peer, term from (select peer, term, count(*) as df from (select peer, doc, unnest(list_distinct({_FOLD.format('data')})) as term from corpus)
-        where length(term) >= 3 and regexp_matches(term, '^\p{{L}}+$') group by 1, 2
-        qualify row_number() over (partition by peer order by df desc, term) <= 300)
-        union select peer, unnest(string_split(label, ' ')) from (select distinct peer, lower(title) as label from corpus
-        qualify row_number() over (partition by peer order by lower(title)) <= 500)""",
+    rf"""select peer, term from (select peer, unnest(list_distinct({_FOLD.format('data')})) as term from corpus)
+        where length(term) >= 3 and regexp_matches(term, '^\p{{L}}+$')
+        union select peer, unnest({_FOLD.format('title')}) from corpus""",
 )
 ROUTED = "ingor thintion unheard"
 
@@ -416,7 +414,7 @@ def peer_search(spark, sf):
 @query(
     "peer_search_fast",
     with_views(
-        """, best as (select * from peer_scored where peer = 'src0' or peer in (select peer from peer_vocab where term in ('que', 'les', 'éque', 'la'))
+        f""", best as (select * from peer_scored where peer = 'src0' or peer in (select peer from peer_vocab where term in {_QIN})
             qualify row_number() over (partition by peer order by round(score, 9) desc, doc) <= 10),
         placed as (select *, row_number() over (partition by peer order by score desc, doc) as r, count(*) over (partition by peer) as n from best)
         select doc, peer, round(score, 6) as score, round(ns, 6) as normalized_score from (

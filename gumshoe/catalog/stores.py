@@ -138,12 +138,12 @@ def src_text(spark, sf):
 
 @query(
     "src_analysis",
-    with_views("select source, 'words' as engine, 'commons' as bucket, word as key, n from words_top", "words_top"),
+    with_views("select source, 'words' as engine, 'commons' as bucket, word as key, n from topic_counts", "topic_counts"),
 )
 def src_analysis(spark, sf):
     """Stored analyses as JSON, read back into the long counter table."""
-    counts = word_ops.word_counts(text_docs(spark, sf))
-    # At most 30 words per source.
+    counts = word_ops.word_counts(text_docs(spark, sf), top=None)
+    # The words of one source.
     packed = counts.groupBy("source").agg(F.collect_list(F.array(col("word"), col("n").cast("string"))).alias("commons"))
     raw = packed.select("source", F.to_json(F.struct(F.struct("commons").alias("words"))).alias("json"))
     parsed = raw.select("source", F.from_json("json", stores.ANALYSIS_SCHEMA).alias("a")).select("source", "a.*")

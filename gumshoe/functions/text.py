@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,30 +25,58 @@ def sanitize_description(description: Column, label: Column) -> Column:
     return sanitize_label(F.coalesce(F.when(description != "", description), label))
 
 
-# Latin letters and the ASCII they fold to, one to one.
-FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿŸŠšŽž"
-FOLD_TO = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyyYSsZz"
-# Latin letters that fold to two.
-FOLD_PAIRS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
+# Letters without a decomposition, and Greek and Cyrillic letters, with what they become.
+SPECIAL_LETTERS = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ŧ": "t", "ı": "i", "ŋ": "n", "ĸ": "k", "ə": "e",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "",
+    "э": "e", "ю": "iu", "я": "ia", "і": "i", "є": "ie", "ґ": "g",
+}
+#: Blocks whose letters fold by rule: Latin with its extensions, Greek, Cyrillic.
+FOLDED_BLOCKS = (range(0xC0, 0x250), range(0x370, 0x482), range(0x48A, 0x530), range(0x1E00, 0x2000))
+
+
+def _folds() -> dict[str, str]:
+    """Each letter of the blocks without its marks, spelled in ASCII; letters that cannot be are left out."""
+    out = {}
+    for code in (c for block in FOLDED_BLOCKS for c in block):
+        letter = chr(code)
+        bare = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+        spelled = "".join(SPECIAL_LETTERS.get(c) or (SPECIAL_LETTERS.get(c.lower()) or "").capitalize() if not c.isascii() else c for c in bare)
+        known = all(c.isascii() or c.lower() in SPECIAL_LETTERS for c in bare)
+        if letter.isalpha() and known and spelled != letter and spelled.strip() == spelled:
+            out[letter] = spelled
+    return out
 
 
-def fold_accents(text: Column) -> Column:
-    """Latin letters without accents, as built-in expressions. Text in other scripts goes
-    through `fold_unicode`."""
-    folded = F.translate(text, FOLD_FROM, FOLD_TO)
-    for letter, pair in FOLD_PAIRS.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(pair))
-    return folded
+def _bare() -> dict[str, str]:
+    """Letters that decompose into an ASCII letter and marks."""
+    pairs = ((chr(c), unicodedata.normalize("NFKD", chr(c))) for block in FOLDED_BLOCKS for c in block)
+    bare = ((k, "".join(c for c in v if not unicodedata.combining(c))) for k, v in pairs)
+    return {k: v for k, v in bare if k != v and len(v) == 1 and v.isascii() and v.isalpha()}
+
 
+FOLDS, BARE = _folds(), _bare()
+_ONE = {k: v for k, v in FOLDS.items() if len(v) == 1}
+_MORE = {k: v for k, v in FOLDS.items() if len(v) != 1}
+
+
+def fold_accents(text: Column) -> Column:
+    """Letters without accents, Greek and Cyrillic in Latin spelling, as built-in expressions. The
+    letters that become none or several are rare and only looked for where one of them stands."""
+    bare = F.when(text.rlike(r"\p{Mn}"), F.regexp_replace(text, r"\p{Mn}", "")).otherwise(text)
+    folded = F.translate(bare, "".join(_ONE), "".join(_ONE.values()))
+    several = folded
+    for letter, spelled in _MORE.items():
+        several = F.replace(several, F.lit(letter), F.lit(spelled))
+    return F.when(folded.rlike("[" + "".join(_MORE) + "]"), several).otherwise(folded)
 
-def fold_unicode():
-    """Pandas UDF: compatibility decomposition, marks dropped. For what `translate` misses."""
-    @F.pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        plain = texts.str.normalize("NFKD")
-        return plain.str.replace(r"[̀-ͯ]", "", regex=True)
 
-    return fold
+def fold_text(text: str) -> str:
+    """The same for a parameter, such as a query."""
+    return "".join(FOLDS.get(c, c) for c in text if unicodedata.category(c) != "Mn")
 
 
 def clean_text(text: Column) -> Column:
@@ -86,9 +114,9 @@ def truncate_words(text: Column, words: int) -> Column:
 
 
 def slugify(text: Column, default: str = "sans_titre") -> Column:
-    """Identifier from a title: ASCII letters, quotes, hyphens and punctuation dropped,
+    """Identifier from a title: letters without marks, others than ASCII dropped; quotes, hyphens and punctuation dropped,
     blanks to single underscores, at most 120 characters."""
-    plain = F.regexp_replace(fold_accents(text), r"[^\x00-\x7F]", "")
+    plain = F.regexp_replace(F.translate(text, "".join(BARE), "".join(BARE.values())), r"[^\x00-\x7F]", "")
     plain = F.regexp_replace(plain, r"[\"'\-]", "")
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^A-Za-z0-9_\s]", ""), r"\s+", " "))
     plain = F.regexp_replace(F.regexp_replace(plain, " ", "_"), "_+", "_")

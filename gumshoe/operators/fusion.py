@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions.urls import safe_url
 from gumshoe.operators.index import search_tokens
-from gumshoe.operators.ranking import ranked, top_per_group
+from gumshoe.operators.ranking import join_same, ranked, top_per_group
 from gumshoe.operators.search import bm25, field_hits, query_words
 from gumshoe.session import pin
 
-KEYWORDS, ENTITIES = 300, 500
-
 
 def norm_minmax(results: DataFrame, peer: str = "peer", score: str = "score") -> DataFrame:
     """Adds `normalized_score` = (s - min) / (max - min) per peer, 1 when all are equal; a
@@ -25,7 +23,7 @@ def norm_minmax(results: DataFrame, peer: str = "peer", score: str = "score") ->
     bounds = results.groupBy(peer).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     span = F.col("_high") - F.col("_low")
     scaled = F.when(span == 0, 1.0).otherwise((value - F.col("_low")) / span)
-    return results.join(bounds, peer).select(*results.columns, scaled.alias("normalized_score"))
+    return join_same(results, bounds, [peer]).select(*results.columns, scaled.alias("normalized_score"))
 
 
 def norm_rank(results: DataFrame, order: Sequence[str], peer: str = "peer", score: str = "score") -> DataFrame:
@@ -35,7 +33,7 @@ def norm_rank(results: DataFrame, order: Sequence[str], peer: str = "peer", scor
     placed = ranked(results.withColumn("_value", value), [F.desc("_value"), *[F.asc(c) for c in order]], [peer], "_rank")
     sizes = results.groupBy(peer).agg(F.count(F.lit(1)).alias("_n"))
     scaled = F.when(F.col("_n") == 1, 1.0).otherwise(1 - (F.col("_rank") - 1) / (F.col("_n") - 1))
-    return placed.join(sizes, peer).select(*results.columns, scaled.alias("normalized_score"))
+    return join_same(placed, sizes, [peer]).select(*results.columns, scaled.alias("normalized_score"))
 
 
 def fuse_results(
@@ -54,22 +52,17 @@ def fuse_results(
 
 
 def peer_vocabulary(docs: DataFrame, peer: str = "peer") -> DataFrame:
-    """Published words (peer, term): the most frequent terms and the words of entity labels."""
-    words = docs.select(peer, "doc", search_tokens(F.col("data")).alias("_t"))
-    terms = unnest(words, F.array_distinct("_t"), "term", peer)
-    terms = terms.where((F.length("term") >= 3) & F.col("term").rlike(r"^\p{L}+$"))
-    freq = terms.groupBy(peer, "term").agg(F.count(F.lit(1)).alias("df"))
-    keywords = top_per_group(freq, [peer], [F.desc("df"), F.asc("term")], KEYWORDS).select(peer, "term")
-    labels = docs.select(peer, F.lower("title").alias("label")).distinct()
-    labels = top_per_group(labels, [peer], [F.asc("label")], ENTITIES)
-    entities = unnest(labels, F.split("label", r"\s+", -1), "term", peer)
-    return keywords.union(entities).distinct()
+    """Published words (peer, term), folded: every term of the texts and of the entity labels, so a
+    peer that holds a query word is always asked. Rows, written and pruned by term like postings."""
+    texts = unnest(docs.select(peer, search_tokens(F.col("data")).alias("_t")), F.array_distinct("_t"), "term", peer)
+    texts = texts.where((F.length("term") >= 3) & F.col("term").rlike(r"^\p{L}+$"))
+    labels = unnest(docs.select(peer, search_tokens(F.col("title")).alias("_t")), "_t", "term", peer)
+    return texts.select(peer, "term").union(labels.select(peer, "term")).distinct()
 
 
 def route_peers(vocabulary: DataFrame, query: str, peer: str = "peer") -> DataFrame:
-    """Peers whose published words meet the query words."""
-    words = [w.lower() for w in query.split()]
-    return vocabulary.where(F.col("term").isin(*words)).select(peer).distinct()
+    """Peers whose published words meet the query words, both folded."""
+    return vocabulary.where(F.col("term").isin(*query_words(query))).select(peer).distinct()
 
 
 def peer_search(

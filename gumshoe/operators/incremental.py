@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gumshoe.operators.ranking import first_by_key, join_same
 from gumshoe.quest import KINDS, Quest
 
 
@@ -69,7 +70,7 @@ def profile_diff(snapshots: DataFrame, keys: Sequence[str] = ("did",), order: Se
     lasts = rows.groupBy(*keys, "_day").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("_last"))
     days = Window.partitionBy(*keys).orderBy("_day")
     carried = lasts.select(*keys, "_day", F.lag("_last").over(days).alias("_yesterday"))
-    looked = rows.withColumn("_today", F.lag(F.struct(*fields)).over(inside)).join(carried, [*keys, "_day"])
+    looked = join_same(rows.withColumn("_today", F.lag(F.struct(*fields)).over(inside)), carried, [*keys, "_day"])
     before = F.coalesce("_today", "_yesterday")
     names = F.array(*[F.lit(f) for f in fields])
     entries = F.map_from_arrays(names, F.array(*[before[f].cast("string") for f in fields]))
@@ -91,8 +92,9 @@ def rag_find(manifest: DataFrame, collection: str, pattern: str) -> DataFrame:
 
 
 def incr_feed(stored: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Stored rows plus the incoming ones whose key is new, each once."""
-    fresh = incoming.join(stored.select(*key), [*key], "left_anti").dropDuplicates([*key])
+    """Stored rows plus the incoming ones whose key is new, each once: the first of its copies in the
+    order of their other columns."""
+    fresh = first_by_key(incoming.join(stored.select(*key), [*key], "left_anti"), [*key], [])
     return stored.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,14 @@ from pyspark.sql import functions as F
 from gumshoe.session import pin
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys meet; the keys and other columns of `left`, then the rest of `right`."""
+    named = {k: f"_same_{k}" for k in keys}
+    other = right.withColumnsRenamed(named)
+    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    return left.join(other, match, how).drop(*named.values())
+
+
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key. An aggregate of one struct: partial results are merged before the
     shuffle, so a hot key sends one row per task."""
@@ -44,7 +53,7 @@ def ranked(df: DataFrame, order: Sequence[Column], within: Sequence[str] = (), n
     before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_part", *within, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     numbered = placed.withColumn("_pos", F.row_number().over(inside))
-    out = numbered.join(shifts, ["_part", *within])
+    out = join_same(numbered, shifts, ["_part", *within])
     return out.select(*df.columns, (F.col("_pos") + F.col("_shift")).alias(name))
 
 
@@ -73,7 +82,8 @@ def carry_forward(
     filled = rows.select(
         *[c for c in rows.columns if c not in values],
         *[F.last(v, ignorenulls=True).over(inside).alias(v) for v in values],
-    ).join(carried, [*keys, "_chunk"])
+    )
+    filled = join_same(filled, carried, [*keys, "_chunk"])
     return filled.select(
         *[c for c in df.columns if c not in values],
         *[F.coalesce(v, "_from_" + v).alias(v) for v in values],

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions import similarity
-from gumshoe.functions.text import context, fold_accents, sanitize_label
+from gumshoe.functions.text import context, fold_accents, fold_text, sanitize_label
 from gumshoe.operators.attributes import source_url
 from gumshoe.operators.filters import get_events, get_idents, get_orgs
-from gumshoe.operators.index import fields, search_tokens, stem
+from gumshoe.operators.index import fields, search_tokens, stem, term_counts
 from gumshoe.operators.ranking import sort_dated
 from gumshoe.plans.report import get_sources
 from gumshoe.quest import Quest
@@ -21,16 +21,13 @@ from gumshoe.session import pin
 
 # BM25 constants, the floor of the length norm, and the smallest idf.
 K1, B, MIN_NORM, MIN_IDF = 1.2, 0.3, 0.5, 1e-6
-FUZZY_POOL = 200
 
 
 def query_words(query: str) -> list[str]:
     """Folded words of a query, each once. Computed on the parameter, not on data."""
     import re
-    import unicodedata
 
-    folded = "".join(c for c in unicodedata.normalize("NFKD", query) if not unicodedata.combining(c))
-    words = re.sub(r"[^\w\s]", " ", folded.replace("ß", "ss").lower()).split()
+    words = re.sub(r"[^\w\s]", " ", fold_text(query).lower()).split()
     return list(dict.fromkeys(words))
 
 
@@ -53,6 +50,13 @@ def field_hits(docs: DataFrame, words: Sequence[str], weighted: bool = False) ->
     )
 
 
+def joined_hits(docs: DataFrame, terms: DataFrame, weighted: bool = False) -> DataFrame:
+    """`field_hits` for any number of terms: the counted words of the documents meet them in a join."""
+    counts = term_counts(fields(docs, weighted))
+    lengths = counts.groupBy("doc").agg(F.sum("tf").alias("tf")).select("doc", F.lit("").alias("term"), "tf")
+    return counts.join(terms, "term", "left_semi").select("doc", "term", "tf").union(lengths)
+
+
 def bm25(hits: DataFrame, lengths: DataFrame, words: Sequence[str], op: str = "or", by: str | None = None) -> DataFrame:
     """(doc, score) from hits (doc, term, tf) and lengths (doc, doc_len). With `and` a document
     must hold every word. `by` names a column (a peer) with statistics of its own."""
@@ -91,10 +95,11 @@ def search_bm25(
     """Documents with raw score and percent of the best, filtered by facets. Not cut or sorted:
     page, rerank or sort the result. Statistics are those of the whole index."""
     words = query_words(query)
-    if synonyms is not None:
-        words = expand_synonyms(synonyms, words)
     # Hits, lengths and statistics all come from here: written once, the texts are read once.
-    rows = pin(field_hits(docs, words, weighted))
+    if synonyms is None:
+        rows = pin(field_hits(docs, words, weighted))
+    else:
+        rows = pin(joined_hits(docs, expand_synonyms(synonyms, words), weighted))
     lengths = rows.where("term = ''").select("doc", F.col("tf").alias("doc_len"))
     scored = bm25(rows.where("term <> ''"), lengths, words, op)
     found = docs.drop("data").join(scored, "doc")
@@ -126,15 +131,13 @@ def synonym_pairs(docs: DataFrame) -> DataFrame:
     return unnest(each, "_v", "other", "variant", "doc").where(F.col("variant") != F.col("other"))
 
 
-def expand_synonyms(pairs: DataFrame, words: Sequence[str], limit: int = 10_000) -> list[str]:
-    """The query words plus the words of every variant of an entity that one of them, or all
-    together, name. A name borne by more than `limit` variants is refused, not cut."""
+def expand_synonyms(pairs: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(term): the query words plus the words of every variant of an entity that one of them, or all
+    together, name."""
     named = [*words, " ".join(words)]
-    rows = pairs.where(F.col("variant").isin(*named)).select("other").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} synonyms; narrow the query")
-    extra = [w for r in rows for w in query_words(r.other)]
-    return list(dict.fromkeys([*words, *sorted(extra)]))
+    own = pairs.sparkSession.createDataFrame([(w,) for w in words], "term string")
+    others = pairs.where(F.col("variant").isin(*named)).select("other").distinct()
+    return own.union(others.select(F.explode(search_tokens(F.col("other"))))).distinct()
 
 
 def search_synonyms(docs: DataFrame, name: str) -> DataFrame:
@@ -177,12 +180,9 @@ def snippets(page: DataFrame, docs: DataFrame, query: str, distance: int = 60, h
     return rows.withColumn("context", context(F.coalesce("data", F.lit("")), query, distance, highlight)).drop("data")
 
 
-def search_fuzzy(found: DataFrame, query: str, threshold: float = 70.0, pool: int = FUZZY_POOL) -> DataFrame:
-    """Rerank the best `pool` results by string likeness of title and description.
-
-    The pool is part of the operator: its 200 rows are scored in one Arrow batch.
-    """
-    best = found.orderBy(F.desc("score"), "doc").limit(pool)
+def search_fuzzy(found: DataFrame, query: str, threshold: float = 70.0) -> DataFrame:
+    """Rerank the results by string likeness of title and description. Every result is scored, in
+    Arrow batches; a page is cut from the ranking, not before it."""
     text = F.lower(F.concat_ws(" ", F.col("title"), F.when(F.col("description") != "", F.col("description"))))
     wanted = query.lower()
 
@@ -191,7 +191,7 @@ def search_fuzzy(found: DataFrame, query: str, threshold: float = 70.0, pool: in
         rows = [similarity.fuzzy_score(wanted, t) for t in texts]
         return pd.DataFrame(rows, columns=["fuzzy", "phonetic", "all_tokens"])
 
-    scored = best.withColumn("_f", score(text)).where(F.col("_f.fuzzy") >= threshold)
+    scored = found.withColumn("_f", score(text)).where(F.col("_f.fuzzy") >= threshold)
     fuzzy = F.col("_f.fuzzy")
     share = 0.3 + fuzzy / 100 * 0.2
     return scored.select(

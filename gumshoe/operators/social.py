@@ -132,7 +132,9 @@ def toxicity_means(posts: DataFrame, scores: DataFrame) -> DataFrame:
 def account_ai(posts: DataFrame, results: DataFrame) -> DataFrame:
     """(did, label, n, average_score) of generated-text labels; the mean is per account."""
     rows = posts.select("did", "cid").join(results, "cid")
-    means = rows.groupBy("did").agg(F.avg("score").alias("average_score"))
+    # As decimals: a binary sum depends on the order of its parts, and so does its rounding.
+    exact = F.sum(F.col("score").cast("decimal(20,9)")) / F.count("score")
+    means = rows.groupBy("did").agg(exact.alias("average_score"))
     return rows.groupBy("did", "label").agg(F.count(F.lit(1)).alias("n")).join(means, "did")
 
 

@@ -94,9 +94,10 @@ def test_text(call):
     assert call(lambda x: text.sanitize_label(x), "a\\nb") == "a b"
 
 
-def test_fold_unicode(spark):
-    df = spark.createDataFrame([("Ďáblík",)], "x string")
-    assert df.select(text.fold_unicode()("x")).first()[0] == "Dablik"
+@pytest.mark.parametrize(("word", "plain"), [("Dvořák", "Dvorak"), ("Łódź", "Lodz"), ("Weißæ", "Weissae"), ("Москва", "Moskva"), ("Αθήνα", "Athena"), ("e\u0301", "e"), ("漢", "漢")])
+def test_fold(call, word, plain):
+    assert call(text.fold_accents, word) == plain == text.fold_text(word)
+    assert call(text.slugify, "Dvořák \"Łódź") == "Dvorak_odz"
 
 
 def test_permutations(spark):
