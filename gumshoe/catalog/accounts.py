@@ -311,20 +311,26 @@ VIEWS["replies"] = (
 )
 
 
-@query(
-    "thread_text",
-    """with recursive """
-    + f"replies as ({VIEWS['replies'][1]}), "
-    + """nexts as (select parent, did, arg_min(cid, (turn, cid)) as cid, arg_min(text, (turn, cid)) as text from replies where parent is not null group by 1, 2),
+_CHAIN = (
+    f"""with recursive replies as ({VIEWS['replies'][1]}),
+    nexts as (select parent, did, arg_min(cid, (turn, cid)) as cid, arg_min(text, (turn, cid)) as text from replies where parent is not null group by 1, 2),
     chain as (select cid as root, did, cid as last, 0 as depth, text from replies where parent is null
-        union all select c.root, c.did, n.cid, c.depth + 1, n.text from chain c join nexts n on n.parent = c.last and n.did = c.did)
-    select root, did, max(depth)::int as replies, sha256(string_agg(text, chr(10) order by depth)) as digest from chain group by 1, 2""",
+        union all select c.root, c.did, n.cid, c.depth + 1, n.text from chain c join nexts n on n.parent = c.last and n.did = c.did) """
 )
+
+
+@query("thread_text", _CHAIN + "select root, did, max(depth)::int as replies, sha256(string_agg(text, chr(10) order by depth)) as digest from chain group by 1, 2")
 def thread_text(spark, sf):
     out = social.thread_text(_replies(spark, sf))
     return out.select("root", "did", "replies", F.sha2("text", 256).alias("digest"))
 
 
+@query("thread_rows", _CHAIN + "select root, did, depth::int as step, last as cid, sha256(text) as digest from chain")
+def thread_rows(spark, sf):
+    rows, _ = social.thread_rows(_replies(spark, sf))
+    return rows.select("root", "did", "step", "cid", F.sha2("text", 256).alias("digest"))
+
+
 @query(
     "story_tree",
     "with recursive "
@@ -334,4 +340,4 @@ def thread_text(spark, sf):
     select root, name, parent, pager from tree""",
 )
 def story_tree(spark, sf):
-    return social.story_tree(_replies(spark, sf).select(col("cid").alias("name"), "parent"))
+    return social.story_tree(_replies(spark, sf).select(col("cid").alias("name"), "parent"))[0]

@@ -10,15 +10,15 @@ from gumshoe.catalog.views import with_views
 from gumshoe.functions import dates, hashes, language, lists, permute, points, story, text, urls
 from gumshoe.operators import filters, ranking
 from gumshoe.sources import html
-from gumshoe.sources.tables import posts, quest_from_tables, spread, table
+from gumshoe.sources.tables import posts, quest_from_tables, table
 
 
 def _documents(spark, sf):
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def _pages(spark, sf):
-    return spread(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 

@@ -14,7 +14,7 @@ from gumshoe.functions.lists import joined
 from gumshoe.functions.text import tokens
 from gumshoe.operators import fusion, index, search
 from gumshoe.session import shared_dir
-from gumshoe.sources.tables import quest_from_tables, spread, table, text_docs
+from gumshoe.sources.tables import quest_from_tables, table, text_docs
 
 QUERY = "Que les éque la"
 _Q = search.query_words(QUERY)
@@ -24,7 +24,7 @@ _QIN = "(" + ", ".join(f"'{w}'" for w in _Q) + ")"
 def corpus(spark, sf):
     """Every document as a search document: title and alternative labels are its first words."""
     key = col("doc_id")
-    docs = spread(table(spark, sf, "documents"), "doc_id").withColumn("w", tokens(col("text")))
+    docs = table(spark, sf, "documents").withColumn("w", tokens(col("text")))
 
     def words(first, last):
         return F.array_join(F.slice("w", first, last - first + 1), " ")

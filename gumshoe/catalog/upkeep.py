@@ -11,7 +11,7 @@ from gumshoe.catalog.views import VIEWS, with_views
 from gumshoe.functions import hashes, language
 from gumshoe.functions.language import with_language
 from gumshoe.operators import incremental, integrity
-from gumshoe.sources.tables import TABLES, posts, quest_from_tables, snapshots, spread, table
+from gumshoe.sources.tables import TABLES, posts, quest_from_tables, snapshots, table
 from gumshoe.streaming import feeds
 
 
@@ -84,7 +84,7 @@ _N_LANG = ", ".join(
         where found_lang is distinct from 'en'""",
 )
 def chk_translation(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     emptied = with_language(docs, out="detected").withColumn("text", F.when(col("doc_id") % 10 == 0, "").otherwise(col("text")))
     return integrity.check_translation(emptied, "en", "detected").select("doc_id", "found_lang")
 

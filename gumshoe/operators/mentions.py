@@ -15,77 +15,66 @@ from gumshoe.operators.attributes import inherit_org_cats
 from gumshoe.quest import Quest
 
 MAX_WORDS = 4
-LITERAL_PHRASES = 2_000
+
+
+def label_phrases(label: Column, max_words: int) -> Column:
+    """Every word order of a label; a longer one only as it is written."""
+    written = F.array(F.lower(label))
+    return F.when(F.size(F.split(label, " ", -1)) > max_words, written).otherwise(word_permutations(label, max_words))
 
 
 def phrase_dict(entities: DataFrame, label: str = "label", altlabels: str | None = "altlabels") -> DataFrame:
-    """(phrase, key): every word order of labels up to 4 words and alternative labels up to 3;
-    the first entity by name keeps a phrase."""
+    """(phrase, key): every word order of labels up to 4 words and alternative labels up to 3, longer
+    ones as they are written; the first entity by name keeps a phrase. Empty labels give none."""
     entities = entities.withColumn("_label", sanitize_label(F.col(label)))
-    phrases = word_permutations(F.col("_label"), MAX_WORDS)
+    phrases = label_phrases(F.col("_label"), MAX_WORDS)
     if altlabels and altlabels in entities.columns:
         others = F.transform(
-            F.coalesce(altlabels, F.array().cast("array<string>")), lambda a: word_permutations(F.trim(a), 3)
+            F.coalesce(altlabels, F.array().cast("array<string>")), lambda a: label_phrases(F.trim(a), 3)
         )
         phrases = F.array_distinct(F.concat(phrases, F.flatten(others)))
-    return unnest(entities, phrases, "phrase", "name").groupBy("phrase").agg(F.min("name").alias("key"))
+    rows = unnest(entities, phrases, "phrase", "name").where(F.trim("phrase") != "")
+    return rows.groupBy("phrase").agg(F.min("name").alias("key"))
 
 
 def phrase_dict_desc(entities: DataFrame, label: str = "label", description: str = "description") -> DataFrame:
     """The older variant: word orders of the label and of the description, both up to 4 words."""
     texts = F.array(sanitize_label(F.col(label)), sanitize_label(F.coalesce(description, label)))
-    phrases = F.flatten(F.transform(texts, lambda t: word_permutations(t, MAX_WORDS)))
-    rows = unnest(entities, F.array_distinct(phrases), "phrase", "name")
+    phrases = F.flatten(F.transform(texts, lambda t: label_phrases(t, MAX_WORDS)))
+    rows = unnest(entities, F.array_distinct(phrases), "phrase", "name").where(F.trim("phrase") != "")
     return rows.groupBy("phrase").agg(F.min("name").alias("key"))
 
 
-def ngrams(words: Column, starts: Column, up_to: int) -> Column:
-    """Runs of 1..`up_to` words from the given 1-based starts. Both should be plain columns
-    (see `match_phrases`)."""
-    size = F.size(words)
-
-    def runs(n: int) -> Column:
-        fitting = F.filter(starts, lambda i: i + n - 1 <= size)
-        return F.transform(fitting, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    return F.flatten(F.array(*[runs(n) for n in range(1, up_to + 1)]))
-
-
-def _starts(dictionary: DataFrame) -> Column:
-    """Where in `_w` a phrase may start: where a first word of the dictionary stands. Beyond
-    `LITERAL_PHRASES` first words every place counts; the join then decides alone."""
-    places = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"))).otherwise(F.array().cast("array<int>"))
-    firsts = dictionary.select(F.substring_index("phrase", " ", 1).alias("w")).distinct()
-    rows = firsts.limit(LITERAL_PHRASES + 1).collect()
-    if len(rows) > LITERAL_PHRASES or not rows:
-        return places
-    known = [r.w for r in rows]
-    return F.filter(places, lambda i: F.get("_w", i - 1).isin(*known))
-
-
 def match_phrases(
     docs: DataFrame, dictionary: DataFrame, occurrences: bool = False, key: str = "source", text: str = "text"
 ) -> DataFrame:
     """(source, key, n): `n` phrase variants of the entity occur between blanks in the text.
 
-    The text's word runs meet the dictionary in an equi join, so the cost is that of the text,
-    whatever the size of the dictionary. A run touching either end of the text has no blank on
-    that side and does not count. `occurrences=True` adds how often they occur.
+    Places whose word begins a phrase are found in one equi join, the runs of words from there meet
+    the phrases in a second, so the cost is that of the text, whatever the size of the dictionary. A
+    phrase of more than MAX_WORDS words meets on its first ones; the rest is compared then. A run
+    touching either end of the text has no blank on that side and does not count.
+    `occurrences=True` adds how often they occur.
     """
-    # The token list is its own column: an array expression inside a lambda would be evaluated
-    # again for every element.
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
     inner = words.select(key, F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))).alias("_w"))
-    inner = inner.withColumn("_s", _starts(dictionary))
-    runs = ngrams(F.col("_w"), F.col("_s"), MAX_WORDS)
-    found = unnest(inner, runs if occurrences else F.array_distinct(runs), "phrase", key)
-    hits = found.join(dictionary, "phrase")
-    if not occurrences:
-        return hits.groupBy(key, "key").agg(F.count(F.lit(1)).alias("n"))
+    known = dictionary.select("phrase", "key", F.split("phrase", " ", -1).alias("_p"))
+    firsts = known.select(F.get("_p", F.lit(0)).alias("_first")).distinct()
+    # Each place takes its own few words along, never the text.
+    places = F.transform("_w", lambda w, i: F.struct(i.alias("at"), w.alias("first"), F.slice("_w", i + 1, MAX_WORDS).alias("r")))
+    placed = unnest(inner, places, "_e", key).select(key, F.col("_e.at").alias("_at"), F.col("_e.first").alias("_first"), F.col("_e.r").alias("_r"))
+    placed = placed.join(firsts, "_first", "left_semi")
+    runs = F.transform(F.sequence(F.lit(1), F.size("_r")), lambda n: F.array_join(F.slice("_r", 1, n), " "))
+    found = placed.select(key, "_at", F.explode(runs).alias("phrase"))
+    heads = known.select("key", F.col("phrase").alias("_whole"), F.size("_p").alias("_n"), F.array_join(F.slice("_p", 1, MAX_WORDS), " ").alias("phrase"))
+    short = found.join(heads.where(F.col("_n") <= MAX_WORDS), "phrase").select(key, "key", "phrase")
+    begun = found.join(heads.where(F.col("_n") > MAX_WORDS), "phrase").select(key, "key", "_whole", "_at", "_n")
+    whole = F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ")
+    long = begun.join(inner, key).where(whole == F.col("_whole")).select(key, "key", F.col("_whole").alias("phrase"))
+    hits = short.unionByName(long)
     per_phrase = hits.groupBy(key, "key", "phrase").agg(F.count(F.lit(1)).alias("_times"))
-    return per_phrase.groupBy(key, "key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_times").alias("occurrences")
-    )
+    n = F.count(F.lit(1)).alias("n")
+    return per_phrase.groupBy(key, "key").agg(*([n, F.sum("_times").alias("occurrences")] if occurrences else [n]))
 
 
 def match_idents(docs: DataFrame, idents: DataFrame, *taken: DataFrame, **options) -> DataFrame:
@@ -97,28 +86,14 @@ def match_idents(docs: DataFrame, idents: DataFrame, *taken: DataFrame, **option
 def match_substrings(docs: DataFrame, dictionary: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
     """(source, key, n): phrases occurring anywhere in the cleaned text, no word bounds.
 
-    Countries are few: up to `LITERAL_PHRASES` the dictionary becomes a literal and the match a
-    narrow filter per text. A larger one goes through `match_substrings_by_gram`.
+    For a dictionary of any size: the first three characters of a phrase must occur in the text,
+    which makes an equi join; the candidates are then checked in full. Empty phrases match nothing.
     """
-    rows = dictionary.limit(LITERAL_PHRASES + 1).collect()
-    if len(rows) > LITERAL_PHRASES:
-        return match_substrings_by_gram(docs, dictionary, key, text)
-    if not rows:
-        return docs.select(key, F.lit("").alias("key"), F.lit(0).cast("bigint").alias("n")).where("false")
-    pairs = F.array(*[F.struct(F.lit(r.phrase).alias("phrase"), F.lit(r.key).alias("key")) for r in rows])
-    cleaned = docs.select(key, clean_text(F.col(text)).alias("_clean"))
-    hits = unnest(cleaned, F.filter(pairs, lambda p: F.contains(F.col("_clean"), p["phrase"])), "hit", key)
-    return hits.groupBy(key, F.col("hit.key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def match_substrings_by_gram(docs: DataFrame, dictionary: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
-    """The same for a dictionary of any size: the first three characters of a phrase must occur
-    in the text, which makes an equi join; the candidates are then checked in full."""
     cleaned = docs.select(key, clean_text(F.col(text)).alias("_clean"))
     spelled = cleaned.select(key, F.split("_clean", "", -1).alias("_chars"))
+    wanted = dictionary.where(F.col("phrase") != "").withColumn("_gram", F.substring("phrase", 1, 3))
     grams = F.flatten(F.array(*[_grams(F.col("_chars"), n) for n in (1, 2, 3)]))
     keyed = unnest(spelled, F.array_distinct(grams), "_gram", key)
-    wanted = dictionary.withColumn("_gram", F.substring("phrase", 1, 3))
     candidates = keyed.join(wanted, "_gram").select(key, "phrase", "key")
     hits = candidates.join(cleaned, key).where(F.contains("_clean", F.col("phrase")))
     return hits.groupBy(key, "key").agg(F.count(F.lit(1)).alias("n"))

@@ -234,59 +234,62 @@ def ratio_history(changes: DataFrame, current: DataFrame, now: str | Column) ->
     return known.select("did", "at", F.col("followers_count").alias("followers"), F.col("follows_count").alias("follows"), ratio.alias("ratio"))
 
 
-def thread_text(replies: DataFrame) -> DataFrame:
-    """(root, did, text, replies): the chain of same-author replies under each root post, joined
-    by lines.
+def under_roots(links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, root, steps) for every node whose chain of parents ends at a root, (node) for the others
+    that were still on their way when a round found none: members of circles and what hangs from them).
+
+    `links` is (node, parent), one parent for each node; `roots` is (node). Each node jumps twice as far
+    every round, so the rounds grow with the logarithm of the depth, and every round is one equi
+    join, written so that the plan stays flat. A chain that leaves the table drops out.
+    """
+    done = pin(roots.select("node", F.col("node").alias("up"), F.lit(0).alias("steps")))
+    left = pin(links.select("node", F.col("parent").alias("up"), F.lit(1).alias("steps")))
+    while True:
+        both = left.withColumn("_end", F.lit(False)).unionByName(done.withColumn("_end", F.lit(True)))
+        jump = both.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), "_end")
+        moved = pin(
+            left.join(jump, "up").select("node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), "_end")
+        )
+        found = moved.where("_end").drop("_end")
+        left = moved.where("not _end").drop("_end")
+        # Were there a chain still open, the nodes up to twice the depth reached would have ended now.
+        if found.isEmpty():
+            return done.select("node", F.col("up").alias("root"), "steps"), left.select("node")
+        done = done.unionByName(found)
+
+
+def thread_rows(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((root, did, step, cid, text): the chain of same-author replies under each root post, in rows,
+    (cid) of the posts that answer each other in a circle).
 
     `replies` is (cid, parent, did, created_at, text). The first same-author reply to a post (by
-    time, then id) continues its chain, so every chained post has one predecessor. Each post
-    finds its root by jumping twice as far every round: the rounds grow with the logarithm of
-    the longest thread, and every round is one equi join on distinct posts, written so that the
-    plan stays flat.
+    time, then id) continues its chain, so every chained post has one predecessor.
     """
     posts = pin(replies.select("cid", "parent", "did", "created_at", "text"))
     answers = posts.where(F.col("parent").isNotNull()).select("parent", "did", "created_at", "cid")
     chained = first_by_key(answers, ["parent", "did"], ["created_at", "cid"])
     authors = posts.select(F.col("cid").alias("parent"), "did")
-    links = chained.join(authors, ["parent", "did"], "left_semi")
-    # (cid, up, steps): `up` is the post `steps` before; a root is its own end.
-    ends = posts.where(F.col("parent").isNull()).select("cid", F.col("cid").alias("up"), F.lit(0).alias("steps"))
-    done = [ends]
-    open_ = pin(links.select("cid", F.col("parent").alias("up"), F.lit(1).alias("steps")))
-    while not open_.isEmpty():
-        # Within a thread no two open posts point to the same one, so no key is hot.
-        both = open_.withColumn("_end", F.lit(False)).unionByName(ends.withColumn("_end", F.lit(True)))
-        jump = both.select(F.col("cid").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), "_end")
-        # A predecessor outside every chain drops out: its thread has no root here.
-        moved = pin(
-            open_.join(jump, "up").select(
-                "cid", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), "_end"
-            )
-        )
-        done.append(moved.where("_end").drop("_end"))
-        open_ = moved.where("not _end").drop("_end")
-        ends = reduce(DataFrame.unionByName, done)
-    placed = reduce(DataFrame.unionByName, done).join(posts.select("cid", "did", "text"), "cid")
-    # One thread is one result row: its own posts, in order.
-    return placed.groupBy(F.col("up").alias("root"), "did").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("steps", "text")))["text"], "\n").alias("text"),
-        F.max("steps").alias("replies"),
-    )
-
+    links = chained.join(authors, ["parent", "did"], "left_semi").select(F.col("cid").alias("node"), "parent")
+    placed, circles = under_roots(links, posts.where(F.col("parent").isNull()).select(F.col("cid").alias("node")))
+    rows = placed.select(F.col("node").alias("cid"), "root", F.col("steps").alias("step")).join(posts.select("cid", "did", "text"), "cid")
+    return rows.select("root", "did", "step", "cid", "text"), circles.select(F.col("node").alias("cid"))
 
-def story_tree(stories: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(root, name, parent, pager): every story under its root, the page number being its depth.
 
-    One equi join per level; levels are written so the plan stays flat."""
-    level = stories.where(F.col("parent").isNull()).select(
-        F.col("name").alias("root"), "name", "parent", F.lit(1).alias("pager")
+def thread_text(replies: DataFrame) -> DataFrame:
+    """(root, did, text, replies): the same chains with their texts joined by lines, for threads that
+    fit a cell; `thread_rows` gives them in rows."""
+    rows, _ = thread_rows(replies)
+    return rows.groupBy("root", "did").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("step", "text")))["text"], "\n").alias("text"),
+        F.max("step").alias("replies"),
     )
-    out = level
-    children = stories.where(F.col("parent").isNotNull())
-    for pager in range(2, max_depth + 1):
-        found = children.join(level.select("root", F.col("name").alias("parent")), "parent")
-        level = pin(found.select("root", "name", "parent", F.lit(pager).alias("pager")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"stories nest deeper than {max_depth}, or run in a circle")
+
+
+def story_tree(stories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((root, name, parent, pager): every story under its root, the page number being its depth,
+    (name) of the stories that run in a circle or hang from one)."""
+    links = stories.where(F.col("parent").isNotNull()).select(F.col("name").alias("node"), "parent")
+    roots = stories.where(F.col("parent").isNull()).select(F.col("name").alias("node"))
+    placed, circles = under_roots(links, roots)
+    named = placed.select("root", F.col("node").alias("name"), (F.col("steps") + 1).alias("pager"))
+    return named.join(stories.select("name", "parent"), "name").select("root", "name", "parent", "pager"), circles.select(F.col("node").alias("name"))

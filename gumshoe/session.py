@@ -1,4 +1,4 @@
-"""Session helpers: a tuned local session, the shared checkpoint folder, checked broadcasts."""
+"""Session helpers: a tuned local session, the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
 
 
 def get_spark(app: str = "gumshoe", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,13 +58,3 @@ def pin(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_dir(spark), "pinned", uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Count at most `max_rows + 1` rows; hint a broadcast only when the table is within bounds.
-
-    Returns the (possibly hinted) table and whether it was small, so that callers can take
-    their shuffle path otherwise.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small

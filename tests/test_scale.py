@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from gumshoe.functions import similarity
-from gumshoe.operators import incremental, mentions, ranking, search
-from gumshoe.operators.social import ratio_history, thread_text
+from gumshoe.operators import fusion, incremental, mentions, ranking, search, words
+from gumshoe.operators.social import ratio_history, story_tree, thread_rows, thread_text
 
 
 @pytest.fixture(scope="module")
@@ -58,12 +58,59 @@ def test_profile_diff_equals_lag(skewed):
     assert rows(got.fillna("-")) == rows(want.fillna("-"))
 
 
-def test_substring_match_both_ways(spark):
+def test_substring_match(spark):
     docs = spark.createDataFrame([("s1", "The Irish and Iran, irritable"), ("s2", "nothing"), ("s3", "Uk"), ("s4", "")], "source string, text string")
-    words = spark.createDataFrame([("iran", "c.iran"), ("ir", "c.ir"), ("uk", "c.uk"), ("ish and", "c.x"), ("zz", "c.z")], "phrase string, key string")
-    literal = rows(mentions.match_substrings(docs, words))
-    assert literal == rows(mentions.match_substrings_by_gram(docs, words))
-    assert ("s3", "c.uk", 1) in literal and ("s1", "c.x", 1) in literal
+    words = spark.createDataFrame([("iran", "c.iran"), ("ir", "c.ir"), ("uk", "c.uk"), ("ish and", "c.x"), ("zz", "c.z"), ("", "c.empty")], "phrase string, key string")
+    assert rows(mentions.match_substrings(docs, words)) == [("s1", "c.ir", 1), ("s1", "c.iran", 1), ("s1", "c.x", 1), ("s3", "c.uk", 1)]
+
+
+def test_long_labels_match_as_written(spark):
+    docs = spark.createDataFrame(
+        [("s1", "the United Nations High Commissioner for Refugees spoke"), ("s2", "a United Nations High Commissioner for Nothing spoke"), ("s3", "x nations united y")],
+        "source string, text string",
+    )
+    entities = spark.createDataFrame(
+        [("org.u", "United Nations High Commissioner for Refugees", ["United Nations"]), ("org.e", "", [""]), ("org.n", None, None)],
+        "name string, label string, altlabels array<string>",
+    )
+    got = rows(mentions.match_phrases(docs, mentions.phrase_dict(entities), occurrences=True))
+    assert got == [("s1", "org.u", 2, 2), ("s2", "org.u", 1, 1), ("s3", "org.u", 1, 1)]
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), (None, 2, 1.0), (None, 3, 3.0)], "peer string, doc int, score double")
+    got = {r.doc: r["rank"] for r in ranking.ranked(df, [F.asc("doc")], ["peer"]).collect()}
+    assert got == {1: 1, 2: 1, 3: 2}
+    assert {r.doc: r.normalized_score for r in fusion.norm_minmax(df).collect()} == {1: 1.0, 2: 0.0, 3: 1.0}
+    assert {r.doc: r.normalized_score for r in fusion.norm_rank(df, ["doc"]).collect()} == {1: 1.0, 2: 0.0, 3: 1.0}
+    filled = ranking.carry_forward(df.withColumn("v", F.when(F.col("doc") == 2, 7)), ["peer"], ["doc"], ["v"], F.lit(0))
+    assert {r.doc: r.v for r in filled.collect()} == {1: None, 2: 7, 3: 7}
+
+
+def test_words_beyond_the_report_decide_a_sum(spark):
+    """A word that is 31st in every source is first over all of them."""
+    docs = spark.createDataFrame(
+        [(f"s{i}", " ".join(" ".join([f"word{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}"] * 3) for k in range(30)) + " common common") for i in range(6)],
+        "source string, text string",
+    )
+    top = words.cloud_terms(words.words_engine(docs), 1).first()
+    assert (top.key, top.n) == ("common", 12)
+
+
+def test_reply_circles_end(spark):
+    data = [("1", None, "a", 1, "root"), ("2", "1", "a", 2, "more"), ("3", "4", "a", 3, "x"), ("4", "3", "a", 4, "y"), ("5", "4", "a", 5, "z"), ("6", "gone", "a", 6, "lost")]
+    replies = spark.createDataFrame(data, "cid string, parent string, did string, created_at int, text string")
+    placed, circles = thread_rows(replies)
+    assert [(r.root, r.step, r.text) for r in placed.orderBy("step").collect()] == [("1", 0, "root"), ("1", 1, "more")]
+    assert rows(circles) == [("3",), ("4",)]
+    tree, circles = story_tree(replies.select(F.col("cid").alias("name"), "parent"))
+    assert rows(tree.select("name", "pager")) == [("1", 1), ("2", 2)] and rows(circles) == [("3",), ("4",), ("5",)]
+
+
+def test_deep_story_tree(spark):
+    stories = spark.range(5000).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
+    tree, circles = story_tree(stories)
+    assert tree.agg(F.max("pager"), F.count("name")).first()[:] == (5000, 5000) and circles.isEmpty()
 
 
 def test_phrases_touching_an_end_do_not_count(spark):
