@@ -5,17 +5,18 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gumshoe.llm.common import BATCH_ROWS, map_batches
+from gumshoe.llm.common import BATCH_ROWS, map_batches, small_batches
 from gumshoe.llm.units import unit_lists
 
 #: Characters of text whose words share one index; words already encoded by the task are remembered.
-BLOCK_CHARS = 6_000_000
-KNOWN_WORDS = 250_000
+BLOCK_CHARS = 4_000_000
+KNOWN_WORDS = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -130,7 +131,9 @@ class BlockEncoder:
         words: dict[str, None] = {}
         for blank in (0, 1):
             known, older = self.units[blank], self.older[blank]
-            for unit in new[blank] - known.keys():
+            for unit in new[blank]:
+                if unit in known:
+                    continue
                 if unit in older:
                     known[unit] = older[unit]
                     continue
@@ -154,6 +157,12 @@ class BlockEncoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def _encoder(ranks_path: str, pattern: str) -> BlockEncoder:
+    """One for each worker process, so that words met by an earlier task are not replayed again."""
+    return BlockEncoder(read_ranks(ranks_path), pattern)
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, text in enumerate(texts):
@@ -177,7 +186,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BlockEncoder(read_ranks(ranks_path), pattern)
+        encoder = _encoder(ranks_path, pattern)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for at, end in _blocks(texts):
@@ -188,6 +197,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                     yield pa.record_batch([batch.column(0).slice(part, stop - part), counts, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 
 

@@ -10,12 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import BATCH_ROWS, Scratch, map_batches, texts_of
+from gumshoe.llm.common import BATCH_ROWS, Scratch, map_batches, small_batches, texts_of
 
 #: Most frequent pre-tokens whose piece counts every task holds: at most so many rows are broadcast.
-FREQUENT = 400_000
+FREQUENT = 300_000
 #: Distinct pre-tokens a task gathers before it passes their counts on.
-GATHERED = 200_000
+GATHERED = 150_000
 
 
 def pre_tokens(text: str) -> list[bytes]:
@@ -93,6 +93,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     repeated rows are counted apart; no rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "token-counts")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = scratch.keep(piece_counts(frequencies(rows), tokenizer_path))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from gumshoe.llm.common import Recent, map_batches, texts_of
 
 #: The model is fitted on at most so many labelled documents and characters.
-SAMPLE_DOCS = 12_000
-SAMPLE_CHARS = 60_000_000
-EPOCHS = 150
+SAMPLE_DOCS = 8_000
+SAMPLE_CHARS = 30_000_000
+EPOCHS = 100
 DECAY = 0.5
 #: Features in fewer sample documents, or with a weaker log odds ratio in standard errors, get no weight.
 LEAST_DOCS, LEAST_ODDS, FEATURES = 4, 2.0, 5000
@@ -62,9 +62,9 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def telling_features(texts: list[str], toxic: list[int]) -> list[str]:
     """The features whose share among toxic documents differs most clearly from that among the others."""
-    counts = (Counter(), Counter())
+    counts, features = (Counter(), Counter()), Recent(features_of)
     for text, label in zip(texts, toxic):
-        counts[label > 0].update({x for t in set(tokens_of(text)) for x in features_of(t)})
+        counts[label > 0].update(set().union(*map(features.__getitem__, set(tokens_of(text)))))
     n_one = sum(x > 0 for x in toxic)
     n_none = len(toxic) - n_one
     names = sorted(x for x in counts[0].keys() | counts[1].keys() if counts[0][x] + counts[1][x] >= LEAST_DOCS)
@@ -92,23 +92,27 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Model:
         words = tokens_of(text)
         if not words:
             continue
-        for t in set(words) - types.keys():
+        for t in words:
+            if t in types:
+                continue
             types[t] = len(types)
             own = [number[x] for x in features_of(t) if x in number]
             features += own
             counts.append(len(own))
-        tokens.append(np.fromiter(map(types.__getitem__, words), np.int64, len(words)))
+        tokens.append(np.fromiter(map(types.__getitem__, words), np.int32, len(words)))
         starts = sentence_starts(np.fromiter((t.endswith(ENDS) for t in words), bool, len(words)))
-        sentences.append(np.repeat(np.arange(total, total + len(starts)), np.diff(np.append(starts, len(words)))))
-        owners.append(np.full(len(starts), len(y)))
+        sentences.append(np.repeat(np.arange(total, total + len(starts), dtype=np.int32), np.diff(np.append(starts, len(words)))))
+        owners.append(np.full(len(starts), len(y), np.int32))
         total += len(starts)
         y.append(label > 0)
     token, sentence, owner, label = np.concatenate(tokens), np.concatenate(sentences), np.concatenate(owners), np.array(y, float)
     count = np.array(counts)
     first = np.cumsum(count) - count
+    told = count[token] > 0
+    token, sentence = token[told], sentence[told]
     size = count[token]
     end = np.cumsum(size)
-    word = np.array(features, np.int64)[np.arange(end[-1]) + np.repeat(first[token] - (end - size), size)] if end[-1] else np.zeros(0, np.int64)
+    word = np.array(features, np.int64)[np.arange(size.sum()) + np.repeat(first[token] - (end - size), size)]
     sentence = np.repeat(sentence, size)
     n_words, n_docs = len(names), len(y)
     theta = np.zeros(n_words + 1)
