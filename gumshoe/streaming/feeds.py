@@ -1,75 +1,103 @@
-"""Structured Streaming: deduplicated feeds and profile changes."""
+"""Structured Streaming: feeds without repeated posts and profile changes, exact for late rows.
+
+Every micro-batch writes a folder of its own number, which a repeated batch overwrites, and reads only the
+folders before it, so a restart neither loses nor doubles rows.
+"""
 
 from __future__ import annotations
 
 import os
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructType
 
-from gumshoe.operators.incremental import PROFILE_FIELDS
-from gumshoe.session import shared_dir
+from gumshoe.operators.incremental import PROFILE_FIELDS, profile_diff
+from gumshoe.operators.ranking import first_by_key
 
 
-def feed_dedup(posts: DataFrame, key: str = "cid", time: str = "created_at", delay: str = "10 minutes") -> DataFrame:
-    """The first post per id. State is dropped once the watermark has passed a post, so it is
-    bounded by the posts of one delay."""
-    return posts.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def _folder(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    return path
 
 
-def profile_changes(snapshots: DataFrame, key: str = "did", time: str = "taken_at") -> DataFrame:
-    """(did, taken_at, field, old, new) whenever a field differs from the account's last state.
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows written so far, with the number of their batch."""
+    numbered = StructType(schema.fields).add("batch", IntegerType())
+    return spark.read.schema(numbered).parquet(_folder(spark, path))
 
-    State is one row per account, kept without timeout: an account may be silent for long. The
-    snapshots of one account within one trigger are put in time order first; the source's
-    trigger limits (`maxFilesPerTrigger` and the like) bound them. A snapshot older than the
-    state belongs to history already passed and changes nothing.
-    """
-    fields = [f for f in PROFILE_FIELDS if f in snapshots.columns]
-    columns = [key, time, *fields]
-    flat = snapshots.select(key, time, *[F.col(f).cast("string").alias(f) for f in fields])
-    out = f"{key} string, {time} timestamp, field string, old string, new string"
-    state_type = ", ".join(["at timestamp", *[f"{f} string" for f in fields]])
-
-    def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get) if state.exists else None
-        changes = []
-        rows = pd.concat([batch[columns] for batch in batches]).sort_values(time, kind="stable")
-        for row in rows.itertuples(index=False):
-            if last is not None and row[1] < last[0]:
-                continue
-            now = [None if pd.isna(v) else v for v in row[2:]]
-            if last is not None:
-                changes += [(keys[0], row[1], f, o, n) for f, o, n in zip(fields, last[1:], now) if o != n]
-            last = [row[1], *now]
-        if changes:
-            yield pd.DataFrame(changes, columns=[key, time, "field", "old", "new"])
-        if last is not None:
-            state.update(tuple(last))
-
-    return flat.groupBy(key).applyInPandasWithState(
-        step, out, state_type, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def start(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False, mode: str = "append") -> StreamingQuery:
-    """Write a stream as parquet with its checkpoint; restarts go on where they stopped."""
-    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+
+def _start(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    return writer.start()
+
+
+def store_feed(
+    posts: DataFrame, path: str, checkpoint: str, key: str = "cid", order: Sequence[str] = ("created_at",), available_now: bool = False
+) -> StreamingQuery:
+    """Append each post the first time its id arrives, however late or often it comes again: a batch
+    meets the stored ids in an anti join. Within a batch the first by `order` counts."""
+    schema = posts.schema
+
+    def step(batch: DataFrame, number: int) -> None:
+        stored = read_batches(batch.sparkSession, path, schema).where(F.col("batch") < number)
+        fresh = first_by_key(batch, [key], order).join(stored.select(key), key, "left_anti")
+        fresh.select(schema.names).write.mode("overwrite").parquet(os.path.join(path, f"batch={number}"))
+
+    return _start(posts, checkpoint, step, available_now)
+
+
+def read_feed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return read_batches(spark, path, schema).drop("batch")
+
+
+def store_changes(
+    snapshots: DataFrame, path: str, checkpoint: str, key: str = "did", order: Sequence[str] = ("taken_at",), available_now: bool = False
+) -> StreamingQuery:
+    """Keep all snapshots and, for the accounts of each batch, the changes of their whole history.
+
+    A snapshot that arrives late takes its place in time: the changes around it are derived again with
+    those of its account, so the result does not depend on the order of arrival. Exact copies of a
+    snapshot count once. `read_changes` gives the newest state of every account.
+    """
+    schema = snapshots.schema
+    history, changes = os.path.join(path, "snapshots"), os.path.join(path, "changes")
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(os.path.join(history, f"batch={number}"))
+        known = read_batches(spark, history, schema).where(F.col("batch") <= number).drop("batch").distinct()
+        seen = batch.select(key).distinct()
+        found = field_changes(known.join(seen, key, "left_semi"), key, order)
+        # An account without changes leaves a row too, which outdates the changes it had.
+        marks = seen.join(found.select(key).distinct(), key, "left_anti").select(key, *_empty(found, key))
+        found.unionByName(marks).write.mode("overwrite").parquet(os.path.join(changes, f"batch={number}"))
+
+    return _start(snapshots, checkpoint, step, available_now)
+
+
+def _empty(like: DataFrame, key: str) -> list:
+    return [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema if f.name != key]
+
+
+def field_changes(snapshots: DataFrame, key: str = "did", order: Sequence[str] = ("taken_at",)) -> DataFrame:
+    """(did, order..., field, old, new): one row for each field that differs from the snapshot before."""
+    fields = [f for f in PROFILE_FIELDS if f in snapshots.columns]
+    diffs = profile_diff(snapshots, [key], order)
+    rows = diffs.select(key, *order, F.explode("changes").alias("field", "old"))
+    now = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
+    current = snapshots.select(key, *order, now.alias("_now"))
+    return rows.join(current, [key, *order]).select(key, *order, "field", "old", F.try_element_at("_now", F.col("field")).alias("new"))
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Run a stream over what is there and read the result back, through the shared folder."""
-    spark: SparkSession = stream.sparkSession
-    base = os.path.join(shared_dir(spark), "streams", uuid.uuid4().hex)
-    out = os.path.join(base, "out")
-    query = start(stream, out, os.path.join(base, "checkpoint"), available_now=True)
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def read_changes(spark: SparkSession, path: str, schema: StructType, key: str = "did", order: Sequence[str] = ("taken_at",)) -> DataFrame:
+    """The changes of every account as of its last batch. `schema` is that of the snapshots."""
+    columns = StructType([f for f in schema if f.name in (key, *order)]).add("field", "string").add("old", "string").add("new", "string")
+    rows = read_batches(spark, os.path.join(path, "changes"), columns)
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"]).where(F.col("field").isNotNull()).drop("batch")
