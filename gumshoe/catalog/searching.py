@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -70,6 +71,17 @@ VIEWS["terms"] = (
 VIEWS["hits"] = (("terms",), f"select * from terms where term in {_QIN}")
 
 
+_INDEXES: dict[tuple[str, str], index.SearchIndex] = {}
+
+
+def stored_index(spark, sf):
+    """The index of the documents, written once for a session and read by every search."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.write_index(corpus(spark, sf), os.path.join(shared_dir(spark), "index", uuid.uuid4().hex), by="peer")
+    return _INDEXES[key]
+
+
 def _bm25(by: str = "") -> str:
     """SQL of the score; `by` is '' or 'peer'."""
     over = "partition by term" + (", peer" if by else "")
@@ -119,7 +131,7 @@ def _scores(found):
 
 @query("search_bm25", with_views(_FOUND.format("scored"), "corpus", "scored"))
 def search_bm25(spark, sf):
-    return _scores(search.search_bm25(corpus(spark, sf), QUERY))
+    return _scores(search.search_index(stored_index(spark, sf), QUERY))
 
 
 @query(
@@ -127,22 +139,33 @@ def search_bm25(spark, sf):
     with_views(_FOUND.format("whole"), "corpus", "scored", whole=f"select * from scored where matched = {len(_Q)}"),
 )
 def search_bm25_and(spark, sf):
-    return _scores(search.search_bm25(corpus(spark, sf), QUERY, op="and"))
+    return _scores(search.search_index(stored_index(spark, sf), QUERY, op="and"))
 
 
 @query(
-    "search_index",
+    "search_scan",
     with_views("select doc, round(score, 6) as score from scored", "scored"),
 )
-def search_index(spark, sf):
-    """The same scores from a stored index: write it, then read only the buckets of the words."""
-    path = os.path.join(shared_dir(spark), "index-" + os.path.basename(sf.rstrip("/")))
-    index.write_index(corpus(spark, sf), path)
-    postings = index.read_postings(spark, path, _Q)
-    stored = spark.read.parquet(os.path.join(path, "postings"))
-    lengths = stored.groupBy("doc").agg(F.max("doc_len").alias("doc_len"))
-    scored = search.bm25(postings.select("doc", "term", "tf"), lengths, _Q)
-    return scored.withColumn("score", F.round("score", 6))
+def search_scan(spark, sf):
+    """The same scores without an index, from one pass over the texts."""
+    return search.search_bm25(corpus(spark, sf), QUERY).select("doc", F.round("score", 6).alias("score"))
+
+
+_STEM = f"regexp_replace({{0}}, '^(.{{{{3,}}}}?)(?:{'|'.join(index.ENDINGS)})$', '\\1')"
+STEMMED = "tionings andly"
+
+
+@query(
+    "search_stemmed",
+    with_views(
+        f"""select doc, sum(tf)::bigint as tf, any_value(doc_len)::bigint as doc_len from terms
+        where {_STEM.format('term')} in ({', '.join(_STEM.format(f"'{w}'") for w in STEMMED.split())}) group by 1""",
+        "terms",
+    ),
+)
+def search_stemmed(spark, sf):
+    """Documents that hold a word with the stem of a query word."""
+    return stored_index(spark, sf).hits(STEMMED.split(), stemmed=True).groupBy("doc").agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 @query(
@@ -154,8 +177,8 @@ def search_index(spark, sf):
     ),
 )
 def search_facets_filter(spark, sf):
-    found = search.search_bm25(
-        corpus(spark, sf), QUERY, cats=["fr", "EN"], countries=["1", "2", "3", "4", "5"], types=["Sources"]
+    found = search.search_index(
+        stored_index(spark, sf), QUERY, cats=["fr", "EN"], countries=["1", "2", "3", "4", "5"], types=["Sources"]
     )
     return _scores(found)
 
@@ -175,6 +198,22 @@ def search_synonyms(spark, sf):
     return search.synonym_pairs(corpus(spark, sf))
 
 
+@query(
+    "search_with_synonyms",
+    with_views(
+        f""", named as (select distinct b.v from vs a join vs b on a.doc = b.doc and a.v <> b.v where a.v in ('{"', '".join([*_Q, " ".join(_Q)])}')),
+        asked as (select unnest({list(_Q)!r}) as term union select unnest({_FOLD.format('v')}) from named),
+        met as (select t.*, count(*) over (partition by term) as df from terms t where term in (select term from asked))
+        select doc, round(sum(greatest(ln((s.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.7 + 0.3 * greatest(doc_len / s.a, 0.5)))), 6) as score
+        from met join (select count(*) as n, avg(doc_len) as a from postings) s on true group by 1""",
+        "corpus", "terms", "postings", vs=_VARIANTS,
+    ),
+)
+def search_with_synonyms(spark, sf):
+    found = search.search_index(stored_index(spark, sf), QUERY, synonyms=True)
+    return found.select("doc", F.round("score", 6).alias("score"))
+
+
 @query(
     "search_spelling",
     with_views(
@@ -185,13 +224,12 @@ def search_synonyms(spark, sf):
     ),
 )
 def search_spelling(spark, sf):
-    words = index.vocabulary(index.term_counts(index.fields(corpus(spark, sf))))
-    return search.search_spelling(words, "ingorr qeu zzzzzzzzzz")
+    return search.search_spelling(stored_index(spark, sf).vocabulary(), "ingorr qeu zzzzzzzzzz")
 
 
 @query("search_fuzzy")
 def search_fuzzy(spark, sf):
-    found = search.search_bm25(corpus(spark, sf), QUERY)
+    found = search.search_index(stored_index(spark, sf), QUERY)
     ranked = search.search_fuzzy(found, "que les ingor", threshold=20)
     return ranked.select("doc", "fuzzy_score", "phonetic_score", "token_match", F.round("combined_score", 4).alias("combined_score"))
 
@@ -234,7 +272,7 @@ def phonetic_score(spark, sf):
     ),
 )
 def search_sort(spark, sf):
-    found = search.search_bm25(corpus(spark, sf), QUERY)
+    found = search.search_index(stored_index(spark, sf), QUERY)
     page = search.result_page(found, "newest", 10, 50)
     return page.select("doc", F.date_format("begin", "yyyy-MM-dd").alias("begin_day"), col("rank").cast("bigint").alias("rank"))
 
@@ -250,9 +288,9 @@ def search_sort(spark, sf):
     ),
 )
 def snippets(spark, sf):
-    docs = corpus(spark, sf)
-    found = search.search_bm25(docs, QUERY).withColumn("score", F.round("score", 9))
-    return search.snippets(search.result_page(found, limit=20), docs, "que", 30, "").select("doc", "context")
+    stored = stored_index(spark, sf)
+    found = search.search_index(stored, QUERY).withColumn("score", F.round("score", 9))
+    return search.snippets(search.result_page(found, limit=20), stored.docs(), "que", 30, "").select("doc", "context")
 
 
 @query("facet_terms", with_views("select distinct lower(unnest(cats)) as value from corpus", "corpus"))
@@ -269,7 +307,7 @@ def facet_terms(spark, sf):
     ),
 )
 def top_terms(spark, sf):
-    return index.top_terms(index.term_counts(index.fields(corpus(spark, sf))), stop_words=["the", "que", "les"])
+    return index.top_terms(stored_index(spark, sf).vocabulary(), stop_words=["the", "que", "les"])
 
 
 @query(
@@ -407,21 +445,20 @@ def peer_vocabulary(spark, sf):
     ),
 )
 def peer_search(spark, sf):
-    out = fusion.peer_search(corpus(spark, sf), QUERY, mode="deep")
+    out = fusion.peer_search(stored_index(spark, sf), QUERY, mode="deep")
     return out.select("doc", "peer", F.round("score", 6).alias("score"), F.round("normalized_score", 6).alias("normalized_score"))
 
 
 @query(
     "peer_search_fast",
     with_views(
-        f""", best as (select * from peer_scored where peer = 'src0' or peer in (select peer from peer_vocab where term in {_QIN})
-            qualify row_number() over (partition by peer order by round(score, 9) desc, doc) <= 10),
+        f""", best as (select * from peer_scored qualify row_number() over (partition by peer order by round(score, 9) desc, doc) <= 10),
         placed as (select *, row_number() over (partition by peer order by score desc, doc) as r, count(*) over (partition by peer) as n from best)
         select doc, peer, round(score, 6) as score, round(ns, 6) as normalized_score from (
             select *, case when n = 1 then 1.0 else 1.0 - (r - 1)::double / (n - 1) end as ns from placed) order by ns desc, peer, doc limit 50""",
-        "peer_scored", "peer_vocab",
+        "peer_scored",
     ),
 )
 def peer_search_fast(spark, sf):
-    out = fusion.peer_search(corpus(spark, sf), QUERY, mode="fast", self_peer="src0", method="rank", total_limit=50)
+    out = fusion.peer_search(stored_index(spark, sf), QUERY, mode="fast", self_peer="src0", method="rank", total_limit=50)
     return out.select("doc", "peer", F.round("score", 6).alias("score"), F.round("normalized_score", 6).alias("normalized_score"))

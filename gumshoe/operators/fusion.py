@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions.urls import safe_url
-from gumshoe.operators.index import search_tokens
+from gumshoe.operators.index import SearchIndex, search_tokens
 from gumshoe.operators.ranking import join_same, ranked, top_per_group
-from gumshoe.operators.search import bm25, field_hits, query_words
-from gumshoe.session import pin
+from gumshoe.operators.search import query_words, scored_hits
 
 
 def norm_minmax(results: DataFrame, peer: str = "peer", score: str = "score") -> DataFrame:
@@ -66,33 +65,42 @@ def route_peers(vocabulary: DataFrame, query: str, peer: str = "peer") -> DataFr
 
 
 def peer_search(
-    docs: DataFrame,
+    index: SearchIndex,
     query: str,
     mode: str = "fast",
-    vocabulary: DataFrame | None = None,
     self_peer: str | None = None,
     limit_per_peer: int = 10,
     total_limit: int | None = None,
     method: str = "minmax",
     peer: str = "peer",
+    memory: DataFrame | None = None,
+    languages: DataFrame | None = None,
 ) -> DataFrame:
     """Search every chosen peer on its own statistics, keep its best, fuse.
 
-    `fast` asks routed peers and oneself, `deep` all. The fan-out is a column: one job, cut to
-    `limit_per_peer` rows per peer in each task before the shuffle.
+    `fast` asks the peers that hold a query word, and oneself, `deep` all: routing is the fan-out itself, as
+    only postings of the words are read. With a translation `memory` (lang, term, translation) and the
+    peers' `languages` (peer, lang), each peer is also asked in the words of its language. One job,
+    cut to `limit_per_peer` rows per peer in each task before the shuffle.
     """
     if mode not in ("fast", "deep"):
         raise ValueError(f"unknown mode {mode!r}: fast or deep")
+    words = query_words(query)
+    if memory is None:
+        hits = index.hits(words)
+    else:
+        own = index.spark.createDataFrame([(w,) for w in words], "term string")
+        told = memory.join(own, "term").select("lang", F.explode(search_tokens(F.col("translation"))).alias("term"))
+        each = languages.select(peer, F.explode(F.array(*[F.lit(w) for w in words])).alias("term"))
+        asked = languages.join(told, "lang").select(peer, "term").union(each)
+        hits = index.table("postings").join(asked.distinct(), [peer, "term"], "left_semi")
+    hits = hits.select("doc", "term", "tf", "doc_len", peer)
     if mode == "fast":
-        chosen = route_peers(vocabulary if vocabulary is not None else peer_vocabulary(docs, peer), query, peer)
+        chosen = hits.select(peer).distinct()
         if self_peer is not None:
-            own = docs.sparkSession.createDataFrame([(self_peer,)], f"{peer} string")
-            chosen = chosen.union(own).distinct()
-        docs = docs.join(chosen, peer, "left_semi")
-    words = query_words(query)
-    rows = pin(field_hits(docs, words).join(docs.select("doc", peer), "doc"))
-    lengths = rows.where("term = ''").select("doc", peer, F.col("tf").alias("doc_len"))
-    scored = bm25(rows.where("term <> ''"), lengths, words, by=peer)
+            chosen = chosen.union(index.spark.createDataFrame([(self_peer,)], f"{peer} string")).distinct()
+        hits = hits.join(chosen, peer, "left_semi")
+    scored = scored_hits(hits, index.group_stats(), len(words), by=peer)
     best = top_per_group(scored, [peer], [F.desc("score"), F.asc("doc")], limit_per_peer)
-    shown = best.join(docs.select("doc", "title", safe_url(F.coalesce("url", F.lit(""))).alias("url")), "doc")
+    shown = best.join(index.docs().select("doc", "title", safe_url(F.coalesce("url", F.lit(""))).alias("url")), "doc")
     return fuse_results(shown, method, total_limit, peer=peer)

@@ -140,29 +140,79 @@ def index_terms(field_rows: DataFrame) -> DataFrame:
     return counts.join(lengths, "doc")
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = 64, spread: int = 8, weighted: bool = False) -> None:
-    """Store documents, lengths and postings; postings lie in folders by term hash, so a query
-    reads only the buckets of its words."""
-    docs.write.mode("overwrite").parquet(os.path.join(path, "docs"))
-    terms = index_terms(fields(docs, weighted))
-    bucketed = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    # A frequent term may hold a good part of the postings: each bucket is cut by document into
-    # `spread` files, more of them for a larger collection.
-    (
-        bucketed.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(spread)))
-        .sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(os.path.join(path, "postings"))
-    )
+#: Postings of one file: the number of files follows the collection.
+POSTINGS_PER_FILE = 4_000_000
+
+
+class SearchIndex:
+    """A stored index: documents, postings by term and by stem, vocabulary, lengths, statistics.
+
+    Postings and vocabulary lie sorted in files by ranges of (term, document), so a query reads the row
+    groups of its terms and a term that most documents hold spans as many files as it needs.
+    `by` names a column (a peer) that has statistics of its own.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.path, name))
+
+    def docs(self) -> DataFrame:
+        return self.table("docs")
+
+    def hits(self, words: list[str], stemmed: bool = False) -> DataFrame:
+        """Postings (doc, term, tf, doc_len, ...) of the words only, pruned by their range."""
+        if not stemmed:
+            return self.table("postings").where(F.col("term").isin(*words))
+        stems = [F.array(*[stem(F.lit(w)) for w in words])]
+        wanted = [r for r in self.spark.range(1).select(*stems).first()[0]]
+        return self.table("stems").where(F.col("stem").isin(*wanted)).withColumnRenamed("stem", "term")
+
+    def hits_of(self, terms: DataFrame) -> DataFrame:
+        """The same for any number of terms (term)."""
+        return self.table("postings").join(terms, "term", "left_semi")
+
+    def stats(self) -> DataFrame:
+        """(n, avg): documents and their mean length."""
+        return self.table("stats")
+
+    def group_stats(self) -> DataFrame:
+        """(by, n, avg) for the index's groups."""
+        return self.table("group_stats")
+
+    def vocabulary(self) -> DataFrame:
+        return self.table("vocabulary")
+
+
+def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | None = None) -> SearchIndex:
+    """Store the index of (doc, ...) under a new folder. Every text is split once."""
+    spark, group = docs.sparkSession, [by] if by else []
+    index = SearchIndex(spark, path)
+
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(os.path.join(path, name))
+        return spark.read.schema(rows.schema).parquet(os.path.join(path, name))
+
+    stored = keep(docs, "docs")
+    counts = keep(term_counts(fields(stored, weighted)), "counts")
+    lengths = counts.groupBy("doc").agg(F.sum("tf").alias("doc_len"))
+    lengths = keep(lengths.join(stored.select("doc", *group), "doc"), "lengths")
+    measures = F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")
+    keep(lengths.agg(*measures), "stats")
+    if by:
+        keep(lengths.groupBy(by).agg(*measures), "group_stats")
+    rows = counts.join(lengths, "doc")
+    files = max(1, -(-counts.count() // POSTINGS_PER_FILE))
 
+    def in_ranges(table: DataFrame, *order: str) -> DataFrame:
+        return table.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
-def read_postings(spark, path: str, words: list[str], buckets: int = 64) -> DataFrame:
-    """Postings of the given words only: pruned to their buckets, then to the terms."""
-    postings = spark.read.parquet(os.path.join(path, "postings"))
-    literals = [F.lit(w) for w in words]
-    wanted = [F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int") for w in literals]
-    return postings.where(F.col("bucket").isin(*wanted) & F.col("term").isin(*words)).drop("bucket")
+    keep(in_ranges(rows, "term", "doc"), "postings")
+    stems = rows.groupBy("doc", "doc_len", *group, stem(F.col("term")).alias("stem")).agg(F.sum("tf").alias("tf"))
+    keep(in_ranges(stems, "stem", "doc"), "stems")
+    keep(in_ranges(vocabulary(counts), "term"), "vocabulary")
+    return index
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
@@ -178,17 +228,16 @@ def facet_terms(docs: DataFrame, facet: str = "cats") -> DataFrame:
     return values.select(F.lower("value").alias("value")).distinct().orderBy("value")
 
 
-def top_terms(postings: DataFrame, limit: int = 300, min_length: int = 3, stop_words=()) -> DataFrame:
-    """Most frequent terms by document frequency: long enough, lower-case letters, no stop word."""
-    rows = postings.where(
+def top_terms(vocabulary: DataFrame, limit: int = 300, min_length: int = 3, stop_words=()) -> DataFrame:
+    """Most frequent terms of (term, df): long enough, lower-case letters, no stop word."""
+    rows = vocabulary.where(
         (F.length("term") >= min_length)
         & F.col("term").rlike(r"^\p{L}+$")
         & (F.lower("term") == F.col("term"))
     )
     if stop_words:
         rows = rows.where(~F.col("term").isin(*stop_words))
-    freq = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return freq.orderBy(F.desc("df"), "term").limit(limit)
+    return rows.select("term", "df").orderBy(F.desc("df"), "term").limit(limit)
 
 
 def canonical_labels(docs: DataFrame, limit: int | None = None, min_length: int = 2) -> DataFrame:

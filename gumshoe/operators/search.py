@@ -13,8 +13,8 @@ from gumshoe.functions import similarity
 from gumshoe.functions.text import context, fold_accents, fold_text, sanitize_label
 from gumshoe.operators.attributes import source_url
 from gumshoe.operators.filters import get_events, get_idents, get_orgs
-from gumshoe.operators.index import fields, search_tokens, stem, term_counts
-from gumshoe.operators.ranking import sort_dated
+from gumshoe.operators.index import SearchIndex, fields, search_tokens, term_counts
+from gumshoe.operators.ranking import join_same, sort_dated
 from gumshoe.plans.report import get_sources
 from gumshoe.quest import Quest
 from gumshoe.session import pin
@@ -61,27 +61,54 @@ def bm25(hits: DataFrame, lengths: DataFrame, words: Sequence[str], op: str = "o
     """(doc, score) from hits (doc, term, tf) and lengths (doc, doc_len). With `and` a document
     must hold every word. `by` names a column (a peer) with statistics of its own."""
     group = [by] if by else []
-    stats = lengths.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg("doc_len").alias("_avg"))
+    stats = lengths.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg"))
+    return scored_hits(join_same(hits, lengths, ["doc", *group]), stats, len(words), op, by)
+
+
+def scored_hits(hits: DataFrame, stats: DataFrame, n_words: int, op: str = "or", by: str | None = None) -> DataFrame:
+    """(doc, score) from hits (doc, term, tf, doc_len) and statistics (n, avg)."""
+    group = [by] if by else []
     freq = hits.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("_df"))
     if by:
-        freq = freq.join(stats, by)
+        freq = join_same(freq, stats, [by])
     else:
-        freq = freq.select(
-            "*", stats.select("_n").scalar().alias("_n"), stats.select("_avg").scalar().alias("_avg")
-        )
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(MIN_IDF))
+        freq = freq.select("*", stats.select("n").scalar().alias("n"), stats.select("avg").scalar().alias("avg"))
+    idf = F.greatest(F.log((F.col("n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(MIN_IDF))
     # One row per query word (and peer).
-    weights = freq.select(*group, "term", idf.alias("_idf"), "_avg")
+    weights = freq.select(*group, "term", idf.alias("_idf"), F.col("avg").alias("_avg"))
     norm = F.greatest(F.col("doc_len") / F.col("_avg"), F.lit(MIN_NORM))
     tf = F.col("tf")
     weight = F.col("_idf") * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * norm))
-    scored = hits.join(lengths, ["doc", *group]).join(weights, [*group, "term"])
+    scored = join_same(hits, weights, [*group, "term"])
     scored = scored.groupBy("doc", *group).agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("_terms"))
     if op.lower() == "and":
-        scored = scored.where(F.col("_terms") == len(words))
+        scored = scored.where(F.col("_terms") == n_words)
     return scored.select("doc", *group, "score")
 
 
+def search_index(
+    index: SearchIndex,
+    query: str,
+    op: str = "or",
+    cats: Sequence[str] = (),
+    types: Sequence[str] = (),
+    countries: Sequence[str] = (),
+    synonyms: bool = False,
+    stemmed: bool = False,
+) -> DataFrame:
+    """`search_bm25` on a stored index: the postings of the query's words and the stored values of the
+    documents they hit are read, never a text. `synonyms` adds the words of every variant of an
+    entity that the query names; `stemmed` meets words that differ by their ending."""
+    words = query_words(query)
+    if synonyms:
+        hits = index.hits_of(expand_synonyms(synonym_pairs(index.docs()), words))
+    else:
+        hits = index.hits(words, stemmed)
+    scored = scored_hits(hits.select("doc", "term", "tf", "doc_len"), index.stats(), len(words), op)
+    found = search_facets(index.docs().drop("data").join(scored, "doc"), cats, types, countries)
+    return found.withColumn("percent", 100 * F.col("score") / found.agg(F.max("score")).scalar())
+
+
 def search_bm25(
     docs: DataFrame,
     query: str,
@@ -334,8 +361,3 @@ def _result_rows(df: DataFrame, kind: str) -> DataFrame:
         F.lit(1).alias("rank"),
         "sources",
     )
-
-
-def stemmed_hits(hits: DataFrame) -> DataFrame:
-    """Postings by stem: (doc, stem, tf)."""
-    return hits.groupBy("doc", stem(F.col("term")).alias("stem")).agg(F.sum("tf").alias("tf"))
