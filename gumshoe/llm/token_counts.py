@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -48,15 +49,22 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pre string, freq bigint").groupBy("pre").agg(F.sum("freq").alias("freq"))
 
 
+@lru_cache(maxsize=1)
+def _library(path: str):
+    """The tokenizer of a file, loaded once for each worker process."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def piece_counts(vocabulary: DataFrame, tokenizer_path: str) -> DataFrame:
     """Adds `pieces` to (pre, freq): how many tokens the library gives for the pre-token."""
 
     def make():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _library(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
