@@ -117,6 +117,20 @@ def build_docs(spark, sf):
     ).join(docs.select("doc", F.sha2(F.coalesce("data", lit("")), 256).alias("digest")), "doc")
 
 
+@query(
+    "remaining_docs",
+    with_views(
+        """select s.name as doc, s.url, sha256(coalesce(d.text, '')) as digest from sources s left join documents d on 'source.d' || d.doc_id = s.name
+        where s.name not in (select source from citations where kind in ('countries', 'orgs', 'idents', 'events'))""",
+        "sources", "citations",
+    ),
+)
+def remaining_docs(spark, sf):
+    """Search documents of the sources that no indexed entity cites."""
+    docs = index.remaining_docs(quest_from_tables(spark, sf), text_docs(spark, sf))
+    return docs.select("doc", "url", F.sha2(F.coalesce("data", lit("")), 256).alias("digest"))
+
+
 @query("index_terms", with_views("select doc, term, tf, doc_len from terms", "terms"))
 def index_terms(spark, sf):
     return index.index_terms(index.fields(corpus(spark, sf)))

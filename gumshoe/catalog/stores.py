@@ -20,6 +20,7 @@ from gumshoe.operators import words as word_ops
 from gumshoe.operators.attributes import inherit_org_cats
 from gumshoe.operators.filters import Params
 from gumshoe.plans.report import build_report
+from gumshoe.quest import KINDS
 from gumshoe.session import shared_dir
 from gumshoe.sinks import exports
 from gumshoe.sources import stores
@@ -31,33 +32,46 @@ def _scratch(spark):
 
 
 _STORED = """select 'orgs' as kind, name, array_to_string(cats, ',') as cats, country, null as ends from orgs
+    union all select 'countries', name, array_to_string(cats, ','), country, null from countries
+    union all select 'cities', name, array_to_string(cats, ','), country, null from cities
+    union all select 'idents', name, array_to_string(cats, ','), country, null from raw_idents
     union all select 'events', name, array_to_string(cats, ','), country, strftime("begin", '%Y-%m-%d') from evts
-    union all select 'links', name, array_to_string(cats, ','), null, lfrom || '>' || lto from raw_links"""
+    union all select 'relations', name, array_to_string(cats, ','), null, rfrom || '>' || rto from raw_relations
+    union all select 'links', name, array_to_string(cats, ','), null, lfrom || '>' || lto from raw_links
+    union all select 'quotes', name, array_to_string(cats, ','), null, qfrom || '>' || qto from raw_quotes
+    union all select 'sources', name, array_to_string(cats, ','), null, null from sources"""
+_STORED_VIEWS = ("orgs", "countries", "cities", "raw_idents", "evts", "raw_relations", "raw_links", "raw_quotes", "sources")
 
 
 def _stored_rows(q):
-    def rows(kind, ends):
-        return q.table(kind).select(lit(kind).alias("kind"), "name", joined("cats").alias("cats"), "country", ends.alias("ends"))
-
-    out = rows("orgs", lit(None).cast("string"))
-    out = out.unionByName(rows("events", F.date_format("begin", "yyyy-MM-dd")))
-    return out.unionByName(rows("links", F.concat_ws(">", "lfrom", "lto")))
+    none = lit(None).cast("string")
+    ends = {
+        "events": F.date_format("begin", "yyyy-MM-dd"), "relations": F.concat_ws(">", "rfrom", "rto"),
+        "links": F.concat_ws(">", "lfrom", "lto"), "quotes": F.concat_ws(">", "qfrom", "qto"),
+    }
+    out = None
+    for kind in KINDS:
+        rows = q.table(kind)
+        country = col("country") if "country" in rows.columns else none.alias("country")
+        rows = rows.select(lit(kind).alias("kind"), "name", joined("cats").alias("cats"), country, ends.get(kind, none).alias("ends"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query("src_entities", with_views(_STORED, "orgs", "evts", "raw_links"))
+@query("src_entities", with_views(_STORED, *_STORED_VIEWS))
 def src_entities(spark, sf):
-    """A quest stored as JSON lines, read back with the stated schema."""
+    """A quest stored as JSON lines, every kind read back with the stated schema."""
     path = _scratch(spark)
     q = quest_from_tables(spark, sf)
-    for kind in ("orgs", "events", "links"):
+    for kind in KINDS:
         q.table(kind).write.json(os.path.join(path, kind))
     return _stored_rows(stores.read_quest(spark, path, "json"))
 
 
-@query("sink_snapshot", with_views(_STORED, "orgs", "evts", "raw_links"))
+@query("sink_snapshot", with_views(_STORED, *_STORED_VIEWS))
 def sink_snapshot(spark, sf):
     path = _scratch(spark)
-    exports.snapshot(quest_from_tables(spark, sf), path, ("orgs", "events", "links"))
+    exports.snapshot(quest_from_tables(spark, sf), path, KINDS)
     return _stored_rows(stores.read_quest(spark, path))
 
 
@@ -242,13 +256,11 @@ def src_accounts(spark, sf):
     return out
 
 
-@query(
-    "src_wordlists",
-    "select distinct p_brand as list, trim(unnest([p_name, p_type])) as word from part where p_brand in ('Brand#1', 'Brand#2', 'Brand#3')",
-)
+@query("src_wordlists", "select distinct p_brand as list, trim(unnest([p_name, p_type])) as word from part")
 def src_wordlists(spark, sf):
+    """Every brand is a list; its lines are the names and types of its parts."""
     lines = table(spark, sf, "part").select(col("p_brand").alias("list"), F.concat(lit(" "), "p_name", lit(" ,, "), "p_type", lit(",")).alias("value"))
-    return stores.wordlists(lines, ["Brand#1", "Brand#2", "Brand#3"])
+    return stores.wordlists(lines)
 
 
 _LINE = "case page_id % 4 when 0 then '  ' || url || '/' when 1 then '# ' || url when 2 then replace(url, 'http', 'ftp') else regexp_replace(url, '\\d+.*$', '7') end"

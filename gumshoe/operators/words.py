@@ -155,16 +155,3 @@ def words_engine(docs: DataFrame, **_) -> DataFrame:
     """Every word, so that sums over sources are exact; a report cuts its list after the sum."""
     rows = word_counts(docs, top=None)
     return rows.select("source", F.lit("commons").alias("bucket"), F.col("word").alias("key"), "n")
-
-
-def people_engine(docs: DataFrame, **_) -> DataFrame:
-    from gumshoe.operators.mentions import people
-
-    return people(docs).select("source", F.lit("commons").alias("bucket"), F.col("person").alias("key"), "n")
-
-
-def default_engines() -> Engines:
-    engines = Engines()
-    engines.register("words", words_engine)
-    engines.register("people", people_engine)
-    return engines

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from gumshoe.functions.lists import add_prefix, split_list
 from gumshoe.functions.urls import clean_url, normalize_url
-from gumshoe.operators.ranking import first_by_key
+from gumshoe.operators.ranking import first_by_key, ranked
 from gumshoe.quest import EDGE_ENDS, KINDS, PREFIX, SCHEMAS, Quest, conform, edge_name
 
 _LISTS = ("content", "cats", "sources", "orgs", "altlabels")
@@ -314,16 +314,20 @@ def _small_file(spark: SparkSession, path: str, limit: int = 16 << 20) -> str:
         stream.close()
 
 
-def wordlists(lines: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(list, word) from (list, value) lines."""
-    words = lines.where(F.col("list").isin(*names)).select("list", F.explode(F.split("value", ",", -1)).alias("word"))
+def wordlists(lines: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """(list, word) from (list, value) lines, of the named lists or of all."""
+    chosen = lines if names is None else lines.where(F.col("list").isin(*names))
+    words = chosen.select("list", F.explode(F.split("value", ",", -1)).alias("word"))
     return words.select("list", F.trim("word").alias("word")).where(F.col("word") != "").distinct()
 
 
 def read_url_list(spark: SparkSession, path: str, max_refs: int | None = None) -> DataFrame:
-    """References of a text file with one address per line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("_i", "line"))
-    return url_list(lines.select((F.col("_i") + 1).alias("line_no"), "line"), max_refs)
+    """References of a text file with one address per line. The file is read in splits; a line's number is
+    its rank by the place of its split and its place there."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_place")
+    )
+    return url_list(ranked(lines, [F.asc("_split"), F.asc("_place")], name="line_no").select("line_no", "line"), max_refs)
 
 
 def url_list(lines: DataFrame, max_refs: int | None = None) -> DataFrame:
