@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in `spark.checkpoint.dir`.
 
     Only a local master may fall back to a temporary folder: there driver and executors share
-    one machine. On a cluster a missing setting is an error.
+    one machine; it goes when the process ends. On a cluster a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -44,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     path = tempfile.mkdtemp(prefix="gumshoe-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
