@@ -409,7 +409,11 @@ def laid_out(rng: np.random.Generator, texts: list[str]) -> tuple[list[Block], n
 def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Labeller:
     """Fit on the pages whose id's hash is lowest, and on their texts laid out anew."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
-    sample = [r["html"] for r in rows.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE_PAGES).collect()]
+    # The ids first: every task sends its candidates, which should be numbers, not pages.
+    order = F.xxhash64("page_id"), "page_id"
+    ids = rows.select("page_id").distinct().orderBy(*order).limit(SAMPLE_PAGES)
+    chosen = rows.join(F.broadcast(ids), "page_id").dropDuplicates(["page_id", "html"])
+    sample = [r["html"] for r in chosen.orderBy(*order, "html").limit(SAMPLE_PAGES).collect()]
     features, inputs, labels, texts = Features(), [], [], []
     for html in sample:
         blocks = blocks_of(html)
