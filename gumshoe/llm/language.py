@@ -14,9 +14,9 @@ from gumshoe.llm.common import map_batches, texts_of
 
 #: Labelled text per language: at most so many characters from at most so many documents, none
 #: longer than the first bound; all languages together share TOTAL_CHARS.
-LANGUAGE_CHARS = 48_000
+LANGUAGE_CHARS = 32_000
 LANGUAGE_DOCS = 100
-TOTAL_CHARS = 240_000
+TOTAL_CHARS = 160_000
 #: Symbols: 0 pads, 1 is any run of other characters, 2 any letter that is rare in the labelled text.
 SYMBOLS = 64
 PAD, GAP, OTHER = 0, 1, 2
@@ -77,7 +77,7 @@ def suffix_automaton(codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(moves), SYMBOLS), -1, np.int64)
+    out = np.full((len(moves), SYMBOLS), -1, np.int32)
     for s, row in enumerate(moves):
         for c, t in row.items():
             out[s, c] = t
@@ -108,9 +108,9 @@ def fit(samples: dict[str, list[str]]) -> Model:
         restart = np.maximum(states[0], 0)
         ended = states < 0
         target = np.where(ended, restart[None, :], states)
-        moves = 2 * SYMBOLS * (target + first) + ended
+        moves = np.int32(2 * SYMBOLS) * (target + np.int32(first)) + ended
         moves[:, PAD] = 2 * SYMBOLS * (np.arange(len(states)) + first)
-        parts.append(moves.astype(np.int32).ravel())
+        parts.append(moves.astype(np.int32, copy=False).ravel())
         roots.append(SYMBOLS * first)
         first += len(states)
     return Model(languages, table, np.concatenate(parts or [np.zeros(0, np.int32)]), np.array(roots, np.int32))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from gumshoe.llm.common import Recent, map_batches, texts_of
 
 #: The model is fitted on at most so many labelled documents and characters.
-SAMPLE_DOCS = 8_000
-SAMPLE_CHARS = 30_000_000
+SAMPLE_DOCS = 6_000
+SAMPLE_CHARS = 20_000_000
 EPOCHS = 100
 DECAY = 0.5
 #: Features in fewer sample documents, or with a weaker log odds ratio in standard errors, get no weight.
@@ -63,6 +63,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 def telling_features(texts: list[str], toxic: list[int]) -> list[str]:
     """The features whose share among toxic documents differs most clearly from that among the others."""
     counts, features = (Counter(), Counter()), Recent(features_of)
+    features.SIZE = 30_000
     for text, label in zip(texts, toxic):
         counts[label > 0].update(set().union(*map(features.__getitem__, set(tokens_of(text)))))
     n_one = sum(x > 0 for x in toxic)
