@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be determined, from all labelled documents; null and letterless texts go."""
+    """Documents in one of the languages learned from the labelled ones among them; null and letterless
+    texts, letter junk, texts of other languages and texts mixed of several go."""
     return language.determined_documents(docs, language.fit_on(docs))
 
 

@@ -24,6 +24,12 @@ PAD, GAP, OTHER = 0, 1, 2
 LANE = 512
 #: No letter; letters, but no language was learned.
 UNDETERMINED, UNLEARNED = "und", "mis"
+#: Labelled documents of a language, outside its learned text, that its limits are measured on, and their fewest letters.
+MEASURED_DOCS, MEASURED_LEAST = 50, 200
+#: A document is in a language up to this part of the way from the phrases per symbol of that language's
+#: documents to those they would need had it not been learned, and from this part of their usual margin
+#: to the second language. In texts of fewer symbols the margin is chance and is not asked for.
+REACH, MARGIN, MARGIN_SYMBOLS = 2 / 3, 1 / 3, 100
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
@@ -87,12 +93,15 @@ def suffix_automaton(codes: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """One table for all languages: entry [state + symbol] is 2 * next state, plus 1 if a match ended
-    there and the next began; states count in steps of SYMBOLS. roots: each language's start."""
+    there and the next began; states count in steps of SYMBOLS. roots: each language's start.
+    most, least: each language's limits on phrases per symbol and margin, none where nothing was measured."""
 
     languages: list[str]
     symbols: np.ndarray
     moves: np.ndarray
     roots: np.ndarray
+    most: np.ndarray | None = None
+    least: np.ndarray | None = None
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
@@ -116,8 +125,38 @@ def fit(samples: dict[str, list[str]]) -> Model:
     return Model(languages, table, np.concatenate(parts or [np.zeros(0, np.int32)]), np.array(roots, np.int32))
 
 
+def measure(model: Model, held_out: dict[str, list[str]]) -> Model:
+    """The model with limits for `determined`, from labelled texts it was not fitted on. Texts of a
+    language read by the others stand for those of a language that was not learned; if only one was,
+    their letters in a random order do. Medians, as labels may be wrong. A language without such texts
+    has the widest limits of the others."""
+    names, parser = model.languages, Parser(model)
+    model.most, model.least = np.full(len(names), np.inf), np.full(len(names), -np.inf)
+    rng = np.random.default_rng(67)
+    known = []
+    for k, name in enumerate(names):
+        texts = [t for t in held_out.get(name, []) if sum(map(str.isalpha, t)) >= MEASURED_LEAST][:MEASURED_DOCS]
+        if not texts:
+            continue
+        phrases, sizes, _ = parser.phrases(texts)
+        own = phrases[k] / sizes
+        if len(names) > 1:
+            other = np.delete(phrases, k, axis=0).min(axis=0) / sizes
+            model.least[k] = MARGIN * np.median(1 - own / other)
+        else:
+            mixed, lengths, _ = parser.phrases(["".join(rng.permutation(list(t))) for t in texts])
+            other = mixed[0] / lengths
+        model.most[k] = np.median(own) + REACH * max(0.0, np.median(other) - np.median(own))
+        known.append(k)
+    if known:
+        rest = np.setdiff1d(np.arange(len(names)), known)
+        model.most[rest], model.least[rest] = model.most[known].max(), model.least[known].min()
+    return model
+
+
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on labelled documents, per language those whose id's hash is lowest, within the bounds above."""
+    """Fit on labelled documents, per language those whose id's hash is lowest, within the bounds above;
+    the limits of the languages are measured on others of them."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.filter(F.length(text_col).between(1, LANGUAGE_CHARS)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -130,14 +169,16 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     found = found.filter(F.length("text").between(1, LANGUAGE_CHARS)).toPandas().sort_values(["lang", "n", "text"])
     share = min(LANGUAGE_CHARS, TOTAL_CHARS // found["lang"].nunique()) if len(found) else 0
     samples: dict[str, list[str]] = {}
+    held_out: dict[str, list[str]] = {}
     for language, part in found.groupby("lang"):
-        size, texts = 0, samples.setdefault(language, [])
+        size, texts, others = 0, samples.setdefault(language, []), held_out.setdefault(language, [])
         for text in part["text"]:
             if texts and size + len(text) > share:
+                others.append(text)
                 continue
             texts.append(text)
             size += len(text)
-    return fit(samples)
+    return measure(fit(samples), held_out)
 
 
 class Parser:
@@ -172,10 +213,30 @@ class Parser:
         total = np.concatenate([np.zeros((len(model.languages), 1), np.int64), np.cumsum(counts, axis=1, dtype=np.int64)], axis=1)
         return total[:, first[1:]] - total[:, first[:-1]], sizes, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def determined(self, texts: list[str]) -> list[str]:
+        """The language of each text, `und` also where its best language needs more phrases per symbol
+        than that language's documents do, or hardly fewer than the second. The phrase that the end of
+        a lane cuts is not counted."""
         phrases, sizes, letters = self.phrases(texts)
+        names, scores = self._named(phrases, sizes, letters)
+        most, least = self.model.most, self.model.least
+        if most is None:
+            return names
+        number = {n: k for k, n in enumerate(self.model.languages)}
+        lanes = -(-sizes // LANE)
+        for i, (name, score) in enumerate(zip(names, scores)):
+            if (k := number.get(name) if letters[i] else None) is not None:
+                strange = phrases[k, i] - lanes[i] > most[k] * sizes[i]
+                if strange or sizes[i] >= MARGIN_SYMBOLS and score < least[k]:
+                    names[i] = UNDETERMINED
+        return names
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        return self._named(*self.phrases(texts))
+
+    def _named(self, phrases: np.ndarray, sizes: np.ndarray, letters: np.ndarray) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for i in range(len(texts)):
+        for i in range(len(sizes)):
             if not letters[i] or not self.model.languages:
                 names.append(UNDETERMINED if not letters[i] else UNLEARNED)
                 scores.append(0.0)
@@ -211,8 +272,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def determined_documents(docs: DataFrame, model: Model, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text has a letter and, if `languages` are given,
-    is in one of them. Null and empty texts go."""
+    """The rows of `docs`, with all their columns, whose text is in a language the model learned and, if
+    `languages` are given, in one of them (`Parser.determined`). Null, empty and letterless texts, letter
+    junk, texts of other languages and texts mixed of several go. Where no language was learned, or no
+    labelled text was left to measure limits on, any text with a letter passes for determined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     wanted = None if languages is None else set(languages)
@@ -221,7 +284,7 @@ def determined_documents(docs: DataFrame, model: Model, languages: list[str] | N
         parser = Parser(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, _ = parser.predict(texts_of(batch.column(at)))
+            names = parser.determined(texts_of(batch.column(at)))
             return batch.filter(pa.array([n != UNDETERMINED and (wanted is None or n in wanted) for n in names], pa.bool_()))
 
         return step

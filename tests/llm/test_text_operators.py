@@ -191,6 +191,32 @@ def test_language(spark, small_dir, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.fit_on(none)).collect()} == {"und", "mis"}
 
 
+def test_undetermined_documents_go(spark):
+    """Documents of three languages stay; planted junk, garbled, mixed and unlearned-language texts go."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    pieces = {n: ["".join(rng.choice(letters, rng.integers(2, 5))) for _ in range(40)] for n in ("aa", "bb", "cc", "zz")}
+
+    def prose(name, words=150):
+        return " ".join("".join(rng.choice(pieces[name], rng.integers(1, 4))) for _ in range(words)).capitalize() + "."
+
+    def garbled(text):
+        return " ".join("".join(rng.permutation(list(w))) for w in text.split())
+
+    rows = [(i, prose(n), n) for n in ("aa", "bb", "cc") for i in range({"aa": 0, "bb": 100, "cc": 200}[n], {"aa": 0, "bb": 100, "cc": 200}[n] + 80)]
+    model = language.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = [(1000 + i, prose(n, int(rng.integers(20, 300))), n) for i, n in enumerate(["aa", "bb", "cc"] * 30)]
+    junk = [(2000 + i, "".join(rng.choice([*letters, " "], 400)), None) for i in range(30)]
+    junk += [(3000 + i, garbled(prose("aa")), "aa") for i in range(30)] + [(4000 + i, prose("zz"), "zz") for i in range(30)]
+    junk += [(5000 + i, prose("aa") + " " + prose("bb"), "aa") for i in range(30)] + [(6000, "123 !", "aa"), (6001, "漢字仮名交 " * 40, "aa"), (6002, None, "aa"), (6003, "", "aa")]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string").repartition(3)
+    names = dict(zip([i for i, _, _ in clean], language.Parser(model).determined([t for _, t, _ in clean])))
+    assert all(names[i] == n for i, _, n in clean)
+    left = language.determined_documents(docs, model)
+    assert {r.doc_id for r in left.collect()} == {i for i, _, _ in clean}
+    assert {r.doc_id for r in language.determined_documents(docs, model, ["bb"]).collect()} == {i for i, _, n in clean if n == "bb"}
+
+
 def test_cross_parsing_counts_longest_matches():
     model = language.fit({"a": ["abcabd"], "b": ["xyz"]})
     phrases, sizes, _ = language.Parser(model).phrases(["abdabc", "xyzxyz", ""])
