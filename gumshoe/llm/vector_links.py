@@ -16,8 +16,10 @@ NEIGHBOURS = 10
 TREES, LEAF, LEAF_MOST = 4, 96, 384
 #: Neighbours of one vector that are joined with each other at a time, and vectors of a block.
 JOINED, BLOCK = 64, 512
-#: Audited vectors, the recall they must show, and rounds of trees and descent at most.
-AUDIT, RECALL, ROUNDS = 200, 0.999, 6
+#: Audited vectors that have links, vectors compared with all for that at a time and in all, and the recall
+#: they must show. Descents repeat until at most this share of list entries is new. After so many rounds
+#: of trees each must halve what is missed, or all vectors of a label are compared.
+AUDIT, AUDITED, AUDITED_MOST, RECALL, NEW, ROUNDS = 3000, 3000, 12_000, 0.999, 0.001, 6
 _LISTS = "id bigint, near array<struct<far:double,id:bigint>>, anchor bigint"
 
 
@@ -130,9 +132,27 @@ def _descended(nodes: DataFrame, lists: DataFrame, least: float) -> DataFrame:
     return _joined(groups, least)
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The first place that each place reaches over the links of a symmetric matrix."""
+    root = np.arange(len(linked))
+    at = np.flatnonzero(linked.any(axis=1))
+    inside = linked[np.ix_(at, at)]
+    while len(at):
+        near = np.where(inside, root[at][None, :], len(root)).min(axis=1)
+        new = root.copy()
+        np.minimum.at(new, root[at], near)
+        new[at] = np.minimum(new[at], near)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def _block_links(members: DataFrame, least: float) -> DataFrame:
-    """(id, links) by comparing all members (component, id, n, x) of one component, block by block:
-    two blocks meet in one row, and only sums leave it."""
+    """(id, links, root) by comparing all members (component, id, n, x) of one component, block by block:
+    two blocks meet in one row, and only sums and the first vector reached leave it, once for each two
+    blocks. The edges from vector to root connect what the links do."""
     sizes = members.groupBy("component", F.size("x").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = members.withColumn("dim", F.size("x")).join(sizes, ["component", "dim"]).withColumn("own", own)
@@ -146,26 +166,25 @@ def _block_links(members: DataFrame, least: float) -> DataFrame:
             ends = column.offsets.to_numpy()
             values = column.values
             ids, count, own = (values.field(n).to_numpy() for n in ("id", "n", "own"))
-            out = []
+            out = [(np.zeros(0, np.int64),) * 3]
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 x, side, n = unit_rows(matrix(values.field("x").slice(a, b - a))), own[a:b], count[a:b]
                 like = x @ x.T >= least
                 if side.min() != side.max():
                     like &= side[:, None] != side[None, :]
                 np.fill_diagonal(like, False)
-                out.append((ids[a:b], like @ n))
-            return pa.record_batch(
-                [pa.array(np.concatenate([i for i, _ in out] or [np.zeros(0)]), pa.int64()), pa.array(np.concatenate([n for _, n in out] or [np.zeros(0)]), pa.int64())], names=["id", "links"]
-            )
+                total, root = like @ n, _roots(like)
+                some = total > 0
+                out.append((ids[a:b][some], total[some], ids[a:b][root[some]]))
+            return pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["id", "links", "root"])
 
         return step
 
-    return map_batches(groups, make, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    return map_batches(groups, make, "id bigint, links bigint, root bigint")
 
 
-def _audited(nodes: DataFrame, least: float) -> DataFrame:
-    """(id, truth): links of the audited vectors, counted against all vectors."""
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).toArrow()
+def _truth(nodes: DataFrame, asked: pa.Table, least: float) -> DataFrame:
+    """(id, truth): links of the asked vectors, counted against all vectors."""
     shared = nodes.sparkSession.sparkContext.broadcast(asked)
 
     def make():
@@ -173,23 +192,63 @@ def _audited(nodes: DataFrame, least: float) -> DataFrame:
         vectors = asked.column("x").combine_chunks() if isinstance(asked.column("x"), pa.ChunkedArray) else asked.column("x")
         ids, labels = asked.column("id").to_numpy(), asked.column("label").to_numpy()
         width = np.diff(vectors.offsets.to_numpy())
+        by_width = {int(d): unit_rows(matrix(vectors.take(pa.array(np.flatnonzero(width == d))))) for d in np.unique(width)}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             own, label, n = (batch.column(c).to_numpy() for c in ("id", "label", "n"))
             x = batch.column("x")
             size = np.diff(x.offsets.to_numpy())
             truth = np.zeros(len(ids), np.int64)
-            for dim in np.unique(width):
+            for dim, asked_rows in by_width.items():
                 q, r = np.flatnonzero(width == dim), np.flatnonzero(size == dim)
                 if len(r):
-                    like = unit_rows(matrix(vectors.take(pa.array(q)))) @ unit_rows(matrix(x.take(pa.array(r)))).T >= least
+                    like = asked_rows @ unit_rows(matrix(x.take(pa.array(r)))).T >= least
                     like &= (labels[q][:, None] == label[r][None, :]) & (ids[q][:, None] != own[r][None, :])
                     truth[q] += like @ n[r]
-            return pa.record_batch([pa.array(ids), pa.array(truth)], names=["id", "truth"])
+            some = truth > 0
+            return pa.record_batch([pa.array(ids[some]), pa.array(truth[some])], names=["id", "truth"])
 
         return step
 
-    return map_batches(nodes.select("id", "label", "n", "x"), make, "id bigint, truth bigint").groupBy("id").agg(F.sum("truth").alias("truth"))
+    found = map_batches(nodes.select("id", "label", "n", "x"), make, "id bigint, truth bigint")
+    return found.groupBy("id").agg(F.sum("truth").alias("truth"))
+
+
+def _audited(nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(id, truth) of audited vectors that have links. Vectors are asked in the order of their ids' hash,
+    each time four times as many as before, until AUDIT of them have some or AUDITED_MOST were asked."""
+    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED_MOST).select("id", "label", "x").toArrow()
+    out, at, size, linked = None, 0, AUDITED, 0
+    while out is None or at < asked.num_rows and linked < AUDIT:
+        some = scratch.keep(_truth(nodes, asked.slice(at, size), least))
+        out = some if out is None else out.unionByName(some)
+        linked += some.count()
+        at, size = at + size, 3 * (at + size)
+    return out
+
+
+def _recall(result: DataFrame, truth: DataFrame) -> float:
+    """The worse of the share of the audited vectors' links that was found and the mean of each one's
+    share, so that neither a large group nor many small ones hide what the others miss."""
+    found = F.coalesce("others", F.lit(0))
+    seen = truth.join(result, "id", "left").agg(F.sum(found), F.sum("truth"), F.avg(found / F.col("truth"))).first()
+    return 1.0 if not seen[1] else min(seen[0] / seen[1], seen[2])
+
+
+def _new_share(before: DataFrame, after: DataFrame) -> float:
+    """Share of the entries of the lists that were not in them before."""
+    old = before.select("id", F.col("near").alias("old"))
+    same = F.coalesce(F.size(F.array_intersect("near.id", "old.id")), F.lit(0))
+    new, total = after.join(old, "id", "left").agg(F.sum(F.size("near") - same), F.sum(F.size("near"))).first()
+    return new / total if total else 0.0
+
+
+def _per_id(nodes: DataFrame, found: DataFrame, listed: DataFrame, counted: DataFrame) -> DataFrame:
+    """(id, others, component_id): links and component of each id; an id met with several labels or vectors
+    has the most links and the smallest component."""
+    rows = nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").join(listed, "id", "left").join(counted, "id", "left")
+    rows = rows.select("id", F.coalesce("links", "listed", F.lit(0)).alias("others"), F.coalesce("component", "id").alias("component_id"))
+    return rows.groupBy("id").agg(F.max("others").alias("others"), F.min("component_id").alias("component_id"))
 
 
 def link_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, float]:
@@ -201,8 +260,9 @@ def link_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
        enter each other's lists where they are nearer.
     4. Lists that hold nothing but links are saturated and are enlarged: the nodes of their connected
        component are compared block by block, so that a list of any length is counted, not written.
-    5. An audit compares a fixed number of nodes with all; more trees and descents follow, on top of the
-       lists so far, until it finds the recall asked for.
+    5. An audit compares nodes, until enough of them have links, with all; more trees and descents follow,
+       on top of the lists so far, until it finds the recall asked for.
+    6. Where more rounds hardly help, all nodes of a label are compared block by block, and nothing is missed.
 
     Cosines are in double precision. A null id or label, and a vector that is null, empty, zero or holds
     a null or non-finite component, is linked with nothing: no links, its own component, kept.
@@ -215,13 +275,16 @@ def link_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
     classes = scratch.keep(fine.groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
     nodes = classes.select("id", "label", "n", "x")
     sizes = scratch.keep(nodes.groupBy("label", F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("members")))
-    truth = scratch.keep(_audited(nodes, least))
-    lists, recall = None, 0.0
-    for seed in range(ROUNDS):
+    truth = _audited(nodes, least, scratch)
+    lists, seed, recall = None, 0, 0.0
+    while True:
         groups = _leaves(nodes, sizes, seed).groupBy("label", "dim", "tree", "leaf", "part").agg(F.collect_list(_struct(F.lit(-2.0))).alias("members"))
         grown = _joined(groups, least)
         lists = scratch.keep(_merged(grown if lists is None else lists.unionByName(grown)))
-        lists = scratch.keep(_merged(lists.unionByName(_descended(nodes, lists, least))))
+        while True:
+            before, lists = lists, scratch.keep(_merged(lists.unionByName(_descended(nodes, lists, least))))
+            if _new_share(before, lists) <= NEW:
+                break
         entries = lists.select("id", F.explode("near").alias("e")).select("id", F.col("e.id").alias("other"), (-F.col("e.far")).alias("like")).filter(F.col("like") >= least)
         links = entries.select(F.col("id").alias("a"), F.col("other").alias("b"))
         links = links.unionByName(lists.filter("anchor is not null").select(F.col("id").alias("a"), F.col("anchor").alias("b")))
@@ -230,16 +293,22 @@ def link_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
         full = entries.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= NEIGHBOURS)
         crowded = full.join(found, F.col("id") == F.col("node")).select("component").distinct()
         inside = found.join(crowded, "component").select(F.col("node").alias("id"), "component").join(nodes, "id")
-        counted = _block_links(inside.select("component", "id", "n", "x"), least)
+        counted = _block_links(inside.select("component", "id", "n", "x"), least).groupBy("id").agg(F.sum("links").alias("links"))
         sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         listed = sides.join(nodes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("listed"))
-        per_node = nodes.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").join(listed, "id", "left").join(counted, "id", "left")
-        others = F.coalesce("links", "listed", F.lit(0))
-        result = scratch.keep(per_node.select("id", others.alias("others"), F.coalesce("component", "id").alias("component_id")).groupBy("id").agg(F.max("others").alias("others"), F.min("component_id").alias("component_id")))
-        seen = result.join(truth, "id").agg(F.sum("others"), F.sum("truth")).first()
-        recall = 1.0 if not seen[1] else seen[0] / seen[1]
+        result = scratch.keep(_per_id(nodes, found, listed, counted))
+        missed, recall = 1 - recall, _recall(result, truth)
+        seed += 1
         if recall >= RECALL:
             break
+        if seed >= ROUNDS and 1 - recall > missed / 2:
+            blocks = scratch.keep(_block_links(nodes.select(F.col("label").alias("component"), "id", "n", "x"), least))
+            counted = blocks.groupBy("id").agg(F.sum("links").alias("links"))
+            links = blocks.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+            found = scratch.keep(components(links, scratch))
+            result = scratch.keep(_per_id(nodes, found, listed.limit(0), counted))
+            recall = _recall(result, truth)
+            break
     placed = fine.join(classes, ["label", "x"]).select("vec_id", "id", "n").join(result, "id")
     placed = placed.groupBy("vec_id").agg(F.max(F.col("others") + F.col("n") - 1).alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("vec_id").join(placed, "vec_id", "left")

@@ -128,6 +128,38 @@ def test_vector_links(spark):
     assert link_vectors(rows.limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_vector_links_of_small_groups(spark, monkeypatch, rounds):
+    """One group of many near copies and many pairs, with trees that separate most pairs."""
+    from gumshoe.llm import vector_links
+
+    for name, value in (("TREES", 1), ("LEAF", 4), ("LEAF_MOST", 8), ("ROUNDS", rounds)):
+        monkeypatch.setattr(vector_links, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 24))
+    x[:300] = x[0] + 0.02 * rng.standard_normal((300, 24))
+    x[301:700:2] = x[300:700:2] + 0.1 * rng.standard_normal((200, 24))
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got, recall = link_vectors(rows)
+    got = {r.vec_id: r for r in got.collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    like = unit @ unit.T >= 0.98
+    np.fill_diagonal(like, False)
+    truth = groups_of(range(700), zip(*np.nonzero(like)))
+    wrong = [i for i in range(700) if (got[i].n_links, got[i].component_id) != (like[i].sum(), truth[i])]
+    assert recall >= 0.999 and len(wrong) <= 0.002 * 700
+
+
+def test_recall_is_not_the_large_groups(spark):
+    from gumshoe.llm.vector_links import _recall
+
+    truth = spark.createDataFrame([(0, 9999), *((i, 1) for i in range(1, 10))], "id long, truth long")
+    found = spark.createDataFrame([(0, 9999), (1, 1), *((i, 0) for i in range(2, 10))], "id long, others long")
+    assert _recall(found, truth) == pytest.approx(0.2)
+    assert _recall(truth.withColumnRenamed("truth", "others"), truth) == 1.0 and _recall(found, truth.limit(0)) == 1.0
+
+
 def test_nearest_small_is_exact(spark):
     x, rows = vectors(spark, np.random.default_rng(4))
     got, recall = search_nearest(rows)
