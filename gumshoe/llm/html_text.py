@@ -20,8 +20,8 @@ SAMPLE_PAGES, SAMPLE_CHARS = 300, 40_000
 #: Sizes of the hashed vectors of the tag path and of the words, of other measures, and of one direction's state.
 PATH, WORDS, MEASURES, STATE = 128, 64, 6, 24
 EPOCHS = 14
-#: Blocks of a page that the training sees, and pages labelled at a time.
-TRAIN_BLOCKS, TOGETHER = 80, 64
+#: Padded blocks that the training stacks at a time, and pages labelled at a time.
+STACKED, TOGETHER = 4096, 64
 
 # Elements of HTML by how they are laid out.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -39,8 +39,8 @@ BESIDE = frozenset(
 MAIN = frozenset("article main content post entry story text body".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -62,10 +62,23 @@ def _end_of(html: str, tag: str, at: int) -> int:
     return found.end() if found else len(html)
 
 
+def _named(attributes: str) -> tuple[str, ...]:
+    """Words of an element's class, id and role, and a mark if its own attributes hide it."""
+    names: list[str] = []
+    hidden = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            names += ("." + w for w in _WORD.findall(value.lower()))
+        hidden |= name == "hidden" or name == "style" and bool(_NO_DISPLAY.search(value))
+    return (*names, "hidden!") if hidden else tuple(names)
+
+
 def blocks_of(html: str) -> list[Block]:
     """Leaf blocks in page order: text between the tags that break lines, with the open elements and
     their classes, and how many of its characters are links. Character references are decoded and
-    white space becomes one blank; scripts, styles, comments and hidden elements give nothing."""
+    white space becomes one blank; scripts, styles, comments and elements with a `hidden` attribute or a
+    style of no display give nothing."""
     out: list[Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
@@ -146,10 +159,8 @@ def blocks_of(html: str) -> list[Block]:
         if tag in VOID or found.group(3).endswith("/"):
             continue
         attributes = found.group(3)
-        names = tuple("." + w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())) if attributes else ()
-        if attributes and _HIDDEN.search(attributes):
-            names += ("hidden!",)
-            hidden += 1
+        names = _named(attributes) if attributes else ()
+        hidden += "hidden!" in names
         stack.append(_Open(tag, names))
     flush()
     return out
@@ -183,8 +194,8 @@ class Features:
         for row, block in zip(x, blocks):
             words = block.text.lower().split()
             row[:PATH] = self.paths[block.path]
-            counts = np.bincount([self.words[w] for w in words[:64]], minlength=WORDS)
-            row[PATH : PATH + WORDS] = np.sqrt(counts) / np.sqrt(len(words[:64]))
+            counts = np.bincount([self.words[w] for w in words], minlength=WORDS)
+            row[PATH : PATH + WORDS] = np.sqrt(counts) / np.sqrt(len(words))
             n = len(block.text)
             row[PATH + WORDS :] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, block.linked / n, block.text[-1] in ".!?", seen / total, n / total)
             seen += n
@@ -281,6 +292,35 @@ class Labeller:
         return out
 
 
+def _parts(pages: list[np.ndarray], some: np.ndarray) -> list[list[int]]:
+    """Pages of like length together, with at most STACKED padded blocks or one page in a part."""
+    out: list[list[int]] = []
+    for i in sorted(some, key=lambda i: len(pages[i])):
+        if out and len(pages[i]) * (len(out[-1]) + 1) <= STACKED:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def _gradients(w: list[np.ndarray], pages: list[np.ndarray], labels: list[np.ndarray], total: int) -> list[np.ndarray]:
+    """Gradients of the cross entropy of the pages' blocks, as a share of `total` blocks."""
+    x, mask = Labeller.stack(pages)
+    y = np.zeros(mask.shape)
+    for k, own in enumerate(labels):
+        y[: len(own), k] = own
+    (forth, saved_f), (back, saved_b) = _run(x, mask, *w[:3], keep=True), _run(x[::-1], mask[::-1], *w[3:6], keep=True)
+    states = np.concatenate([forth, back[::-1]], axis=2)
+    d = np.where(mask, _sigmoid(states @ w[6] + w[7]) - y, 0.0) / total
+    ds = d[:, :, None] * w[6]
+    return [
+        *_back(x, mask, w[1], saved_f, ds[:, :, :STATE]),
+        *_back(x[::-1], mask[::-1], w[4], saved_b, ds[::-1, :, STATE:]),
+        (states * d[:, :, None]).sum(axis=(0, 1)),
+        d.sum(keepdims=True).ravel()[:1],
+    ]
+
+
 def fit(pages: list[np.ndarray], labels: list[np.ndarray]) -> Labeller:
     """Adam steps on the cross entropy of all blocks; the same input gives the same model."""
     rng = np.random.default_rng(59)
@@ -292,20 +332,8 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray]) -> Labeller:
         order = rng.permutation(len(pages))
         for at in range(0, len(order), 32):
             some = order[at : at + 32]
-            x, mask = model.stack([pages[i] for i in some])
-            y = np.zeros(mask.shape)
-            for k, i in enumerate(some):
-                y[: len(labels[i]), k] = labels[i]
-            (forth, saved_f), (back, saved_b) = _run(x, mask, *w[:3], keep=True), _run(x[::-1], mask[::-1], *w[3:6], keep=True)
-            states = np.concatenate([forth, back[::-1]], axis=2)
-            d = np.where(mask, _sigmoid(states @ w[6] + w[7]) - y, 0.0) / mask.sum()
-            ds = d[:, :, None] * w[6]
-            grads = [
-                *_back(x, mask, w[1], saved_f, ds[:, :, :STATE]),
-                *_back(x[::-1], mask[::-1], w[4], saved_b, ds[::-1, :, STATE:]),
-                (states * d[:, :, None]).sum(axis=(0, 1)),
-                d.sum(keepdims=True).ravel()[:1],
-            ]
+            total = sum(len(labels[i]) for i in some)
+            grads = [sum(g) for g in zip(*(_gradients(w, [pages[i] for i in part], [labels[i] for i in part], total) for part in _parts(pages, some)))]
             step += 1
             rate = 1e-2 * (1 - step / (EPOCHS * per_epoch + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             norm = np.sqrt(sum((g * g).sum() for g in grads))
@@ -419,15 +447,15 @@ def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         blocks = blocks_of(html)
         if blocks:
             texts += [b.text for b in blocks]
-            inputs.append(features(blocks)[:TRAIN_BLOCKS])
-            labels.append(weak_labels(blocks)[:TRAIN_BLOCKS])
+            inputs.append(features(blocks).astype(np.float32))
+            labels.append(weak_labels(blocks))
     texts = texts or ["Some words that stand for a text. They say nothing, but they have the shape of one."]
     rng = np.random.default_rng(61)
     for _ in range(2 * SAMPLE_PAGES):
         blocks, own = laid_out(rng, texts)
         if blocks:
-            inputs.append(features(blocks)[:TRAIN_BLOCKS])
-            labels.append(own[:TRAIN_BLOCKS])
+            inputs.append(features(blocks).astype(np.float32))
+            labels.append(own)
     return fit(inputs, labels)
 
 

@@ -267,6 +267,27 @@ def test_page_blocks():
     assert html_text.blocks_of("") == [] and [b.text for b in html_text.blocks_of("a < b")] == ["a < b"]
 
 
+def test_page_blocks_are_hidden_by_their_own_attributes_only():
+    shown = ['data-title="The hidden cost of rent"', 'class="a hidden b"', "title='display:none' id=x", 'style="color:red" aria-hidden="true"']
+    gone = ["hidden", 'class="a" HIDDEN=""', 'style="color:red; display : none"', "style=display:none"]
+    for attributes in shown:
+        assert [b.text for b in html_text.blocks_of(f"<article {attributes}><p>Some text.</article>")] == ["Some text."]
+    for attributes in gone:
+        assert html_text.blocks_of(f"<article {attributes}><p>Some text.</article>") == []
+
+
+def test_page_features_and_training_see_everything(spark, monkeypatch):
+    long = html_text.blocks_of("<p>" + "a " * 64 + "</p>")[0], html_text.blocks_of("<p>" + "a " * 64 + "tail " * 64 + "</p>")[0]
+    words = slice(html_text.PATH, html_text.PATH + html_text.WORDS)
+    first, second = (html_text.Features()([b])[0, words] for b in long)
+    assert (first != second).any()
+    seen = []
+    monkeypatch.setattr(html_text, "fit", lambda pages, labels: seen.extend(zip(map(len, pages), labels)))
+    page = "<article>" + "<p>Words of it.</p>" * 150 + "</article><footer><p>The end.</p></footer>"
+    html_text.fit_on(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))
+    assert seen[0][0] == 151 and seen[0][1].tolist() == [1.0] * 150 + [0.0]
+
+
 def test_pages(spark, small_dir):
     pages = table(spark, small_dir, "pages")
     model = html_text.fit_on(pages)
