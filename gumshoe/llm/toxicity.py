@@ -8,14 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gumshoe.llm.common import Recent, map_batches, texts_of
 
-#: The model is fitted on at most so many labelled documents and characters.
+#: The model is fitted on at most so many labelled documents and characters. Each label has its share of
+#: them, a rare one at least this part; a document too long for what is left is passed over.
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 20_000_000
+RARE = 0.1
 EPOCHS = 100
 DECAY = 0.5
 #: Features in fewer sample documents, or with a weaker log odds ratio in standard errors, get no weight.
@@ -132,21 +134,38 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Model:
 
 
 def fit_on(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the labelled documents whose id's hash is lowest, within SAMPLE_DOCS and SAMPLE_CHARS.
+    """Fit on labelled documents, per label those whose id's hash is lowest, within the bounds above.
 
     A document labelled twice counts as toxic if one label says so; null ids and labels are skipped.
     """
     ids = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).toPandas()
-    wanted = docs.sparkSession.createDataFrame(ids, "doc_id bigint, label int") if len(ids) else None
-    if wanted is None:
+    ids = ids.withColumn("label", (F.col("label") > 0).cast("int"))
+    counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
+    if not counts:
         return Model({}, -20.0)
+    share = {k: max(RARE, n / sum(counts.values())) for k, n in counts.items()}
+    share = {k: v / sum(share.values()) for k, v in share.items()}
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = ids.withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).toPandas()
+    ids = ids[ids["place"] <= ids["label"].map(share).mul(SAMPLE_DOCS).clip(lower=1)]
+    wanted = docs.sparkSession.createDataFrame(ids, "doc_id bigint, label int, place int")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sized = rows.select("doc_id", F.length("text").alias("n")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.max("n").alias("n"))
-    sized = sized.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    sized = sized[sized["n"].cumsum() <= SAMPLE_CHARS]
+    # Every text of an id that is repeated is taken, so all of them count.
+    sized = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("hash")).join(F.broadcast(wanted), "doc_id")
+    sized = sized.dropDuplicates(["doc_id", "hash"]).groupBy("doc_id", "label", "place").agg(F.sum("n").alias("n"))
+    sized = sized.toPandas().sort_values(["label", "place"])
     if not len(sized):
         return Model({}, -20.0)
+    taken: list[bool] = []
+    for label, part in sized.groupby("label"):
+        left, own = share[label] * SAMPLE_CHARS, []
+        for n in part["n"]:
+            own.append(n <= left)
+            left -= n * own[-1]
+        if not any(own):
+            own[int(part["n"].to_numpy().argmin())] = True
+        taken += own
+    sized = sized[taken]
     wanted = docs.sparkSession.createDataFrame(sized[["doc_id", "label"]], "doc_id bigint, label int")
     found = rows.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "text"]).toPandas()
     found = found.sort_values(["doc_id", "text"])

@@ -251,6 +251,27 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit_on(none, marks).weights == {}
 
 
+def test_toxicity_sample_passes_over_long_documents_and_has_rare_labels(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    words = ["w" + str(i) for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words, 30)) + (" vilefool." if i % 40 == 0 else ".")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 40 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append((texts, toxic)))
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 200)
+    toxicity.fit_on(docs, marks)
+    assert len(seen[0][1]) <= 200 and sum(seen[0][1]) >= 15
+    # The first of each label in the order of the hash is too long.
+    order = [r.doc_id for r in marks.selectExpr("doc_id", "toxic", "xxhash64(doc_id) as h").orderBy("h").collect()]
+    long = {next(i for i in order if i % 40), next(i for i in order if i % 40 == 0)}
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 100_000)
+    longer = spark.createDataFrame([(i, "toolong " * 20_000 if i in long else t) for i, t in rows], "doc_id long, text string")
+    toxicity.fit_on(longer, marks)
+    assert len(seen[1][1]) >= 150 and sum(seen[1][1]) >= 15 and not any("toolong" in t for t in seen[1][0])
+    assert sum(map(len, seen[1][0])) <= 100_000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><p>Some site</p></header><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>
 <div class="ad">Buy this thing now.</div><article><h1>A &amp; title</h1><p><b>First  line of
