@@ -63,6 +63,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lowest_hashes(rows: DataFrame, most: int, count: int) -> pa.Table:
+    """About the `most` of `count` rows whose id's hash is lowest, in its order. A limit on the hash chooses
+    them, so each task sends its share of them and none sorts its rows."""
+    hashed = rows.withColumn("_hash", F.xxhash64("id"))
+    if count > most:
+        hashed = hashed.filter(F.col("_hash") < -(2**63) + int(2**64 * most / count))
+    return hashed.toArrow().sort_by([("_hash", "ascending"), ("id", "ascending")]).drop_columns("_hash")
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, barrier: bool = False) -> DataFrame:
     """Run `make()` once in each task and its result on each bounded batch of rows."""
 

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import Scratch, map_batches
+from gumshoe.llm.common import Scratch, lowest_hashes, map_batches
 from gumshoe.llm.vectors import matrix, usable
 
-#: The index is fitted on at most so many vectors, those whose id's hash is lowest.
+#: The index is fitted on about so many vectors at most, those whose id's hash is lowest.
 SAMPLE = 8192
 #: Vectors of a partition on average; the number of partitions is a power of two.
 PARTITION, PARTITIONS_MOST = 2048, 256
@@ -221,8 +221,8 @@ def search_nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str =
     rows = rows.filter(F.size("x") == (widths["dim"] if widths else 0))
     vectors = scratch.keep(rows.groupBy("x").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
     members = scratch.keep(rows.join(vectors, "x").select("id", "vec_id"))
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "x").toArrow()
     count = vectors.count()
+    sample = lowest_hashes(vectors.select("id", "x"), SAMPLE, count)
     parts = 1
     while parts < PARTITIONS_MOST and 2 * parts * PARTITION <= count:
         parts *= 2
@@ -237,7 +237,7 @@ def search_nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str =
     asking = members.filter(F.col("vec_id") % every == 0).select("id").distinct().join(vectors.select("id", "x"), "id")
     probes, recall = parts, 1.0
     if parts > 1:
-        asked = asking.orderBy(F.xxhash64("id"), "id").limit(AUDIT).toArrow()
+        asked = lowest_hashes(asking, AUDIT, asking.count())
         truth = _against_all(asked, vectors, k + 1).filter(F.col("q") != F.col("id")).join(data.select("id", "part"), "id").select("q", "part").toPandas()
         ranks = np.argsort(np.argsort(-router.scores(matrix(asked.column("x").combine_chunks())), axis=1, kind="stable"), axis=1)
         place = dict(zip(asked.column("id").to_pylist(), range(asked.num_rows)))

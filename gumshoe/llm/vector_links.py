@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import Scratch, components, map_batches
+from gumshoe.llm.common import Scratch, components, lowest_hashes, map_batches
 from gumshoe.llm.vectors import matrix, unit_rows, usable
 
 #: Neighbours kept for a vector; a list that holds links only is saturated.
@@ -17,9 +17,10 @@ TREES, LEAF, LEAF_MOST = 4, 96, 384
 #: Neighbours of one vector that are joined with each other at a time, and vectors of a block.
 JOINED, BLOCK = 64, 512
 #: Audited vectors that have links, vectors compared with all for that at a time and in all, and the recall
-#: they must show. Descents repeat until at most this share of list entries is new. After so many rounds
-#: of trees each must halve what is missed, or all vectors of a label are compared.
-AUDIT, AUDITED, AUDITED_MOST, RECALL, NEW, ROUNDS = 3000, 3000, 12_000, 0.999, 0.001, 6
+#: they must show. Descents repeat until at most this share of list entries is new.
+AUDIT, AUDITED, AUDITED_MOST, RECALL, NEW = 3000, 3000, 12_000, 0.999, 0.001
+#: Matrix products closer than this to a limit are summed again in the one order that counts.
+ROUNDING = 1e-9
 _LISTS = "id bigint, near array<struct<far:double,id:bigint>>, anchor bigint"
 
 
@@ -59,6 +60,25 @@ def _leaves(nodes: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     return leaves.join(counts, ["label", "dim", "tree", "leaf"]).select("label", "dim", "tree", "leaf", part, "id", "x")
 
 
+def _cosines(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the unit rows x[a] and y[b], each summed along its row in one order. A matrix product
+    may differ in the last bit with the rows it is taken with and with the machine."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 65_536):
+        out[at : at + 65_536] = (x[a[at : at + 65_536]] * y[b[at : at + 65_536]]).sum(axis=1)
+    return out
+
+
+def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether each row of x and each of y have a cosine of at least `least`; the same for a pair
+    wherever it is met."""
+    like = x @ y.T
+    linked = like >= least
+    a, b = np.nonzero(np.abs(like - least) < ROUNDING)
+    linked[a, b] = _cosines(x, y, a, b) >= least
+    return linked
+
+
 def _nearest(ids: np.ndarray, like: np.ndarray, worst: np.ndarray | None, most: int) -> list[np.ndarray]:
     """For each row the places of the most similar others, better than `worst`."""
     np.fill_diagonal(like, -2.0)
@@ -86,15 +106,14 @@ def _joined(groups: DataFrame, least: float) -> DataFrame:
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 own = all_ids[a:b]
                 x = unit_rows(matrix(vectors.slice(a, b - a)))
-                like = x @ x.T
-                found = _nearest(own, like, worst[a:b], NEIGHBOURS)
-                linked = np.where(like >= least, own[None, :], np.iinfo(np.int64).max).min(axis=1)
+                linked = np.where(_linked(x, x, least), own[None, :], np.iinfo(np.int64).max).min(axis=1)
+                found = _nearest(own, x @ x.T, worst[a:b], NEIGHBOURS)
                 for i, at in enumerate(found):
                     anchor = linked[i] < own[i]
                     if len(at) or anchor:
                         ids.append(own[i])
                         near.append(own[at])
-                        far.append(-like[i, at])
+                        far.append(-_cosines(x, x, np.full(len(at), i), at))
                         anchors.append(int(linked[i]) if anchor else None)
             sizes = np.cumsum([0] + [len(x) for x in near]).astype(np.int32)
             entries = pa.StructArray.from_arrays(
@@ -108,9 +127,14 @@ def _joined(groups: DataFrame, least: float) -> DataFrame:
 
 
 def _merged(lists: DataFrame) -> DataFrame:
-    """One list for each vector: the nearest of all, ties to the smaller id."""
-    best = F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))))
-    return lists.groupBy("id").agg(F.slice(best, 1, NEIGHBOURS).alias("near"), F.min("anchor").alias("anchor"))
+    """One list for each vector: the nearest of all, ties to the smaller id, each neighbour once. Entries
+    stay rows until the list is cut, so a vector that is proposed very often fills no cell."""
+    each = lists.repartition("id").select("id", "anchor", F.explode_outer("near").alias("e"))
+    pairs = each.groupBy("id", F.col("e.id").alias("other")).agg(F.min("e.far").alias("far"), F.min("anchor").alias("anchor"))
+    order = Window.partitionBy("id").orderBy(F.asc_nulls_last("far"), "other")
+    first = F.when(F.col("other").isNotNull() & (F.col("place") <= NEIGHBOURS), F.struct("far", F.col("other").alias("id")))
+    placed = pairs.withColumn("place", F.row_number().over(order))
+    return placed.groupBy("id").agg(F.array_sort(F.collect_list(first)).alias("near"), F.min("anchor").alias("anchor"))
 
 
 def _struct(worst: Column) -> Column:
@@ -169,7 +193,7 @@ def _block_links(members: DataFrame, least: float) -> DataFrame:
             out = [(np.zeros(0, np.int64),) * 3]
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 x, side, n = unit_rows(matrix(values.field("x").slice(a, b - a))), own[a:b], count[a:b]
-                like = x @ x.T >= least
+                like = _linked(x, x, least)
                 if side.min() != side.max():
                     like &= side[:, None] != side[None, :]
                 np.fill_diagonal(like, False)
@@ -202,7 +226,7 @@ def _truth(nodes: DataFrame, asked: pa.Table, least: float) -> DataFrame:
             for dim, asked_rows in by_width.items():
                 q, r = np.flatnonzero(width == dim), np.flatnonzero(size == dim)
                 if len(r):
-                    like = asked_rows @ unit_rows(matrix(x.take(pa.array(r)))).T >= least
+                    like = _linked(asked_rows, unit_rows(matrix(x.take(pa.array(r)))), least)
                     like &= (labels[q][:, None] == label[r][None, :]) & (ids[q][:, None] != own[r][None, :])
                     truth[q] += like @ n[r]
             some = truth > 0
@@ -214,10 +238,10 @@ def _truth(nodes: DataFrame, asked: pa.Table, least: float) -> DataFrame:
     return found.groupBy("id").agg(F.sum("truth").alias("truth"))
 
 
-def _audited(nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+def _audited(nodes: DataFrame, count: int, least: float, scratch: Scratch) -> DataFrame:
     """(id, truth) of audited vectors that have links. Vectors are asked in the order of their ids' hash,
     each time four times as many as before, until AUDIT of them have some or AUDITED_MOST were asked."""
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED_MOST).select("id", "label", "x").toArrow()
+    asked = lowest_hashes(nodes.select("id", "label", "x"), AUDITED_MOST, count)
     out, at, size, linked = None, 0, AUDITED, 0
     while out is None or at < asked.num_rows and linked < AUDIT:
         some = scratch.keep(_truth(nodes, asked.slice(at, size), least))
@@ -235,12 +259,25 @@ def _recall(result: DataFrame, truth: DataFrame) -> float:
     return 1.0 if not seen[1] else min(seen[0] / seen[1], seen[2])
 
 
-def _new_share(before: DataFrame, after: DataFrame) -> float:
-    """Share of the entries of the lists that were not in them before."""
-    old = before.select("id", F.col("near").alias("old"))
-    same = F.coalesce(F.size(F.array_intersect("near.id", "old.id")), F.lit(0))
-    new, total = after.join(old, "id", "left").agg(F.sum(F.size("near") - same), F.sum(F.size("near"))).first()
-    return new / total if total else 0.0
+def _change(before: DataFrame, after: DataFrame) -> tuple[float, tuple]:
+    """Share of the neighbours in the lists that were not in them before, and a digest of the lists."""
+    old = before.select("id", F.col("near.id").alias("old"))
+    ids = F.array_distinct("near.id")
+    same = F.coalesce(F.size(F.array_intersect(ids, "old")), F.lit(0))
+    digest = F.sum(F.xxhash64("id", "near.id").cast("decimal(20,0)"))
+    new, total, state = after.join(old, "id", "left").agg(F.sum(F.size(ids) - same), F.sum(F.size(ids)), digest).first()
+    return new / total if total else 0.0, (total, state)
+
+
+def _settled(nodes: DataFrame, lists: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Lists after descents that end when few entries are new or the lists are as they were before."""
+    seen: set[tuple] = set()
+    while True:
+        before, lists = lists, scratch.keep(_merged(lists.unionByName(_descended(nodes, lists, least))))
+        share, state = _change(before, lists)
+        if share <= NEW or state in seen:
+            return lists
+        seen.add(state)
 
 
 def _per_id(nodes: DataFrame, found: DataFrame, listed: DataFrame, counted: DataFrame) -> DataFrame:
@@ -261,10 +298,10 @@ def link_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
     4. Lists that hold nothing but links are saturated and are enlarged: the nodes of their connected
        component are compared block by block, so that a list of any length is counted, not written.
     5. An audit compares nodes, until enough of them have links, with all; more trees and descents follow,
-       on top of the lists so far, until it finds the recall asked for.
-    6. Where more rounds hardly help, all nodes of a label are compared block by block, and nothing is missed.
+       on top of the lists so far, until it finds the recall asked for. Any two vectors of a label share
+       a leaf of a new tree with some probability, so the rounds come to an end whatever the vectors.
 
-    Cosines are in double precision. A null id or label, and a vector that is null, empty, zero or holds
+    Cosines are in double precision, each summed in one order, so that a pair is as near wherever it is met. A null id or label, and a vector that is null, empty, zero or holds
     a null or non-finite component, is linked with nothing: no links, its own component, kept.
     Vectors of different lengths are never linked. Repeated rows are copies of each other. No rows give
     no rows; other columns are not read.
@@ -275,16 +312,14 @@ def link_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
     classes = scratch.keep(fine.groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
     nodes = classes.select("id", "label", "n", "x")
     sizes = scratch.keep(nodes.groupBy("label", F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("members")))
-    truth = _audited(nodes, least, scratch)
+    count = sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    truth = _audited(nodes, count, least, scratch)
     lists, seed, recall = None, 0, 0.0
-    while True:
+    while recall < RECALL:
         groups = _leaves(nodes, sizes, seed).groupBy("label", "dim", "tree", "leaf", "part").agg(F.collect_list(_struct(F.lit(-2.0))).alias("members"))
         grown = _joined(groups, least)
         lists = scratch.keep(_merged(grown if lists is None else lists.unionByName(grown)))
-        while True:
-            before, lists = lists, scratch.keep(_merged(lists.unionByName(_descended(nodes, lists, least))))
-            if _new_share(before, lists) <= NEW:
-                break
+        lists = _settled(nodes, lists, least, scratch)
         entries = lists.select("id", F.explode("near").alias("e")).select("id", F.col("e.id").alias("other"), (-F.col("e.far")).alias("like")).filter(F.col("like") >= least)
         links = entries.select(F.col("id").alias("a"), F.col("other").alias("b"))
         links = links.unionByName(lists.filter("anchor is not null").select(F.col("id").alias("a"), F.col("anchor").alias("b")))
@@ -297,18 +332,8 @@ def link_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
         sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         listed = sides.join(nodes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("listed"))
         result = scratch.keep(_per_id(nodes, found, listed, counted))
-        missed, recall = 1 - recall, _recall(result, truth)
+        recall = _recall(result, truth)
         seed += 1
-        if recall >= RECALL:
-            break
-        if seed >= ROUNDS and 1 - recall > missed / 2:
-            blocks = scratch.keep(_block_links(nodes.select(F.col("label").alias("component"), "id", "n", "x"), least))
-            counted = blocks.groupBy("id").agg(F.sum("links").alias("links"))
-            links = blocks.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-            found = scratch.keep(components(links, scratch))
-            result = scratch.keep(_per_id(nodes, found, listed.limit(0), counted))
-            recall = _recall(result, truth)
-            break
     placed = fine.join(classes, ["label", "x"]).select("vec_id", "id", "n").join(result, "id")
     placed = placed.groupBy("vec_id").agg(F.max(F.col("others") + F.col("n") - 1).alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("vec_id").join(placed, "vec_id", "left")

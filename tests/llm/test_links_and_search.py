@@ -128,12 +128,11 @@ def test_vector_links(spark):
     assert link_vectors(rows.limit(0))[0].count() == 0
 
 
-@pytest.mark.parametrize("rounds", [1, 6])
-def test_vector_links_of_small_groups(spark, monkeypatch, rounds):
+def test_vector_links_of_small_groups(spark, monkeypatch):
     """One group of many near copies and many pairs, with trees that separate most pairs."""
     from gumshoe.llm import vector_links
 
-    for name, value in (("TREES", 1), ("LEAF", 4), ("LEAF_MOST", 8), ("ROUNDS", rounds)):
+    for name, value in (("TREES", 1), ("LEAF", 4), ("LEAF_MOST", 8)):
         monkeypatch.setattr(vector_links, name, value)
     rng = np.random.default_rng(9)
     x = rng.standard_normal((700, 24))
@@ -151,6 +150,39 @@ def test_vector_links_of_small_groups(spark, monkeypatch, rounds):
     assert recall >= 0.999 and len(wrong) <= 0.002 * 700
 
 
+def test_vector_lists_name_a_neighbour_once(spark):
+    """One pair met with cosines that differ in the last bit is one entry, and descents end."""
+    from gumshoe.llm.vector_links import NEIGHBOURS, _change, _merged
+
+    near = -0.1728530782880411
+    schema = "id long, near array<struct<far:double,id:long>>, anchor long"
+    lists = [(1, [(near, 105), (near, 106)], None), (1, [(np.nextafter(near, 0), 105)], 7), (2, [], 1), (3, [(-0.9 + i / 100, 10 + i) for i in range(15)], None), (3, [(float(np.nextafter(-0.9, 0)), 10)], 2)]
+    lists = [(i, [(float(f), k) for f, k in x], a) for i, x, a in lists]
+    once = _merged(spark.createDataFrame(lists, schema))
+    got = {r.id: ([(e.far, e.id) for e in r.near], r.anchor) for r in once.collect()}
+    assert got[1] == ([(near, 105), (near, 106)], 7) and got[2] == ([], 1)
+    assert [k for _, k in got[3][0]] == list(range(10, 10 + NEIGHBOURS)) and got[3][1] == 2
+    doubled = spark.createDataFrame([(1, [(near, 105), (float(np.nextafter(near, 0)), 105)], None)], schema)
+    assert _change(doubled, doubled)[0] == 0.0
+
+
+def test_cosines_do_not_depend_on_the_rows_beside():
+    from gumshoe.llm.vector_links import _cosines, _linked
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    a, b = rng.integers(0, 400, (2, 3000))
+    whole = _cosines(x, x, a, b)
+    for size in (2, 3, 7, 50):
+        some = rng.choice(400, size, replace=False)
+        i, j = (c.ravel() for c in np.meshgrid(np.arange(size), np.arange(size)))
+        assert (_cosines(x[some], x[some], i, j) == _cosines(x, x, some[i], some[j])).all()
+    assert (whole == _cosines(x, x, b, a)).all()
+    exact = whole[5]
+    assert _linked(x, x, exact)[a[5], b[5]] and _linked(x[[a[5]]], x[[b[5]]], exact).all() and not _linked(x[[a[5]]], x[[b[5]]], np.nextafter(exact, 1)).any()
+
+
 def test_recall_is_not_the_large_groups(spark):
     from gumshoe.llm.vector_links import _recall
 
