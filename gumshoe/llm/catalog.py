@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gumshoe.llm import html_text, language, toxicity
@@ -14,6 +15,7 @@ from gumshoe.llm.common import table
 from gumshoe.llm.minhash import link_documents
 from gumshoe.llm.nearest import search_nearest
 from gumshoe.llm.packing import Limits, pack_documents
+from gumshoe.llm.runs import Words, periodic_runs, split_words
 from gumshoe.llm.sharding import shard_documents
 from gumshoe.llm.token_counts import count_tokens
 from gumshoe.llm.vector_links import link_vectors
@@ -90,5 +92,37 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def with_periods(doc_id: int | None, text: bytes) -> Words:
+    """Words of a text; from some place on those of one document in ten, chosen by its id, repeat."""
+    words = split_words(doc_id, text)
+    if doc_id is None or not words:
+        return words
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return words
+    n = len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def _longer(x: Column, y: Column) -> Column:
+    """Order of runs: most periods first, exactly, then by start and period."""
+    sides = y["length"] * x["period"] - x["length"] * y["period"], x["start"] - y["start"], x["period"] - y["period"]
+    return F.signum(F.when(sides[0] != 0, sides[0]).when(sides[1] != 0, sides[1]).otherwise(sides[2])).cast("int")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), with_periods)
+    best = F.try_element_at(F.array_sort("runs", _longer), F.lit(1))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 def load():
     return QUERIES, ORACLE
