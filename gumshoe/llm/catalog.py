@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gumshoe.llm import html_text, language, toxicity
 from gumshoe.llm.bpe import decode_documents, encode_documents
 from gumshoe.llm.common import table
+from gumshoe.llm.lexical import rank_documents
 from gumshoe.llm.minhash import link_documents
 from gumshoe.llm.nearest import search_nearest
 from gumshoe.llm.packing import Limits, pack_documents
@@ -92,6 +93,28 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+@query
+def op12_rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term"""
+ORACLE["op12_rank_documents"] = f"""
+    with words as (select doc_id, {_TERMS} from documents),
+    lengths as (select doc_id, count(*) as n from words group by 1),
+    totals as (select count(*) as docs, sum(n)::bigint as total from lengths),
+    postings as (select doc_id, term, count(*) as tf from words group by 1, 2),
+    wanted as (select distinct item_id, {_TERMS} from benchmark),
+    weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from postings, totals
+        where term in (select term from wanted) group by 1),
+    parts as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) as part
+        from postings join weights using (term) join lengths using (doc_id), totals),
+    scores as (select item_id, doc_id, sum(part)::bigint as score from wanted join parts using (term) group by 1, 2),
+    ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0)
+    select * from ranked where rank <= 50"""
+
+
 def with_periods(doc_id: int | None, text: bytes) -> Words:
     """Words of a text; from some place on those of one document in ten, chosen by its id, repeat."""
     words = split_words(doc_id, text)
