@@ -20,6 +20,7 @@ from gumshoe.llm.runs import Words, periodic_runs, split_words
 from gumshoe.llm.sharding import shard_documents
 from gumshoe.llm.token_counts import count_tokens
 from gumshoe.llm.vector_links import link_vectors
+from gumshoe.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,6 +94,19 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+@query
+def op11_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op11_archive_pages"] = """
+    with payloads as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+    groups as (select payload_digest, payload_bytes, max(page_id) as last from payloads where payload_bytes >= 1000 group by 1, 2)
+    select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when page_id < last then 'revisit' else 'response' end as record_type,
+        case when page_id < last then last end as refers_to
+    from payloads left join groups using (payload_digest, payload_bytes)"""
+
+
 @query
 def op12_rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
