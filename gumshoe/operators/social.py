@@ -125,7 +125,8 @@ def toxicity_means(posts: DataFrame, scores: DataFrame) -> DataFrame:
     """(did, label, average): summed score per label over all scored posts of the account."""
     rows = posts.select("did", "cid").join(scores, "cid")
     scored = rows.select("did", "cid").distinct().groupBy("did").agg(F.count(F.lit(1)).alias("_n"))
-    sums = rows.groupBy("did", "label").agg(F.sum("score").alias("_s"))
+    # As decimals, as in `account_ai`.
+    sums = rows.groupBy("did", "label").agg(F.sum(F.col("score").cast("decimal(20,9)")).alias("_s"))
     return sums.join(scored, "did").select("did", "label", (F.col("_s") / F.col("_n")).alias("average"))
 
 
