@@ -10,15 +10,15 @@ from gumshoe.catalog.views import with_views
 from gumshoe.functions import dates, hashes, language, lists, permute, points, story, text, urls
 from gumshoe.operators import filters, ranking
 from gumshoe.sources import html
-from gumshoe.sources.tables import posts, quest_from_tables, table
+from gumshoe.sources.tables import posts, quest_from_tables, table, texts as rows_of_texts
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents")
+    return rows_of_texts(spark, sf, "documents", "doc_id")
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages")
+    return rows_of_texts(spark, sf, "pages", "page_id")
 
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions.permute import word_permutations
 from gumshoe.functions.text import capitalised_names, clean_text, sanitize_label, tokens
+from gumshoe.operators import patterns
 from gumshoe.operators.attributes import inherit_org_cats
 from gumshoe.quest import Quest
 
@@ -51,30 +52,31 @@ def match_phrases(
     """(source, key, n): `n` phrase variants of the entity occur between blanks in the text.
 
     Places whose word begins a phrase are found in one equi join, the runs of words from there meet
-    the phrases in a second, so the cost is that of the text, whatever the size of the dictionary. A
-    phrase of more than MAX_WORDS words meets on its first ones; the rest is compared then. A run
-    touching either end of the text has no blank on that side and does not count.
+    the phrases in a second, so the cost is that of the text, whatever the size of the dictionary. Phrases
+    of more than MAX_WORDS words are looked for by the automata of `patterns`. A run touching
+    either end of the text has no blank on that side and does not count.
     `occurrences=True` adds how often they occur.
     """
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
     inner = words.select(key, F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))).alias("_w"))
     known = dictionary.select("phrase", "key", F.split("phrase", " ", -1).alias("_p"))
-    firsts = known.select(F.get("_p", F.lit(0)).alias("_first")).distinct()
+    short, long = (known.where(F.size("_p") <= MAX_WORDS), known.where(F.size("_p") > MAX_WORDS))
+    firsts = short.select(F.get("_p", F.lit(0)).alias("_first")).distinct()
     # Each place takes its own few words along, never the text.
-    places = F.transform("_w", lambda w, i: F.struct(i.alias("at"), w.alias("first"), F.slice("_w", i + 1, MAX_WORDS).alias("r")))
-    placed = unnest(inner, places, "_e", key).select(key, F.col("_e.at").alias("_at"), F.col("_e.first").alias("_first"), F.col("_e.r").alias("_r"))
+    places = F.transform("_w", lambda w, i: F.struct(w.alias("first"), F.slice("_w", i + 1, MAX_WORDS).alias("r")))
+    placed = unnest(inner, places, "_e", key).select(key, F.col("_e.first").alias("_first"), F.col("_e.r").alias("_r"))
     placed = placed.join(firsts, "_first", "left_semi")
     runs = F.transform(F.sequence(F.lit(1), F.size("_r")), lambda n: F.array_join(F.slice("_r", 1, n), " "))
-    found = placed.select(key, "_at", F.explode(runs).alias("phrase"))
-    heads = known.select("key", F.col("phrase").alias("_whole"), F.size("_p").alias("_n"), F.array_join(F.slice("_p", 1, MAX_WORDS), " ").alias("phrase"))
-    short = found.join(heads.where(F.col("_n") <= MAX_WORDS), "phrase").select(key, "key", "phrase")
-    begun = found.join(heads.where(F.col("_n") > MAX_WORDS), "phrase").select(key, "key", "_whole", "_at", "_n")
-    whole = F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ")
-    long = begun.join(inner, key).where(whole == F.col("_whole")).select(key, "key", F.col("_whole").alias("phrase"))
-    hits = short.unionByName(long)
-    per_phrase = hits.groupBy(key, "key", "phrase").agg(F.count(F.lit(1)).alias("_times"))
+    found = placed.select(key, F.explode(runs).alias("phrase"))
+    # Counted before the phrases bring their keys.
+    counted = found.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("times")).join(short.select("phrase", "key"), "phrase")
+    blank = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    spaced = inner.select(key, blank(F.array_join("_w", " ")).alias("_w"))
+    more = patterns.occurrences(spaced, long.select(blank(F.col("phrase")).alias("phrase"), "key"), key, "_w")
+    columns = [key, "key", "phrase", "times"]
+    hits = counted.select(columns).unionByName(more.select(columns))
     n = F.count(F.lit(1)).alias("n")
-    return per_phrase.groupBy(key, "key").agg(*([n, F.sum("_times").alias("occurrences")] if occurrences else [n]))
+    return hits.groupBy(key, "key").agg(*([n, F.sum("times").alias("occurrences")] if occurrences else [n]))
 
 
 def match_idents(docs: DataFrame, idents: DataFrame, *taken: DataFrame, **options) -> DataFrame:
@@ -86,24 +88,14 @@ def match_idents(docs: DataFrame, idents: DataFrame, *taken: DataFrame, **option
 def match_substrings(docs: DataFrame, dictionary: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
     """(source, key, n): phrases occurring anywhere in the cleaned text, no word bounds.
 
-    For a dictionary of any size: the first three characters of a phrase must occur in the text,
-    which makes an equi join; the candidates are then checked in full. Empty phrases match nothing.
+    All phrases are looked for in one pass over the texts (`patterns.occurrences`); only what is found is
+    shuffled. Empty phrases match nothing.
     """
     cleaned = docs.select(key, clean_text(F.col(text)).alias("_clean"))
-    spelled = cleaned.select(key, F.split("_clean", "", -1).alias("_chars"))
-    wanted = dictionary.where(F.col("phrase") != "").withColumn("_gram", F.substring("phrase", 1, 3))
-    grams = F.flatten(F.array(*[_grams(F.col("_chars"), n) for n in (1, 2, 3)]))
-    keyed = unnest(spelled, F.array_distinct(grams), "_gram", key)
-    candidates = keyed.join(wanted, "_gram").select(key, "phrase", "key")
-    hits = candidates.join(cleaned, key).where(F.contains("_clean", F.col("phrase")))
+    hits = patterns.occurrences(cleaned, dictionary, key, "_clean")
     return hits.groupBy(key, "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _grams(chars: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
-
-
 def flt_bad_names(
     people: DataFrame,
     bad: DataFrame | None = None,

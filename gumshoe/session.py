@@ -51,6 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or of all files below a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read to the shared folder and go on from there.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col, lit
 
 from gumshoe.quest import Quest, conform
+from gumshoe.session import file_bytes
 
 
 # The columns of the provided tables. Stated, so that no read infers a schema.
@@ -38,6 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes may be a single row group, which one task reads; its rows go to tasks of about so many.
+ROW_GROUP, SHARE = 128 << 20, 1 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose texts are worked on: dealt out by the hash of its key if its files are too small to be
+    read by more than one task. Larger ones are split by their row groups, and nothing is moved."""
+    rows = table(spark, sf_dir, name)
+    size = file_bytes(spark, f"{sf_dir}/{name}.parquet")
+    return rows.repartition(-(-size // SHARE), key) if SHARE < size < ROW_GROUP else rows
+
+
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> Column:
     return table(spark, sf_dir, name).agg(F.count(F.lit(1))).scalar()
 
@@ -205,7 +218,7 @@ def quest_from_tables(spark: SparkSession, sf_dir: str) -> Quest:
 
 def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source texts: (source, text, lang, peer)."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         _key("source.d", F.col("doc_id")).alias("source"),
         "text",
         "lang",
@@ -217,7 +230,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Social posts: one per event, with a benchmark passage, a tag and a mention as text."""
     users = table(spark, sf_dir, "events").agg(F.max("user_id") + 1).scalar()
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    events = table(spark, sf_dir, "events")
+    events = texts(spark, sf_dir, "events", "event_id")
     parent = F.get_json_object("props", "$.k").cast("bigint")
     return (
         events.withColumn("item_id", F.col("event_id") % row_count(spark, sf_dir, "benchmark"))
