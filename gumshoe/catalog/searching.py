@@ -11,11 +11,12 @@ from pyspark.sql.functions import col, lit
 
 from gumshoe.catalog.registry import query
 from gumshoe.catalog.views import VIEWS, with_views
+from gumshoe.functions import stemming
 from gumshoe.functions.lists import joined
 from gumshoe.functions.text import tokens
 from gumshoe.operators import fusion, index, search
 from gumshoe.session import shared_dir
-from gumshoe.sources.tables import quest_from_tables, table, text_docs
+from gumshoe.sources.tables import quest_from_tables, table, text_docs, texts
 
 QUERY = "Que les éque la"
 _Q = search.query_words(QUERY)
@@ -25,7 +26,7 @@ _QIN = "(" + ", ".join(f"'{w}'" for w in _Q) + ")"
 def corpus(spark, sf):
     """Every document as a search document: title and alternative labels are its first words."""
     key = col("doc_id")
-    docs = table(spark, sf, "documents").withColumn("w", tokens(col("text")))
+    docs = texts(spark, sf, "documents", "doc_id").withColumn("w", tokens(col("text")))
 
     def words(first, last):
         return F.array_join(F.slice("w", first, last - first + 1), " ")
@@ -41,6 +42,7 @@ def corpus(spark, sf):
         F.concat_ws("|", words(5, 6), words(7, 7)).alias("altlabels"),
         F.concat(lit("http://peer.example.com/"), key.cast("string")).alias("url"),
         col("source").alias("peer"),
+        "lang",
         col("text").alias("data"),
     )
 
@@ -165,20 +167,38 @@ def search_scan(spark, sf):
     return search.search_bm25(corpus(spark, sf), QUERY).select("doc", F.round("score", 6).alias("score"))
 
 
-_STEM = f"regexp_replace({{0}}, '^(.{{{{3,}}}}?)(?:{'|'.join(index.ENDINGS)})$', '\\1')"
-STEMMED = "tionings andly"
+STEMMED = "ertions thtional"
+
+
+def _same_stem(words: str, asked: str = "en") -> str:
+    """SQL condition for terms with a stem of one of the words: each stem with every ending, or two, that the
+    rules of a document's language may have cut from it."""
+    cut = {
+        "en": ["s", "ed", "ing", "ingly", "edly", "e", "y", *stemming.EN_STEP_2, *stemming.EN_STEP_3, *stemming.EN_STEP_4],
+        "fr": ["s", "e", "x", *stemming.FR_NOUNS, *stemming.FR_OTHERS, *stemming.FR_I_VERBS, *stemming.FR_E_VERBS, *stemming.FR_A_VERBS],
+        "de": "em ern er e en es s est st end ung ig ik isch lich heit keit".split(),
+        "es": ["os", "a", "o", "i", "e", *stemming.ES_VERBS, *stemming.ES_SHORT_VERBS, *stemming.ES_NOUNS, *stemming.ES_ACTIONS, *stemming.ES_OTHERS],
+    }
+    parts = []
+    for lang, endings in cut.items():
+        # An i that a step looks for may have been a y before.
+        endings = sorted({x for e in endings for x in (e.lower(), e[:-1] + "y" if e.endswith("i") else "")} | {""})
+        wanted = {stemming.stem_word(w, asked) for w in words.split()}
+        met = sorted({w for s in wanted for a in endings for b in endings if stemming.stem_word(w := s + a + b, lang) == s})
+        parts.append(f"(lang = '{lang}' and term in ({', '.join(repr(w) for w in met)}))")
+    return " or ".join(parts)
 
 
 @query(
     "search_stemmed",
     with_views(
-        f"""select doc, sum(tf)::bigint as tf, any_value(doc_len)::bigint as doc_len from terms
-        where {_STEM.format('term')} in ({', '.join(_STEM.format(f"'{w}'") for w in STEMMED.split())}) group by 1""",
+        f"""select t.doc, sum(tf)::bigint as tf, any_value(doc_len)::bigint as doc_len from terms t
+        join documents d on t.doc = 'source.d' || d.doc_id where {_same_stem(STEMMED)} group by 1""",
         "terms",
     ),
 )
 def search_stemmed(spark, sf):
-    """Documents that hold a word with the stem of a query word."""
+    """Documents that hold a word whose stem, in the language of the document, is that of a query word."""
     return stored_index(spark, sf).hits(STEMMED.split(), stemmed=True).groupBy("doc").agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 

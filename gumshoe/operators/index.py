@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions.lists import joined
+from gumshoe.functions.stemming import stem_word, with_stems
 from gumshoe.functions.text import fold_accents, sanitize_description, sanitize_label, tokens
 from gumshoe.operators.attributes import effective_cats, effective_country, source_url
 from gumshoe.quest import Quest
@@ -116,15 +117,6 @@ def search_tokens(text: Column) -> Column:
     return tokens(fold_accents(text))
 
 
-# Endings cut by the light stemmer, longest first.
-ENDINGS = "ements ations ement ation ities ness ings ing ies ity ers ed es er ly s".split()
-
-
-def stem(term: Column) -> Column:
-    """Cut one common ending when at least three letters remain."""
-    return F.regexp_replace(term, f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
-
-
 def term_counts(field_rows: DataFrame) -> DataFrame:
     """(doc, term, tf): counted per document in each task before the shuffle."""
     split = field_rows.select("doc", "weight", search_tokens(F.col("text")).alias("_t"))
@@ -161,12 +153,12 @@ class SearchIndex:
     def docs(self) -> DataFrame:
         return self.table("docs")
 
-    def hits(self, words: list[str], stemmed: bool = False) -> DataFrame:
-        """Postings (doc, term, tf, doc_len, ...) of the words only, pruned by their range."""
+    def hits(self, words: list[str], stemmed: bool = False, language: str = "en") -> DataFrame:
+        """Postings (doc, term, tf, doc_len, ...) of the words only, pruned by their range. `stemmed` meets the
+        stems of all documents, each taken in its own language, with those of the words in `language`."""
         if not stemmed:
             return self.table("postings").where(F.col("term").isin(*words))
-        stems = [F.array(*[stem(F.lit(w)) for w in words])]
-        wanted = [r for r in self.spark.range(1).select(*stems).first()[0]]
+        wanted = [stem_word(w, language) for w in words]
         return self.table("stems").where(F.col("stem").isin(*wanted)).withColumnRenamed("stem", "term")
 
     def hits_of(self, terms: DataFrame) -> DataFrame:
@@ -185,8 +177,9 @@ class SearchIndex:
         return self.table("vocabulary")
 
 
-def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | None = None) -> SearchIndex:
-    """Store the index of (doc, ...) under a new folder. Every text is split once."""
+def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | None = None, language: str = "en") -> SearchIndex:
+    """Store the index of (doc, ...) under a new folder. Every text is split once. Stems are found for each distinct
+    term and language and joined; a document without a `lang` of its own is in `language`."""
     spark, group = docs.sparkSession, [by] if by else []
     index = SearchIndex(spark, path)
 
@@ -197,7 +190,8 @@ def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | No
     stored = keep(docs, "docs")
     counts = keep(term_counts(fields(stored, weighted)), "counts")
     lengths = counts.groupBy("doc").agg(F.sum("tf").alias("doc_len"))
-    lengths = keep(lengths.join(stored.select("doc", *group), "doc"), "lengths")
+    spoken = F.coalesce("lang", F.lit(language)) if "lang" in stored.columns else F.lit(language)
+    lengths = keep(lengths.join(stored.select("doc", *group, spoken.alias("lang")), "doc"), "lengths")
     measures = F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")
     keep(lengths.agg(*measures), "stats")
     if by:
@@ -208,17 +202,19 @@ def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | No
     def in_ranges(table: DataFrame, *order: str) -> DataFrame:
         return table.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
-    keep(in_ranges(rows, "term", "doc"), "postings")
-    stems = rows.groupBy("doc", "doc_len", *group, stem(F.col("term")).alias("stem")).agg(F.sum("tf").alias("tf"))
+    # Sorted by term, the postings are what the other tables are made of.
+    postings = keep(in_ranges(rows, "term", "doc"), "postings")
+    terms = keep(vocabulary(postings), "terms")
+    keep(in_ranges(terms.groupBy("term").agg(F.sum("df").alias("df")), "term"), "vocabulary")
+    stems = postings.join(with_stems(terms), ["term", "lang"])
+    stems = stems.groupBy("doc", "doc_len", *group, "stem").agg(F.sum("tf").alias("tf"))
     keep(in_ranges(stems, "stem", "doc"), "stems")
-    keep(in_ranges(vocabulary(counts), "term"), "vocabulary")
     return index
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
-    """(term, stem, df) over the distinct terms."""
-    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return freq.select("term", stem(F.col("term")).alias("stem"), "df")
+    """(term, lang, df) over the distinct terms of each language."""
+    return postings.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("df"))
 
 
 def facet_terms(docs: DataFrame, facet: str = "cats") -> DataFrame:

@@ -95,15 +95,16 @@ def search_index(
     countries: Sequence[str] = (),
     synonyms: bool = False,
     stemmed: bool = False,
+    language: str = "en",
 ) -> DataFrame:
     """`search_bm25` on a stored index: the postings of the query's words and the stored values of the
     documents they hit are read, never a text. `synonyms` adds the words of every variant of an
-    entity that the query names; `stemmed` meets words that differ by their ending."""
+    entity that the query names; `stemmed` meets words that differ by their ending in `language`."""
     words = query_words(query)
     if synonyms:
         hits = index.hits_of(expand_synonyms(synonym_pairs(index.docs()), words))
     else:
-        hits = index.hits(words, stemmed)
+        hits = index.hits(words, stemmed, language)
     scored = scored_hits(hits.select("doc", "term", "tf", "doc_len"), index.stats(), len(words), op)
     found = search_facets(index.docs().drop("data").join(scored, "doc"), cats, types, countries)
     return found.withColumn("percent", 100 * F.col("score") / found.agg(F.max("score")).scalar())

@@ -35,6 +35,17 @@ def test_a_plural_finds_the_singular(stored):
     assert found(search.search_index(stored, "rivers", stemmed=True)) == ["d3"]
 
 
+def test_stems_in_the_language_of_the_document(spark, tmp_path):
+    rows = [("a", "en", "horses running"), ("b", "fr", "les chevaux courants"), ("c", "fr", "un cheval nationale"), ("d", None, "horse ran"), ("e", "de", "verschwendungen")]
+    docs = spark.createDataFrame([(d, "", "", None, t, x) for d, x, t in rows], "doc string, title string, description string, altlabels string, data string, lang string")
+    docs = docs.withColumns({"url": F.lit("http://x"), "cats": F.array(F.lit("a")), "type": F.lit("t"), "country": F.lit("c"), "begin": F.lit(None).cast("date")})
+    one = index.write_index(docs, str(tmp_path / "stems"))
+    names = lambda word, language: found(search.search_index(one, word, stemmed=True, language=language))
+    assert names("horse", "en") == ["a", "d"] and names("runs", "en") == ["a"]
+    assert names("cheval", "fr") == ["b", "c"] and names("nationales", "fr") == ["c"]
+    assert names("verschwendung", "de") == ["e"] and names("cheval", "xx") == ["b", "c"]
+
+
 def test_synonyms_join(stored):
     assert found(search.search_index(stored, "moscow")) == ["d3"]
     assert found(search.search_index(stored, "composer", synonyms=True)) == ["d1", "d3"]
