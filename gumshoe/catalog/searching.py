@@ -258,7 +258,7 @@ def search_with_synonyms(spark, sf):
     ),
 )
 def search_spelling(spark, sf):
-    return search.search_spelling(stored_index(spark, sf).vocabulary(), "ingorr qeu zzzzzzzzzz")
+    return search.search_spelling(stored_index(spark, sf).spelling(), "ingorr qeu zzzzzzzzzz")
 
 
 @query("search_fuzzy")

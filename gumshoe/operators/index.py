@@ -137,9 +137,9 @@ POSTINGS_PER_FILE = 4_000_000
 
 
 class SearchIndex:
-    """A stored index: documents, postings by term and by stem, vocabulary, lengths, statistics.
+    """A stored index: documents, postings by term and by stem, vocabulary, spellings, lengths, statistics.
 
-    Postings and vocabulary lie sorted in files by ranges of (term, document), so a query reads the row
+    Postings, spellings and vocabulary lie sorted in files by ranges of (term, document), so a query reads the row
     groups of its terms and a term that most documents hold spans as many files as it needs.
     `by` names a column (a peer) that has statistics of its own.
     """
@@ -176,6 +176,10 @@ class SearchIndex:
     def vocabulary(self) -> DataFrame:
         return self.table("vocabulary")
 
+    def spelling(self) -> DataFrame:
+        """(variant, term, df): see `spelling_variants`."""
+        return self.table("spelling")
+
 
 def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | None = None, language: str = "en") -> SearchIndex:
     """Store the index of (doc, ...) under a new folder. Every text is split once. Stems are found for each distinct
@@ -205,7 +209,8 @@ def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | No
     # Sorted by term, the postings are what the other tables are made of.
     postings = keep(in_ranges(rows, "term", "doc"), "postings")
     terms = keep(vocabulary(postings), "terms")
-    keep(in_ranges(terms.groupBy("term").agg(F.sum("df").alias("df")), "term"), "vocabulary")
+    words = keep(in_ranges(terms.groupBy("term").agg(F.sum("df").alias("df")), "term"), "vocabulary")
+    keep(in_ranges(spelling_variants(words), "variant", "term"), "spelling")
     stems = postings.join(with_stems(terms), ["term", "lang"])
     stems = stems.groupBy("doc", "doc_len", *group, "stem").agg(F.sum("tf").alias("tf"))
     keep(in_ranges(stems, "stem", "doc"), "stems")
@@ -217,6 +222,32 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Letters cut from a word to find its neighbours, and letters at its beginning that are cut from.
+CUTS, HEAD = 2, 7
+
+
+def cut_variants(word: Column) -> Column:
+    """The first HEAD letters of a word and all that is left of them when up to CUTS letters are cut: at most 29.
+
+    Two words within distance CUTS have a variant in common: each edit costs either word at most one
+    letter of its beginning, be it changed, missing or moved out of it."""
+    head = F.substring(word, 1, HEAD)
+    size = F.length(head)
+    variants = [head]
+    for i in range(HEAD):
+        one = F.concat(F.substring(head, 1, i), F.substring(head, i + 2, HEAD))
+        variants.append(F.when(size > i, one))
+        for j in range(i + 1, HEAD):
+            two = F.concat(F.substring(head, 1, i), F.substring(head, i + 2, j - i - 1), F.substring(head, j + 2, HEAD))
+            variants.append(F.when(size > j, two))
+    return F.array_distinct(F.array_compact(F.array(*variants)))
+
+
+def spelling_variants(vocabulary: DataFrame) -> DataFrame:
+    """(variant, term, df): every term of (term, df) under each of its variants."""
+    return unnest(vocabulary, cut_variants(F.col("term")), "variant", "term", "df").select("variant", "term", "df")
+
+
 def facet_terms(docs: DataFrame, facet: str = "cats") -> DataFrame:
     """Distinct lower-case filter values, sorted."""
     value = F.explode("cats") if facet == "cats" else F.col(facet)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gumshoe.functions.arrays import unnest
@@ -13,7 +14,7 @@ from gumshoe.functions import similarity
 from gumshoe.functions.text import context, fold_accents, fold_text, sanitize_label
 from gumshoe.operators.attributes import source_url
 from gumshoe.operators.filters import get_events, get_idents, get_orgs
-from gumshoe.operators.index import SearchIndex, fields, search_tokens, term_counts
+from gumshoe.operators.index import CUTS, SearchIndex, cut_variants, fields, search_tokens, term_counts
 from gumshoe.operators.ranking import join_same, sort_dated
 from gumshoe.plans.report import get_sources
 from gumshoe.quest import Quest
@@ -173,12 +174,25 @@ def search_synonyms(docs: DataFrame, name: str) -> DataFrame:
     return synonym_pairs(docs).where(F.col("variant") == " ".join(query_words(name))).select("doc", "other")
 
 
-def search_spelling(vocabulary: DataFrame, query: str, distance: int = 2) -> DataFrame:
-    """(word, correction): per query word the nearest vocabulary term within `distance`, ties by
-    document frequency then alphabet; the word itself when it is known."""
-    words = F.array(*[F.lit(w) for w in query_words(query)])
-    near = vocabulary.select("term", "df", F.explode(words).alias("word"))
-    near = near.where(F.abs(F.length("term") - F.length("word")) <= distance)
+#: Values of one condition that Parquet readers test one by one; more would become a range.
+PUSHED = 8
+
+
+def search_spelling(spelling: DataFrame, query: str, distance: int = CUTS) -> DataFrame:
+    """(word, correction): per query word the nearest term within `distance`, ties by document frequency then
+    alphabet; the word itself when it is known.
+
+    `spelling` holds the terms under their variants (`spelling_variants`), sorted in an index: only the row
+    groups of the words' own variants are read, and only the terms there are compared in full."""
+    if not 0 <= distance <= CUTS:
+        raise ValueError(f"distance is at most {CUTS}")
+    words = query_words(query)
+    asked = spelling.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    asked = unnest(asked, cut_variants(F.col("word")), "variant", "word")
+    variants = sorted({r["variant"] for r in asked.collect()})  # at most 29 for each word of the query
+    held = [F.col("variant").isin(*variants[at : at + PUSHED]) for at in range(0, len(variants), PUSHED)]
+    near = spelling.where(reduce(Column.__or__, held, F.lit(False))).join(F.broadcast(asked), "variant")
+    near = near.where(F.abs(F.length("term") - F.length("word")) <= distance).select("word", "term", "df").distinct()
     near = near.withColumn("_d", F.levenshtein("word", "term", distance)).where("_d >= 0")
     best = F.min(F.struct("_d", -F.col("df"), "term")).alias("_b")
     return near.groupBy("word").agg(best).select("word", F.col("_b.term").alias("correction"))
