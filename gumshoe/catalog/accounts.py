@@ -141,14 +141,16 @@ def account_toxicity_flags(spark, sf):
 @query(
     "account_toxicity_means",
     with_views(
-        """select did, label, round(sum(score) / any_value(n), 6) as average from posts join tox using (cid)
-        join (select did, count(distinct cid) as n from posts join tox using (cid) group by 1) using (did) group by 1, 2""",
+        """, scored as (select did, cid, label, (score::decimal(20, 9) * 1000000000)::hugeint as score from posts join tox using (cid)),
+        per as (select did, count(distinct cid) as n from scored group by 1)
+        select did, label, ((sum(score) + any_value(n) * 500) // (any_value(n) * 1000))::double / 1000000 as average
+        from scored join per using (did) group by 1, 2""",
         "posts", "tox",
     ),
 )
 def account_toxicity_means(spark, sf):
     out = social.toxicity_means(posts(spark, sf), toxicity(spark, sf))
-    return out.withColumn("average", F.round("average", 6))
+    return out.withColumn("average", F.round("average", 6).cast("double"))
 
 
 @query(
