@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col, lit
 
@@ -103,9 +104,20 @@ def ident_mentions(spark, sf):
     return m.match_idents(text_docs(spark, sf), idents, *taken)
 
 
+_MENTIONS: dict[tuple[str, str], DataFrame] = {}
+
+
 def mention_rows(spark, sf):
-    """The stored result of an analysis run: written once, then read by every later question."""
-    return pin(m.mention_table(idents=ident_mentions(spark, sf)))
+    """The stored result of an analysis run: written once for a session, then read by every later question."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MENTIONS:
+        _MENTIONS[key] = pin(m.mention_table(idents=ident_mentions(spark, sf)))
+    return _MENTIONS[key]
+
+
+@query("mention_table", with_views("select source, 'idents' as kind, key, n from m_idents", "m_idents"))
+def mention_table(spark, sf):
+    return mention_rows(spark, sf)
 
 
 @query("phrase_dict", with_views("select phrase, key from dict_idents", "dict_idents"))

@@ -14,7 +14,7 @@ from gumshoe.catalog.views import VIEWS, with_views
 from gumshoe.functions import stemming
 from gumshoe.functions.lists import joined
 from gumshoe.functions.text import tokens
-from gumshoe.operators import fusion, index, search
+from gumshoe.operators import fusion, incremental, index, search
 from gumshoe.session import shared_dir
 from gumshoe.sources.tables import quest_from_tables, table, text_docs, texts
 
@@ -145,6 +145,12 @@ def _scores(found):
     return found.select("doc", F.round("score", 6).alias("score"), F.round("percent", 6).alias("percent"))
 
 
+@query("write_index", with_views("select term, count(*) as df from terms group by 1", "terms"))
+def write_index(spark, sf):
+    """The whole index is written, once for a session; its vocabulary is shown."""
+    return stored_index(spark, sf).vocabulary().select("term", "df")
+
+
 @query("search_bm25", with_views(_FOUND.format("scored"), "corpus", "scored"))
 def search_bm25(spark, sf):
     return _scores(search.search_index(stored_index(spark, sf), QUERY))
@@ -158,6 +164,35 @@ def search_bm25_and(spark, sf):
     return _scores(search.search_index(stored_index(spark, sf), QUERY, op="and"))
 
 
+def _later(docs):
+    """The documents some time after: a fifth is gone, French texts are longer."""
+    longer = F.when(col("lang") == "fr", F.concat("data", lit(" que la"))).otherwise(col("data"))
+    return docs.where(F.substring("doc", 9, 20).cast("bigint") % 5 != 0).withColumn("data", longer)
+
+
+_LATER = """new_documents as (select doc_id, case when lang = 'fr' then text || ' que la' else text end as text, lang, source, n_chars
+    from documents where doc_id % 5 <> 0)"""
+
+
+@query(
+    "index_updated",
+    f"with {_LATER}, " + with_views("select doc, round(score, 6) as score from scored", "scored").removeprefix("with ").replace("documents", "new_documents"),
+)
+def index_updated(spark, sf):
+    """Scores of an index of two thirds of the documents, brought up to date by difference in three deltas."""
+    docs = corpus(spark, sf)
+    number = F.substring("doc", 9, 20).cast("bigint")
+    stored = index.write_index(docs.where(number % 3 != 0), os.path.join(shared_dir(spark), "index", uuid.uuid4().hex), by="peer")
+    wanted = _later(docs)
+    for part in range(3):
+        # A delta of every third document as it is now, or as it was where it is not yet its turn.
+        turn = F.xxhash64("doc") % 3 <= part
+        state = wanted.where(turn).unionByName(docs.where((number % 3 != 0) & ~turn))
+        prints = [rows.select("doc", F.md5("data").alias("fingerprint")) for rows in (stored.docs(), state)]
+        stored = index.update_index(stored, incremental.incr_index(*prints), state, by="peer")
+    return search.search_index(stored, QUERY).select("doc", F.round("score", 6).alias("score"))
+
+
 @query(
     "search_scan",
     with_views("select doc, round(score, 6) as score from scored", "scored"),

@@ -14,6 +14,7 @@ from gumshoe.functions.stemming import stem_word, with_stems
 from gumshoe.functions.text import fold_accents, sanitize_description, sanitize_label, tokens
 from gumshoe.operators.attributes import effective_cats, effective_country, source_url
 from gumshoe.quest import Quest
+from gumshoe.session import pin
 
 # The weight of each prefixed field copy.
 FIELD_WEIGHTS = {"title": 3, "description": 2, "content": 2, "name": 1, "altlabels": 2, "author": 1}
@@ -132,8 +133,8 @@ def index_terms(field_rows: DataFrame) -> DataFrame:
     return counts.join(lengths, "doc")
 
 
-#: Postings of one file: the number of files follows the collection.
-POSTINGS_PER_FILE = 4_000_000
+#: Postings of one file, and of one of the at most SPREAD files of a small table.
+POSTINGS_PER_FILE, SPREAD_FILE, SPREAD = 4_000_000, 250_000, 64
 
 
 class SearchIndex:
@@ -142,79 +143,146 @@ class SearchIndex:
     Postings, spellings and vocabulary lie sorted in files by ranges of (term, document), so a query reads the row
     groups of its terms and a term that most documents hold spans as many files as it needs.
     `by` names a column (a peer) that has statistics of its own.
+
+    The tables consist of segments: `write_index` writes the first, `update_index` adds one for each delta with the
+    new documents and the names of those that are dead in the segments before. Readers leave dead documents out;
+    counts and sums have rows that take off what the dead ones had. A segment counts once it is listed
+    under `segments`, which is written last; one that was broken off is written again.
     """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.path, name))
+        self.segments = sorted(r["segment"] for r in spark.read.schema("segment int").parquet(os.path.join(path, "segments")).collect())
+
+    def table(self, name: str, first: int = 0) -> DataFrame:
+        """All rows of the listed segments from one on, with the column `segment` where there are several."""
+        folder = os.path.join(self.path, name)
+        if len(self.segments) == 1:
+            return self.spark.read.parquet(os.path.join(folder, f"segment={self.segments[0]}"))
+        rows = self.spark.read.option("basePath", folder).parquet(*[os.path.join(folder, f"segment={n}") for n in self.segments[first:]])
+        return rows.withColumn("segment", F.col("segment").cast("int"))
+
+    def live(self, name: str) -> DataFrame:
+        """Rows of documents that no later segment deleted or replaced."""
+        rows = self.table(name)
+        if len(self.segments) == 1:
+            return rows
+        dead = self.table("dead", 1).groupBy(F.col("doc").alias("_dead")).agg(F.max("segment").alias("_since"))
+        return rows.join(dead, (F.col("doc") == F.col("_dead")) & (F.col("segment") < F.col("_since")), "left_anti").drop("segment")
+
+    def _summed(self, name: str, keys: list[str], *sums: str) -> DataFrame:
+        """Counts over all segments, what the dead had taken off; keys without any left are out."""
+        rows = self.table(name)
+        if len(self.segments) == 1:
+            return rows
+        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).where(F.col(sums[0]) > 0)
 
     def docs(self) -> DataFrame:
-        return self.table("docs")
+        return self.live("docs")
 
     def hits(self, words: list[str], stemmed: bool = False, language: str = "en") -> DataFrame:
         """Postings (doc, term, tf, doc_len, ...) of the words only, pruned by their range. `stemmed` meets the
         stems of all documents, each taken in its own language, with those of the words in `language`."""
         if not stemmed:
-            return self.table("postings").where(F.col("term").isin(*words))
+            return self.live("postings").where(F.col("term").isin(*words))
         wanted = [stem_word(w, language) for w in words]
-        return self.table("stems").where(F.col("stem").isin(*wanted)).withColumnRenamed("stem", "term")
+        return self.live("stems").where(F.col("stem").isin(*wanted)).withColumnRenamed("stem", "term")
 
     def hits_of(self, terms: DataFrame) -> DataFrame:
         """The same for any number of terms (term)."""
-        return self.table("postings").join(terms, "term", "left_semi")
+        return self.live("postings").join(terms, "term", "left_semi")
 
     def stats(self) -> DataFrame:
         """(n, avg): documents and their mean length."""
-        return self.table("stats")
+        return self.table("stats").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg"))
 
     def group_stats(self) -> DataFrame:
         """(by, n, avg) for the index's groups."""
-        return self.table("group_stats")
+        sums = self.table("group_stats")
+        by = next(c for c in sums.columns if c not in ("n", "words", "segment"))
+        return sums.groupBy(by).agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg")).where("n > 0")
 
     def vocabulary(self) -> DataFrame:
-        return self.table("vocabulary")
+        """(term, df)"""
+        return self._summed("vocabulary", ["term"], "df")
 
     def spelling(self) -> DataFrame:
         """(variant, term, df): see `spelling_variants`."""
-        return self.table("spelling")
+        return self._summed("spelling", ["variant", "term"], "df")
 
 
-def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | None = None, language: str = "en") -> SearchIndex:
-    """Store the index of (doc, ...) under a new folder. Every text is split once. Stems are found for each distinct
-    term and language and joined; a document without a `lang` of its own is in `language`."""
+def _write_segment(docs: DataFrame, path: str, number: int, weighted: bool, by: str | None, language: str, dead: DataFrame | None = None) -> None:
+    """Store the tables of documents; `dead` (doc, doc_len, by, lang, term) lists the terms that go."""
     spark, group = docs.sparkSession, [by] if by else []
-    index = SearchIndex(spark, path)
 
     def keep(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(os.path.join(path, name))
-        return spark.read.schema(rows.schema).parquet(os.path.join(path, name))
+        folder = os.path.join(path, name, f"segment={number}")
+        rows.write.mode("overwrite").parquet(folder)
+        return spark.read.schema(rows.schema).parquet(folder)
+
+    def in_ranges(table: DataFrame, *order: str) -> DataFrame:
+        return table.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     stored = keep(docs, "docs")
     counts = keep(term_counts(fields(stored, weighted)), "counts")
     lengths = counts.groupBy("doc").agg(F.sum("tf").alias("doc_len"))
     spoken = F.coalesce("lang", F.lit(language)) if "lang" in stored.columns else F.lit(language)
     lengths = keep(lengths.join(stored.select("doc", *group, spoken.alias("lang")), "doc"), "lengths")
-    measures = F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")
-    keep(lengths.agg(*measures), "stats")
-    if by:
-        keep(lengths.groupBy(by).agg(*measures), "group_stats")
-    rows = counts.join(lengths, "doc")
-    files = max(1, -(-counts.count() // POSTINGS_PER_FILE))
-
-    def in_ranges(table: DataFrame, *order: str) -> DataFrame:
-        return table.repartitionByRange(files, *order).sortWithinPartitions(*order)
-
+    total = counts.count()
+    files = max(-(-total // POSTINGS_PER_FILE), min(SPREAD, -(-total // SPREAD_FILE)), 1)
     # Sorted by term, the postings are what the other tables are made of.
-    postings = keep(in_ranges(rows, "term", "doc"), "postings")
+    postings = keep(in_ranges(counts.join(lengths, "doc"), "term", "doc"), "postings")
     terms = keep(vocabulary(postings), "terms")
-    words = keep(in_ranges(terms.groupBy("term").agg(F.sum("df").alias("df")), "term"), "vocabulary")
-    keep(in_ranges(spelling_variants(words), "variant", "term"), "spelling")
     stems = postings.join(with_stems(terms), ["term", "lang"])
     stems = stems.groupBy("doc", "doc_len", *group, "stem").agg(F.sum("tf").alias("tf"))
     keep(in_ranges(stems, "stem", "doc"), "stems")
-    return index
+
+    measured = lengths.select(*group, F.lit(1).alias("n"), F.col("doc_len").alias("words"))
+    words = terms.select("term", "df")
+    if dead is not None:
+        gone = dead.select("doc", "doc_len", *group).distinct()
+        measured = measured.unionByName(gone.select(*group, F.lit(-1).alias("n"), (-F.col("doc_len")).alias("words")))
+        words = words.unionByName(dead.groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
+    sums = F.sum("n").cast("bigint").alias("n"), F.sum("words").cast("bigint").alias("words")
+    keep(measured.groupBy(*group).agg(*sums) if by else measured.agg(*[F.coalesce(x, F.lit(0)).alias(n) for x, n in zip(sums, ("n", "words"))]), "group_stats" if by else "stats")
+    if by:
+        keep(measured.agg(*[F.coalesce(x, F.lit(0)).alias(n) for x, n in zip(sums, ("n", "words"))]), "stats")
+    words = keep(in_ranges(words.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "term"), "vocabulary")
+    keep(in_ranges(spelling_variants(words), "variant", "term"), "spelling")
+
+
+def _list_segment(spark, path: str, number: int) -> None:
+    listed = spark.createDataFrame([(number,)], "segment int").coalesce(1)
+    listed.write.mode("overwrite").parquet(os.path.join(path, "segments", f"number={number}"))
+
+
+def write_index(docs: DataFrame, path: str, weighted: bool = False, by: str | None = None, language: str = "en") -> SearchIndex:
+    """Store the index of (doc, ...) under a new folder. Every text is split once. Stems are found for each distinct
+    term and language and joined; a document without a `lang` of its own is in `language`."""
+    _write_segment(docs, path, 0, weighted, by, language)
+    _list_segment(docs.sparkSession, path, 0)
+    return SearchIndex(docs.sparkSession, path)
+
+
+def update_index(index: SearchIndex, changes: DataFrame, docs: DataFrame, weighted: bool = False, by: str | None = None, language: str = "en") -> SearchIndex:
+    """Apply the actions (doc, action) of `incr_index`: insert, update, delete; others change nothing.
+
+    One segment is added: the inserted and updated documents of `docs`, the names of those that are dead before it, and
+    what the dead ones take off the counts, from their own rows of the segments before. Documents that no
+    action names are not read again. A document to insert that is there is replaced. Options are those
+    of `write_index`.
+    """
+    spark, number = index.spark, index.segments[-1] + 1
+    acted = pin(changes.where(F.col("action").isin("insert", "update", "delete")).select("doc", "action").distinct())
+    fresh = docs.join(acted.where("action <> 'delete'").select("doc").distinct(), "doc", "left_semi").select(docs.columns)
+    folder = os.path.join(index.path, "dead", f"segment={number}")
+    acted.select("doc").distinct().write.mode("overwrite").parquet(folder)
+    group = [by] if by else []
+    known = index.live("lengths").join(acted.select("doc").distinct(), "doc", "left_semi").select("doc", "doc_len", *group)
+    counted = index.live("counts").select("doc", "term").join(known, "doc")
+    _write_segment(fresh, index.path, number, weighted, by, language, pin(counted))
+    _list_segment(spark, index.path, number)
+    return SearchIndex(spark, index.path)
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:

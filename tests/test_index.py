@@ -71,3 +71,73 @@ def test_peers_in_their_own_words(spark, stored):
     languages = spark.createDataFrame([("p1", "en"), ("p2", "ru")], "peer string, lang string")
     assert found(fusion.peer_search(stored, "weavers", mode="fast")) == ["d2"]
     assert found(fusion.peer_search(stored, "capital", mode="deep", memory=memory, languages=languages)) == ["d3"]
+
+
+def tables(stored):
+    """What an index gives its readers."""
+    lists = {
+        "docs": stored.docs().select("doc", "title", "data"),
+        "stats": stored.stats(),
+        "groups": stored.group_stats(),
+        "vocabulary": stored.vocabulary().select("term", "df"),
+        "spelling": stored.spelling().select("variant", "term", "df"),
+        "postings": stored.hits_of(stored.vocabulary().select("term")).select("doc", "term", "tf", "doc_len", "peer"),
+        "stems": stored.live("stems").select("doc", "doc_len", "peer", "stem", "tf"),
+    }
+    return {name: sorted(map(str, df.collect())) for name, df in lists.items()}
+
+
+def test_updates_equal_a_fresh_index(spark, tmp_path):
+    """Three deltas of inserts, updates and deletes, with documents that come back and empty deltas."""
+    import random
+
+    from gumshoe.operators.incremental import incr_index
+
+    rng = random.Random(8)
+    schema = "doc string, title string, description string, altlabels string, peer string, data string, lang string"
+    words = "river city weaver symphony cities rivers moscow the of and".split()
+
+    def some(i):
+        return (f"d{i}", rng.choice(words), "", None, f"p{i % 3}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))), rng.choice(["en", "fr", None]))
+
+    def frame(rows):
+        docs = spark.createDataFrame(rows, schema)
+        return docs.withColumns({"url": F.lit("http://x"), "cats": F.array(F.lit("a")), "type": F.lit("t"), "country": F.lit("c"), "begin": F.lit(None).cast("date")})
+
+    state = {i: some(i) for i in range(40)}
+    stored = index.write_index(frame(list(state.values())), str(tmp_path / "grown"), by="peer")
+    for step in range(4):
+        if step < 3:
+            for i in rng.sample(range(60), 15):
+                if i in state and rng.random() < 0.4:
+                    del state[i]
+                else:
+                    state[i] = some(i)
+        docs = frame(list(state.values()))
+        prints = [rows.select("doc", F.md5(F.to_json(F.struct("title", "data", "lang"))).alias("fingerprint")) for rows in (stored.docs(), docs)]
+        stored = index.update_index(stored, incr_index(*prints), docs, by="peer")
+        fresh = index.write_index(docs, str(tmp_path / f"fresh{step}"), by="peer")
+        assert tables(stored) == tables(fresh)
+        for query in ("city river", "weaver"):
+            one, two = ({r.doc: (round(r.score, 9), round(r.percent, 9)) for r in search.search_index(x, query).collect()} for x in (stored, fresh))
+            assert one == two
+        spelled = [{r.word: r.correction for r in search.search_spelling(x.spelling(), "rivr moskow zzzzzzz").collect()} for x in (stored, fresh)]
+        assert spelled[0] == spelled[1] and spelled[0]["rivr"] == "river"
+    assert stored.segments == [0, 1, 2, 3, 4]
+
+
+def test_a_broken_update_does_not_count(spark, tmp_path):
+    """Tables of a segment that is not listed are not read, and are written anew by the next update."""
+    rows = [(f"d{i}", "city", "", None, "p", f"word{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc string, title string, description string, altlabels string, peer string, data string")
+    docs = docs.withColumns({"url": F.lit("http://x"), "cats": F.array(F.lit("a")), "type": F.lit("t"), "country": F.lit("c"), "begin": F.lit(None).cast("date")})
+    path = str(tmp_path / "one")
+    stored = index.write_index(docs, path, by="peer")
+    index._write_segment(docs.limit(2), path, 1, False, "peer", "en")
+    stored = index.SearchIndex(spark, path)
+    assert stored.segments == [0] and stored.docs().count() == 6
+    gone = spark.createDataFrame([("d1", "delete"), ("d9", "delete"), ("d2", "keep")], "doc string, action string")
+    stored = index.update_index(stored, gone, docs, by="peer")
+    assert found(stored.docs()) == ["d0", "d2", "d3", "d4", "d5"]
+    assert found(search.search_index(stored, "city")) == ["d0", "d2", "d3", "d4", "d5"]
+    assert found(search.search_index(stored, "word1")) == [] and stored.vocabulary().where("term = 'word1'").count() == 0
