@@ -27,53 +27,59 @@ def _words(first, last):
     return F.array_join(F.slice("w", first, last - first + 1), " ")
 
 
+def _pieces(first, size):
+    """The passage from a word on in pieces of so many words; the last may be shorter."""
+    starts = F.sequence(lit(first), F.greatest(F.size("w"), lit(first)), lit(size))
+    return F.filter(F.transform(starts, lambda at: F.array_join(F.slice("w", at, size), " ")), lambda x: x != "")
+
+
+def _named(spark, sf, kind, label, altlabels=None, description=None):
+    name = F.concat(lit(f"{kind}."), col("item_id").cast("string")).alias("name")
+    more = [c.alias(n) for c, n in ((altlabels, "altlabels"), (description, "description")) if c is not None]
+    return _passages(spark, sf).select(name, label.alias("label"), *more)
+
+
 def ident_entities(spark, sf):
-    return _passages(spark, sf).select(
-        F.concat(lit("ident."), col("item_id").cast("string")).alias("name"),
-        _words(1, 2).alias("label"),
-        F.array(_words(3, 4), _words(5, 7)).alias("altlabels"),
-        _words(8, 10).alias("description"),
-    )
+    return _named(spark, sf, "ident", _words(1, 2), _pieces(3, 3), F.array_join(F.slice("w", 3, F.size("w")), " "))
 
 
 def org_entities(spark, sf):
-    return _passages(spark, sf).select(
-        F.concat(lit("org."), col("item_id").cast("string")).alias("name"), _words(3, 4).alias("label")
-    )
+    return _named(spark, sf, "org", _words(1, 4), _pieces(5, 2))
 
 
 def city_entities(spark, sf):
-    return _passages(spark, sf).select(
-        F.concat(lit("city."), col("item_id").cast("string")).alias("name"), _words(11, 11).alias("label")
-    )
+    """The longest word of each passage."""
+    return _named(spark, sf, "city", F.array_min(F.transform("w", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))["x"])
 
 
 def country_entities(spark, sf):
-    return _passages(spark, sf).select(
-        F.concat(lit("country."), col("item_id").cast("string")).alias("name"), _words(12, 12).alias("label")
-    )
+    """The last word of each passage by the alphabet."""
+    return _named(spark, sf, "country", F.array_max("w"))
 
 
-def _permuted(prefix: str, parts: list[str]) -> str:
-    """SQL rows (name, phrase): all orders of each word list expression."""
+def _permuted(prefix: str, lists: str, written: str | None = None) -> str:
+    """SQL rows (phrase, key): all orders of each word list in `lists`, and texts as they are written."""
     out = []
-    for part, n in parts:
+    for n in range(1, m.MAX_WORDS + 1):
         names = [f"a{i}" for i in range(n)]
         phrase = " || ' ' || ".join(f"t.ws[{x}.i]" for x in names)
         ranges = "".join(f", range(1, {n + 1}) {x}(i)" for x in names)
-        distinct = " and ".join(f"{x}.i <> {y}.i" for i, x in enumerate(names) for y in names[i + 1 :]) or "true"
-        out.append(
-            f"select '{prefix}.' || item_id as name, {phrase} as phrase "
-            f"from (select item_id, {part} as ws from passages_w) t{ranges} where {distinct}"
-        )
-    return f"select phrase, min(name) as key from ({' union all '.join(out)}) where phrase is not null group by 1"
+        distinct = "".join(f" and {x}.i <> {y}.i" for i, x in enumerate(names) for y in names[i + 1 :])
+        out.append(f"select '{prefix}.' || item_id as name, {phrase} as phrase from (select item_id, unnest({lists}) as ws from passages_w) t{ranges} where len(t.ws) = {n}{distinct}")
+    if written:
+        out.append(f"select '{prefix}.' || item_id, {written} from passages_w")
+    return f"select phrase, min(name) as key from ({' union all '.join(out)}) where phrase <> '' group by 1"
+
+
+def _pieces_sql(first: int, size: int) -> str:
+    return f"list_transform(range({first}, len(w) + 1, {size}), lambda s: w[s:s + {size - 1}])"
 
 
 VIEWS["passages_w"] = ((), f"select item_id, {_TOKENS} as w from benchmark")
-VIEWS["dict_idents"] = (("passages_w",), _permuted("ident", [("w[1:2]", 2), ("w[3:4]", 2), ("w[5:7]", 3)]))
-VIEWS["dict_orgs"] = (("passages_w",), _permuted("org", [("w[3:4]", 2)]))
-VIEWS["dict_cities"] = (("passages_w",), _permuted("city", [("w[11:11]", 1)]))
-VIEWS["dict_countries"] = (("passages_w",), _permuted("country", [("w[12:12]", 1)]))
+VIEWS["dict_idents"] = (("passages_w",), _permuted("ident", f"list_concat([w[1:2]], {_pieces_sql(3, 3)})"))
+VIEWS["dict_orgs"] = (("passages_w",), _permuted("org", f"list_concat([w[1:4]], {_pieces_sql(5, 2)})"))
+VIEWS["dict_cities"] = (("passages_w",), _permuted("city", "[[list_min(list_transform(w, lambda x: {'n': -length(x), 'x': x})).x]]"))
+VIEWS["dict_countries"] = (("passages_w",), _permuted("country", "[[list_max(w)]]"))
 VIEWS["doc_tokens"] = ((), f"select 'source.d' || doc_id as source, {_TOKENS} as t from documents")
 VIEWS["doc_grams"] = (
     ("doc_tokens",),
@@ -125,7 +131,7 @@ def phrase_dict(spark, sf):
     return m.phrase_dict(ident_entities(spark, sf))
 
 
-_DESC = _permuted("ident", [("w[1:2]", 2), ("w[8:10]", 3)])
+_DESC = _permuted("ident", "[w[1:2]]", "array_to_string(w[3:], ' ')")
 
 
 @query("phrase_dict_desc", with_views(f"select * from ({_DESC})", "passages_w"))
@@ -203,7 +209,7 @@ VIEWS["topic_counts"] = (("topic",), "select source, word, count(*) as n from to
 
 
 def _bad_words(spark, sf):
-    return _passages(spark, sf).select(F.explode(F.slice("w", 1, 3)).alias("word"))
+    return _passages(spark, sf).select(F.explode(F.filter("w", lambda x: F.length(x) % 2 == 0)).alias("word"))
 
 
 def _listed_words(spark, sf):
@@ -213,7 +219,7 @@ def _listed_words(spark, sf):
 @query(
     "word_counts",
     with_views(
-        """select source, word, n from topic_counts where word not in (select unnest(w[1:3]) from passages_w)
+        """select source, word, n from topic_counts where word not in (select unnest(list_filter(w, lambda x: length(x) % 2 = 0)) from passages_w)
         qualify row_number() over (partition by source order by n desc, word) <= 30""",
         "topic_counts", "passages_w",
     ),

@@ -528,7 +528,8 @@ _REF_HTML = """<ol class="references"><li id="cite_note-%s-a"><span class="refer
 def src_wiki_refs(spark, sf):
     key, clean = col("page_id").cast("string"), urls.clean_url(col("url"))
     filled = F.format_string(_REF_HTML, key, key, col("url"), key, clean, key, key)
-    refs = html.wiki_references(_pages(spark, sf).select("page_id", filled.alias("html")))
+    # A list of references at the end of each page, as it is stored.
+    refs = html.wiki_references(_pages(spark, sf).select("page_id", F.concat(F.coalesce("html", lit("")), filled).alias("html")))
     return refs.select("page_id", "ref_id", "cite_text", "url")
 
 

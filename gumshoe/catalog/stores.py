@@ -286,12 +286,12 @@ def src_urls(spark, sf):
 
 
 def _publishers(spark, sf):
-    pages = table(spark, sf, "pages").where(col("page_id") % 2 == 0)
+    pages = table(spark, sf, "pages")
     return pages.select(col("page_id").alias("name"), "url", F.concat(lit("ident."), (col("page_id") % 9).cast("string")).alias("from"))
 
 
 _KNOWN = f"""select domain, min(page_id) as place, arg_min(f, page_id) as f from (select page_id, {_DOMAIN.format('url')} as domain,
-    'ident.' || (page_id % 9) as f from pages where page_id % 2 = 0) group by 1"""
+    'ident.' || (page_id % 9) as f from pages) group by 1"""
 
 
 @query("domain_map", f'select domain, f as "from", place from ({_KNOWN})')
@@ -359,29 +359,36 @@ def sink_events_draft(spark, sf):
 # --- exports -----------------------------------------------------------------------------
 
 
+_CSV_ENDS = {
+    "countries": (None, None), "cities": (None, None), "orgs": ("country", None), "idents": ("country", "orgs"), "events": ("begin", "country"),
+    "relations": ("from", "to"), "links": ("from", "to"), "quotes": ("from", "to"), "sources": ("url", None),
+}
+_CSV_SQL = {
+    "countries": ("countries", "null", "null"), "cities": ("cities", "null", "null"), "orgs": ("orgs", "country", "null"),
+    "idents": ("idents", "country", "nullif(array_to_string(orgs, ','), '')"), "events": ("evts", "\"begin\"::varchar", "country"),
+    "relations": ("relations", "rfrom", "rto"), "links": ("links", "lfrom", "lto"), "quotes": ("quotes", "qfrom", "qto"), "sources": ("sources", "url", "null"),
+}
+
+
 @query(
     "sink_csv",
     report_sql(
-        """select 'relations' as kind, name, label, array_to_string(cats, ',') as cats, rfrom as "from", rto as "to" from relations where name in (from r_relations)
-        union all select 'links', name, label, array_to_string(cats, ','), lfrom, lto from links where name in (from r_links)
-        union all select 'idents', name, label, array_to_string(cats, ','), country, array_to_string(orgs, ',') from idents where name in (from r_idents)
-        union all select 'sources', name, label, array_to_string(cats, ','), url, null from sources where name in (from r_sources)""",
-        PARAMS, ("sources",),
+        " union all ".join(
+            f"select '{kind}' as kind, name, label, array_to_string(cats, ',') as cats, {a} as \"from\", {b} as \"to\" from {view} where name in (from r_{kind})"
+            for kind, (view, a, b) in _CSV_SQL.items()
+        ),
+        PARAMS, ("sources", "cities", "quotes"),
     ),
 )
 def sink_csv(spark, sf):
-    """The nine tables are written as CSV; four of them are read back."""
+    """The nine tables are written as CSV and read back."""
     paths = exports.export_csv(quest_from_tables(spark, sf), PARAMS, _scratch(spark))
-    ends = {"relations": ("from", "to"), "links": ("from", "to"), "idents": ("country", "orgs"), "sources": ("url", None)}
     out = None
-    for kind, (a, b) in ends.items():
+    for kind, ends in _CSV_ENDS.items():
         schema = ", ".join(f"`{c}` string" for c in exports.CSV_COLUMNS[kind])
         rows = spark.read.option("header", True).option("escape", '"').schema(schema).csv(paths[kind])
-        text = lambda c: F.coalesce(col(c), lit("")) if kind == "idents" and c == "orgs" else col(c)
-        rows = rows.select(
-            lit(kind).alias("kind"), "name", "label", F.coalesce("cats", lit("")).alias("cats"), text(a).alias("from"),
-            (text(b) if b else lit(None).cast("string")).alias("to"),
-        )
+        a, b = (col(c) if c else lit(None).cast("string") for c in ends)
+        rows = rows.select(lit(kind).alias("kind"), "name", "label", F.coalesce("cats", lit("")).alias("cats"), a.alias("from"), b.alias("to"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -150,15 +150,30 @@ def chk_dup_keep(spark, sf):
     return integrity.duplicate_keep(_checked(spark, sf)).drop("status")
 
 
+_KIND_VIEWS = {
+    "countries": "countries", "cities": "cities", "orgs": "orgs", "idents": "raw_idents", "events": "evts", "relations": "raw_relations",
+    "links": "raw_links", "quotes": "raw_quotes", "sources": "sources",
+}
+_JSON_CATS = """'[' || array_to_string(list_transform(cats, lambda c: coalesce('"' || c || '"', 'null')), ',') || ']'"""
+
+
 @query(
     "dump_kind",
     with_views(
-        """select name, '{"name":"' || name || '","label":"' || label || '","cats":["' || cats[1] || '"],"country":"' || country || '"}' as json from orgs""",
-        "orgs",
+        " union all ".join(
+            f"""select '{kind}' as kind, name, '{{"name":"' || name || '","label":"' || label || '","cats":' || {_JSON_CATS} || '}}' as json from {view}"""
+            for kind, view in _KIND_VIEWS.items()
+        ),
+        *_KIND_VIEWS.values(),
     ),
 )
 def dump_kind(spark, sf):
-    return integrity.dump_kind(quest_from_tables(spark, sf).orgs.select("name", "label", "cats", "country"))
+    """All nine kinds."""
+    quest, out = quest_from_tables(spark, sf), None
+    for kind in _KIND_VIEWS:
+        rows = integrity.dump_kind(quest.table(kind).select("name", "label", "cats")).select(lit(kind).alias("kind"), "name", "json")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _versions(spark, sf):
@@ -261,26 +276,28 @@ def incr_feed(spark, sf):
     return incremental.incr_feed(stored, incoming.union(incoming), ["cid"])
 
 
+_DOCNAMES = {"raw_relations": "null", "raw_links": "null", "raw_quotes": "null"}
+
+
 @query(
     "merge_quest",
     with_views(
-        """select name, case when docname in ('building', 'f') then 'later' else label end as label from (
-            select name, label, docname from raw_idents union all select name, label, docname from evts
-            union all select name, label, docname from countries)""",
-        "raw_idents", "evts", "countries",
+        " union all ".join(
+            f"select '{kind}' as kind, name, case when {_DOCNAMES.get(view, 'docname')} in ('building', 'f', 'places') then 'later' else label end as label from {view}"
+            for kind, view in _KIND_VIEWS.items()
+        ),
+        *_KIND_VIEWS.values(),
     ),
 )
 def merge_quest(spark, sf):
+    """All nine kinds of a quest, with later rows of some of its documents."""
     main = quest_from_tables(spark, sf)
-    later = main.with_tables(
-        **{
-            k: main.table(k).where(col("docname").isin("building", "f")).withColumn("label", lit("later"))
-            for k in ("countries", "cities", "orgs", "idents", "events", "relations", "links", "quotes", "sources")
-        }
-    )
-    merged = incremental.merge_quest(main, later)
-    out = merged.idents.select("name", "label")
-    return out.unionByName(merged.events.select("name", "label")).unionByName(merged.countries.select("name", "label"))
+    changed = {k: main.table(k).where(col("docname").isin("building", "f", "places")).withColumn("label", lit("later")) for k in _KIND_VIEWS}
+    merged, out = incremental.merge_quest(main, main.with_tables(**changed)), None
+    for kind in _KIND_VIEWS:
+        rows = merged.table(kind).select(lit(kind).alias("kind"), "name", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # --- streams -----------------------------------------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from gumshoe.functions.lists import add_prefix, split_list
 from gumshoe.functions.urls import clean_url, normalize_url
 from gumshoe.operators.ranking import first_by_key, ranked
 from gumshoe.quest import EDGE_ENDS, KINDS, PREFIX, SCHEMAS, Quest, conform, edge_name
+from gumshoe.session import shared_dir
 
 _LISTS = ("content", "cats", "sources", "orgs", "altlabels")
 
@@ -294,24 +297,24 @@ def read_wordlists(spark: SparkSession, folder: str, cats: Sequence[str] = (), k
     one list per category. Kinds: __all__, __badwords__, __badpeoples__, __badcountries__."""
     suffix = "" if kind == "__all__" else kind.rstrip("_")
     names = [kind, *[c + suffix for c in cats]]
-    rows = [(n, line) for n in names for line in _small_file(spark, f"{folder}/{n}.txt").splitlines()]
-    return wordlists(spark.createDataFrame(rows, "list string, value string"), names)
+    lines = [spark.read.text(path).select(F.lit(n).alias("list"), "value") for n in names if (path := _plain_file(spark, f"{folder}/{n}.txt"))]
+    found = reduce(DataFrame.unionByName, lines) if lines else spark.createDataFrame([], "list string, value string")
+    return wordlists(found, names)
 
 
-def _small_file(spark: SparkSession, path: str, limit: int = 16 << 20) -> str:
-    """Text of a configuration file, '' when absent. Spark's own readers skip names that begin
-    with an underscore, as these lists do. Larger files than `limit` bytes are refused."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+def _plain_file(spark: SparkSession, path: str) -> str | None:
+    """A file that Spark's readers see, None when absent. They skip names that begin with an underscore, as these
+    lists do; such a file is copied, as a stream, to a plain name in the shared folder."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(conf)
     if not fs.exists(where):
-        return ""
-    if fs.getFileStatus(where).getLen() > limit:
-        raise ValueError(f"{path} is too large for a word list; pass its lines to wordlists()")
-    stream = fs.open(where)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+        return None
+    if not where.getName().startswith(("_", ".")):
+        return path
+    plain = hadoop.Path(f"{shared_dir(spark)}/lists/{uuid.uuid4().hex}/list.txt")
+    hadoop.FileUtil.copy(fs, where, plain.getFileSystem(conf), plain, False, conf)
+    return plain.toString()
 
 
 def wordlists(lines: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
