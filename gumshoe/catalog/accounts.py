@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col, lit
 
-from gumshoe.catalog.analysis import lexicon
+from gumshoe.catalog.analysis import EXACT_MEAN, lexicon, valence_sql
 from gumshoe.catalog.registry import query
 from gumshoe.catalog.scalars import _LETTERS, _TOKENS
 from gumshoe.catalog.views import VIEWS, with_views
 from gumshoe.operators import social
+from gumshoe.operators.words import UNITS
 from gumshoe.sources.tables import followers, follows, posts, snapshots, table
 
 _KIND = "case when coalesce(is_reply, coalesce(reply_did, '') <> '') then 'reply' else 'post' end"
@@ -71,19 +72,20 @@ def account_summary(spark, sf):
     return social.account_summary(checked).withColumn("average_seconds", F.round("average_seconds", 3))
 
 
+VIEWS["post_tokens"] = (("posts",), f"select cid, {_TOKENS} as t from posts")
 VIEWS["post_mood"] = (
-    ("posts", "lexicon"),
-    f"""select cid, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15) as compound from posts left join (
-        select cid, sum(polarity)::double as s from (select cid, unnest({_TOKENS}) as word from posts) join lexicon using (word) group by 1) using (cid)""",
+    ("posts", "post_tokens", "lexicon"),
+    f"""select cid, s / sqrt(s * s + 15) as compound from (select cid, coalesce(sum(v), 0)::double / {UNITS}.0::double as s
+        from ({valence_sql("post_tokens", "cid")}) group by 1)""",
 )
 
 
 @query(
     "account_mood",
     with_views(
-        """select did, kind, count(*) as count, round(avg(compound), 6) as average_compound,
-        case when avg(compound) >= 0.2 then 'positive' when avg(compound) <= -0.2 then 'negative' else 'neutral' end as label
-        from kinds join post_mood using (cid) group by 1, 2""",
+        f"""select did, kind, n as count, round(m, 6) as average_compound,
+        case when m >= 0.2 then 'positive' when m <= -0.2 then 'negative' else 'neutral' end as label from (
+        select did, kind, count(*) as n, {EXACT_MEAN.format("compound")} as m from kinds join post_mood using (cid) group by 1, 2)""",
         "kinds", "post_mood",
     ),
 )

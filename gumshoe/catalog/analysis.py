@@ -278,18 +278,38 @@ VIEWS["lexicon"] = (
     """select word, (length(word) % 5 - 2) / 2.0 as polarity, (length(word) % 3) / 2.0 as subjectivity
         from (select distinct unnest(w) as word from passages_w)""",
 )
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in words) + ")"
+
+
+def valence_sql(texts: str, key: str) -> str:
+    """SQL rows (key, total, word, p, s, v): each token of (key, t) with the lexicon's values in thousandths and its
+    valence in `words.UNITS`, null where it is not listed."""
+    before = lambda n, words: f"i > {n} and t[i - {n}] in {_in(words)}"
+    boost = " + ".join(
+        f"(case when {before(n, w.BOOSTERS)} then {e} when {before(n, w.DAMPERS)} then {-e} else 0 end)" for n, e in enumerate(w.BOOST_BY_DISTANCE, 1)
+    )
+    near = " or ".join(f"({before(n, w.NEGATIONS)})" for n in (1, 2, 3))
+    return f"""select {key}, total, word, p, s, case when p = 0 then 0 when turned then (p * 1000 + sign(p) * boost) * {w.TURNED} // 100
+        else p * 1000 + sign(p) * boost end::bigint * side as v from (
+        select {key}, total, t[i] as word, {boost} as boost, coalesce({near}, false) as turned,
+        case when coalesce(b, 0) = 0 then 2 when i < b then 1 when i > b then 3 else 2 end as side from (
+        select {key}, len(t) as total, t, list_position(t, 'but') as b, unnest(case when len(t) = 0 then [null] else range(1, len(t) + 1) end) as i from {texts}))
+        left join (select word, round(polarity * 1000)::bigint as p, round(subjectivity * 1000)::bigint as s from lexicon) using (word)"""
+
+
+_THOUSANDTHS = "(sign({0}) * ((abs({0}) * 2 + {1}) // ({1} * 2)) / 1000)::double"
 VIEWS["moods"] = (
     ("doc_tokens", "lexicon"),
-    """select source, case when p > 0.1 then 'Positive' when p < -0.1 then 'Negative' else 'Neutral' end as mood,
-        round(p, 3) as polarity, round(s, 3) as subjectivity, round(pos / total, 3) as positive,
-        round((total - pos - neg) / total, 3) as neutral, round(neg / total, 3) as negative,
-        round(v / sqrt(v * v + 15), 3) as compound from (
-        select source, greatest(max(total), 1) as total, coalesce(avg(polarity), 0.0)::double as p,
-        coalesce(avg(subjectivity), 0.0)::double as s, coalesce(sum(polarity), 0.0)::double as v,
-        count(*) filter (polarity > 0) as pos, count(*) filter (polarity < 0) as neg
-        from (select source, len(t) as total, unnest(case when len(t) = 0 then [null] else t end) as word from doc_tokens)
-        left join lexicon using (word) group by 1)""",
+    f"""select source, case when x / n > 0.1 then 'Positive' when x / n < -0.1 then 'Negative' else 'Neutral' end as mood,
+        {_THOUSANDTHS.format('v', f'(n * {w.UNITS // 1000})')} as polarity, {_THOUSANDTHS.format('su', 'n')} as subjectivity,
+        {_THOUSANDTHS.format('(pos * 1000)', 'total')} as positive, {_THOUSANDTHS.format('((total - pos - neg) * 1000)', 'total')} as neutral,
+        {_THOUSANDTHS.format('(neg * 1000)', 'total')} as negative, round(x / sqrt(x * x + 15), 3) as compound from (
+        select *, v::double / {w.UNITS}.0::double as x from (
+        select source, greatest(max(total), 1) as total, greatest(count(v), 1) as n, coalesce(sum(s), 0)::bigint as su, coalesce(sum(v), 0)::bigint as v,
+        count(*) filter (v > 0) as pos, count(*) filter (v < 0) as neg from ({valence_sql("doc_tokens", "source")}) group by 1))""",
 )
+EXACT_MEAN = "(sum({0}::decimal(20, 9))::double / count({0}))"
 
 
 def lexicon(spark, sf):
@@ -309,7 +329,7 @@ def mood(spark, sf):
 @query(
     "mood_rollup",
     with_views(
-        "select mood, count(*) as n, round(avg(polarity), 4) as polarity, round(avg(subjectivity), 4) as subjectivity, round(avg(compound), 4) as compound from moods group by 1",
+        "select mood, count(*) as n, " + ", ".join(f"round({EXACT_MEAN.format(c)}, 4) as {c}" for c in ("polarity", "subjectivity", "compound")) + " from moods group by 1",
         "moods",
     ),
 )

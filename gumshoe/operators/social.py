@@ -11,6 +11,7 @@ from gumshoe.functions.arrays import unnest
 from gumshoe.functions.language import STOP_WORDS
 from gumshoe.functions.text import capitalised_names, hashtags, letter_tokens, mentions, tokens
 from gumshoe.operators.ranking import carry_forward, first_by_key, top_per_group
+from gumshoe.operators.words import UNITS, exact_mean, shifted_words, with_valence
 from gumshoe.session import pin
 
 # Weekday names from Monday.
@@ -59,11 +60,10 @@ def account_summary(posts: DataFrame) -> DataFrame:
 
 
 def compound(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(cid, compound): summed polarity of the listed words, squashed to -1..1; 0 without any."""
-    split = posts.select("cid", tokens(F.col("text")).alias("_t"))
-    words = unnest(split, "_t", "word", "cid")
-    sums = words.join(lexicon.select("word", "polarity"), "word").groupBy("cid").agg(F.sum("polarity").alias("_s"))
-    value = F.coalesce("_s", F.lit(0.0))
+    """(cid, compound): summed valence of the listed words, squashed to -1..1; 0 without any."""
+    words = shifted_words(posts, "cid").where(F.col("word").isNotNull())
+    sums = with_valence(words, lexicon.select("word", "polarity"), "inner").groupBy("cid").agg(F.sum("valence").alias("_s"))
+    value = F.coalesce("_s", F.lit(0)) / F.lit(float(UNITS))
     return posts.select("cid").join(sums, "cid", "left").select("cid", (value / F.sqrt(value * value + 15)).alias("compound"))
 
 
@@ -73,7 +73,7 @@ def account_mood(posts: DataFrame, moods: DataFrame) -> DataFrame:
     rows = posts.where(F.coalesce("text", F.lit("")) != "").select("did", "cid", post_kind().alias("kind"))
     joined = _both(rows.join(moods, "cid"))
     out = joined.groupBy("did", "kind").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("compound").alias("average_compound")
+        F.count(F.lit(1)).alias("count"), exact_mean("compound").alias("average_compound")
     )
     return out.withColumn("label", mood_label(F.col("average_compound")))
 

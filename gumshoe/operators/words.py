@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,35 +62,96 @@ def word_counts(
     return top_per_group(counts, [key], [F.desc("n"), F.asc("word")], top)
 
 
+# Words that strengthen, weaken or turn the next ones, their effect in millionths by the number
+# of words between, and how many hundredths of a turned valence are left.
+BOOSTERS = (
+    "absolutely amazingly awfully completely considerably decidedly deeply enormously entirely especially exceptionally extremely fully "
+    "greatly highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so substantially thoroughly "
+    "totally tremendously unbelievably unusually utterly very"
+).split()
+DAMPERS = "almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split()
+NEGATIONS = (
+    "not no never none nobody nothing neither nor nowhere without cannot cant dont doesnt didnt isnt wasnt wont aint don doesn didn isn "
+    "wasn aren weren won wouldn shouldn couldn hasn haven hadn ain despite rarely seldom"
+).split()
+BOOST_BY_DISTANCE, TURNED = (293_000, 278_350, 263_700), -74
+#: Units of a valence: half millionths, so that every step below is whole.
+UNITS = 2_000_000
+
+
+def shifted_words(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys..., total, word, boost, turned, side): each token with what the three before it do to its valence, and
+    the side of the first `but` it stands on: 1 before it, 3 after it, 2 without one. A text without
+    tokens has one row without a word."""
+    split = docs.select(*keys, tokens(F.col(text)).alias("_t"))
+    # What each word does to others: strengthen (1), weaken (-1), turn (2).
+    kind = lambda w: F.when(w.isin(*BOOSTERS), 1).when(w.isin(*DAMPERS), -1).when(w.isin(*NEGATIONS), 2).otherwise(0)
+    placed = split.select(*keys, "_t", F.transform("_t", kind).alias("_k"), F.array_position("_t", "but").alias("_but"))
+    before = lambda i, n: F.coalesce(F.get("_k", i - n), F.lit(0))
+
+    def boost(i: Column) -> Column:
+        return reduce(Column.__add__, [F.when(F.abs(before(i, n)) == 1, before(i, n) * effect).otherwise(0) for n, effect in enumerate(BOOST_BY_DISTANCE, 1)])
+
+    def turned(i: Column) -> Column:
+        return reduce(Column.__or__, [before(i, n) == 2 for n in (1, 2, 3)])
+
+    def side(i: Column) -> Column:
+        return F.when(F.col("_but") == 0, 2).when(i + 1 < F.col("_but"), 1).when(i + 1 > F.col("_but"), 3).otherwise(2)
+
+    entries = F.transform("_t", lambda w, i: F.struct(w.alias("word"), boost(i).alias("boost"), turned(i).alias("turned"), side(i).alias("side")))
+    spread = placed.select(*keys, F.size("_t").alias("total"), F.explode_outer(entries).alias("e"))
+    return spread.select(*keys, "total", "e.word", "e.boost", "e.turned", "e.side")
+
+
+def with_valence(words: DataFrame, lexicon: DataFrame, how: str = "left") -> DataFrame:
+    """Adds `valence` in UNITS to `shifted_words`: polarity, raised or lowered by boosters, turned by a negation,
+    halved before a `but` and half as much again after it; and `subjectivity` in thousandths. Whole
+    numbers, so that sums do not depend on their order."""
+    known = lexicon.select("word", F.round(F.col("polarity") * 1000).cast("bigint").alias("_p"), *([F.round(F.col("subjectivity") * 1000).cast("bigint").alias("subjectivity")] if "subjectivity" in lexicon.columns else []))
+    joined = words.join(known, "word", how)
+    raised = F.col("_p") * 1000 + F.signum("_p").cast("bigint") * F.col("boost")
+    shifted = F.when(F.col("_p") == 0, F.lit(0)).when(F.col("turned"), F.call_function("div", raised * TURNED, F.lit(100))).otherwise(raised)
+    return joined.withColumn("valence", shifted * F.col("side")).drop("_p")
+
+
 def lexicon_mood(docs: DataFrame, lexicon: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
-    """Mood per source from a (word, polarity, subjectivity) lexicon: averages over the listed
-    words, shares of positive, neutral and negative tokens, a compound in -1..1 and a label."""
-    split = docs.select(key, tokens(F.col(text)).alias("_t"))
-    spread = split.select(key, F.size("_t").alias("_total"), F.explode_outer("_t").alias("word"))
-    scored = spread.join(lexicon, "word", "left")
+    """Mood per source from a (word, polarity, subjectivity) lexicon: averages over the listed words with
+    their valence shifted by the words before, shares of positive, neutral and negative tokens, a
+    compound in -1..1 and a label."""
+    scored = with_valence(shifted_words(docs, key, text=text), lexicon)
     sums = scored.groupBy(key).agg(
-        F.max("_total").alias("_total"),
-        F.avg("polarity").alias("_polarity"),
-        F.avg("subjectivity").alias("_subjectivity"),
-        F.sum("polarity").alias("_sum"),
-        F.count(F.when(F.col("polarity") > 0, 1)).alias("_pos"),
-        F.count(F.when(F.col("polarity") < 0, 1)).alias("_neg"),
+        F.max("total").alias("_total"),
+        F.sum("valence").alias("_sum"),
+        F.sum("subjectivity").alias("_subjectivity"),
+        F.count("valence").alias("_listed"),
+        F.count(F.when(F.col("valence") > 0, 1)).alias("_pos"),
+        F.count(F.when(F.col("valence") < 0, 1)).alias("_neg"),
     )
-    total = F.greatest("_total", F.lit(1))
-    polarity = F.coalesce("_polarity", F.lit(0.0))
-    strength = F.coalesce("_sum", F.lit(0.0))
+    total, listed = F.greatest("_total", F.lit(1)), F.greatest("_listed", F.lit(1))
+    valence = F.coalesce("_sum", F.lit(0))
+    strength = valence / F.lit(float(UNITS))
     return sums.select(
         key,
-        mood_label(polarity).alias("mood"),
-        F.round(polarity, 3).alias("polarity"),
-        F.round(F.coalesce("_subjectivity", F.lit(0.0)), 3).alias("subjectivity"),
-        F.round(F.col("_pos") / total, 3).alias("positive"),
-        F.round((total - F.col("_pos") - F.col("_neg")) / total, 3).alias("neutral"),
-        F.round(F.col("_neg") / total, 3).alias("negative"),
+        mood_label(strength / listed).alias("mood"),
+        thousandths(valence, listed * (UNITS // 1000)).alias("polarity"),
+        thousandths(F.coalesce("_subjectivity", F.lit(0)), listed).alias("subjectivity"),
+        thousandths(F.col("_pos") * 1000, total).alias("positive"),
+        thousandths((total - F.col("_pos") - F.col("_neg")) * 1000, total).alias("neutral"),
+        thousandths(F.col("_neg") * 1000, total).alias("negative"),
         F.round(strength / F.sqrt(strength * strength + 15), 3).alias("compound"),
     )
 
 
+def thousandths(value: Column, by: Column) -> Column:
+    """The quotient of two whole numbers in thousandths, rounded half away from zero in whole numbers."""
+    return F.signum(value) * F.call_function("div", F.abs(value) * 2 + by, by * 2) / 1000
+
+
+def exact_mean(column: str) -> Column:
+    """Mean of a double column: summed as decimals, so that it does not depend on the order of rows."""
+    return F.sum(F.col(column).cast("decimal(20,9)")).cast("double") / F.count(column)
+
+
 def mood_label(polarity: Column) -> Column:
     return F.when(polarity > 0.1, "Positive").when(polarity < -0.1, "Negative").otherwise("Neutral")
 
@@ -99,7 +161,7 @@ def mood_rollup(moods: DataFrame) -> DataFrame:
     list of all of them has no bound."""
     return moods.groupBy("mood").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.round(F.avg(c), 4).alias(c) for c in ("polarity", "subjectivity", "compound")],
+        *[F.round(exact_mean(c), 4).alias(c) for c in ("polarity", "subjectivity", "compound")],
     )
 
 
