@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col, lit
 
 from gumshoe.catalog.registry import query
-from gumshoe.catalog.views import with_views
+from gumshoe.catalog.views import VIEWS, with_views
 from gumshoe.functions import dates, hashes, language, lists, permute, points, story, text, urls
 from gumshoe.operators import filters, ranking
 from gumshoe.sources import html
@@ -465,8 +465,38 @@ def fn_parse_points(spark, sf):
     return rows
 
 
+# Letter sequences of the documents, and the model of those that its query learns from.
+VIEWS["sequences"] = (
+    (),
+    f"""select doc_id, lang, (unicode(c[i]) * {language.FACTOR}::bigint * {language.FACTOR} + unicode(c[i + 1]) * {language.FACTOR}::bigint + unicode(c[i + 2])) % {language.SLOTS} as slot
+        from (select doc_id, lang, c, unnest(range(1, len(c) - 1)) as i from (select doc_id, lang,
+        string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) || ' ', '') as c from documents))""",
+)
+VIEWS["sequence_costs"] = (
+    ("sequences",),
+    f"""select a.lang, slot, floor(1000 * ln((total + {language.SLOTS}) / (coalesce(n, 0) + 1)))::bigint as cost
+        from (select lang, count(*) as total from sequences where lang is not null and doc_id % 3 <> 1 group by 1) a
+        cross join (select distinct slot from sequences) b
+        left join (select lang, slot, count(*) as n from sequences where doc_id % 3 <> 1 group by 1, 2) c using (lang, slot)""",
+)
+VIEWS["languages"] = (
+    ("sequences", "sequence_costs"),
+    """select d.doc_id, coalesce(l.lang, 'und') as lang, coalesce(l.cost, 0)::bigint as cost, coalesce(l.n, 0)::bigint as sequences from documents d left join (
+        select doc_id, lang, cost, n from (select s.doc_id, c.lang, sum(c.cost) as cost, count(*) as n from sequences s join sequence_costs c using (slot) group by 1, 2)
+        qualify row_number() over (partition by doc_id order by cost, lang) = 1) l using (doc_id)""",
+)
+
+
+@query("lang_score", with_views("select doc_id, lang, cost, sequences from languages", "languages"))
+def lang_score(spark, sf):
+    """Language of every document by the letter sequences of two thirds of them."""
+    docs = _documents(spark, sf)
+    model = language.fit_languages(docs.where(col("doc_id") % 3 != 1))
+    return language.score_languages(docs, model, "doc_id")
+
+
 @query(
-    "lang_score",
+    "lang_stop_words",
     "select doc_id, case when greatest(n_en, n_fr, n_de, n_es) = 0 then null when n_en >= greatest(n_fr, n_de, n_es) then 'en' "
     "when n_fr >= greatest(n_de, n_es) then 'fr' when n_de >= n_es then 'de' else 'es' end as lang, "
     "n_en, n_fr, n_de, n_es from (select doc_id, "
@@ -476,7 +506,7 @@ def fn_parse_points(spark, sf):
     )
     + f" from (select doc_id, {_TOKENS} as t from documents))",
 )
-def lang_score(spark, sf):
+def lang_stop_words(spark, sf):
     words = _documents(spark, sf).select("doc_id", text.tokens(col("text")).alias("w"))
     scored = words.select("doc_id", language.language_score(col("w")).alias("s"))
     counts = [col("s")[k].cast("bigint").alias("n_" + k) for k in language.STOP_WORDS]

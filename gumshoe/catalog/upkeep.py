@@ -11,8 +11,8 @@ from pyspark.sql.functions import col, lit
 from gumshoe.catalog.registry import query
 from gumshoe.catalog.scalars import _TOKENS
 from gumshoe.catalog.views import VIEWS, with_views
-from gumshoe.functions import hashes, language
-from gumshoe.functions.language import with_language
+from gumshoe.functions import hashes
+from gumshoe.functions.language import fit_languages, score_languages
 from gumshoe.operators import incremental, integrity
 from gumshoe.session import shared_dir
 from gumshoe.sources.tables import posts, quest_from_tables, snapshots, table
@@ -74,22 +74,19 @@ def chk_bad_size(spark, sf):
     return integrity.check_bad_size(_files(spark, sf))
 
 
-_N_LANG = ", ".join(
-    f"len(list_filter(t, lambda x: x in ({', '.join(repr(w) for w in dict.fromkeys(ws))}))) as n_{k}"
-    for k, ws in language.STOP_WORDS.items()
-)
-
-
 @query(
     "chk_translation",
-    f"""select doc_id, found_lang from (select doc_id, case when body = '' then 'unknown' when greatest(n_en, n_fr, n_de, n_es) = 0 then null
-        when n_en >= greatest(n_fr, n_de, n_es) then 'en' when n_fr >= greatest(n_de, n_es) then 'fr' when n_de >= n_es then 'de' else 'es' end as found_lang
-        from (select doc_id, body, {_N_LANG} from (select doc_id, case when doc_id % 10 = 0 then '' else text end as body, {_TOKENS} as t from documents)))
-        where found_lang is distinct from 'en'""",
+    with_views(
+        """select doc_id, case when doc_id % 10 = 0 or coalesce(text, '') = '' then 'unknown' else l.lang end as found_lang from documents join languages l using (doc_id)
+        where doc_id % 10 = 0 or coalesce(text, '') = '' or l.lang <> 'en'""",
+        "languages",
+    ),
 )
 def chk_translation(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    emptied = with_language(docs, out="detected").withColumn("text", F.when(col("doc_id") % 10 == 0, "").otherwise(col("text")))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(col("doc_id") % 3 != 1))
+    found = score_languages(docs, model, "doc_id").select("doc_id", col("lang").alias("detected"))
+    emptied = docs.select("doc_id", F.when(col("doc_id") % 10 == 0, "").otherwise(col("text")).alias("text")).join(found, "doc_id")
     return integrity.check_translation(emptied, "en", "detected").select("doc_id", "found_lang")
 
 
