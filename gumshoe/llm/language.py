@@ -17,13 +17,14 @@ from gumshoe.llm.common import map_batches, texts_of
 LANGUAGE_CHARS = 32_000
 LANGUAGE_DOCS = 100
 TOTAL_CHARS = 160_000
-#: Symbols: 0 pads, 1 is any run of other characters, 2 any letter that is rare in the labelled text.
-SYMBOLS = 64
+#: Symbols: 0 pads, 1 is any run of other characters, 2 any letter that is not in the labelled text. If that has
+#: more letters than there are symbols left, rare ones are spelled with DIGITS of them.
+SYMBOLS, DIGITS = 64, 16
 PAD, GAP, OTHER = 0, 1, 2
 #: Symbols of one lane; a text is parsed in lanes that restart the match.
 LANE = 512
-#: No letter; letters, but no language was learned.
-UNDETERMINED, UNLEARNED = "und", "mis"
+#: No letter, or no language was learned.
+UNDETERMINED = "und"
 #: Labelled documents of a language, outside its learned text, that its limits are measured on, and their fewest letters.
 MEASURED_DOCS, MEASURED_LEAST = 50, 200
 #: A document is in a language up to this part of the way from the phrases per symbol of that language's
@@ -32,27 +33,58 @@ MEASURED_DOCS, MEASURED_LEAST = 50, 200
 REACH, MARGIN, MARGIN_SYMBOLS = 2 / 3, 1 / 3, 100
 
 
-def symbol_table(texts: list[str]) -> np.ndarray:
-    """Symbol of each code point: the most frequent letters of the labelled text have their own."""
+@dataclass
+class Symbols:
+    """Symbol of each code point; of a rare letter its number, which is spelled in `places` digits after them."""
+
+    table: np.ndarray
+    number: np.ndarray | None = None
+    places: int = 0
+
+
+def symbol_table(texts: list[str]) -> Symbols:
+    """The most frequent letters of the labelled text have a symbol of their own, the others a spelling."""
     counts = Counter()
     for text in texts:
         counts.update(c for c in text.lower() if c.isalpha())
-    own = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 3]]
+    letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
     table = np.full(0x110000, GAP, np.uint8)
     table[[i for i in range(0x110000) if chr(i).isalpha()]] = OTHER
-    for i, c in enumerate(own):
+    single = SYMBOLS - 3 if len(letters) <= SYMBOLS - 3 else SYMBOLS - 3 - DIGITS
+    for i, c in enumerate(letters[:single]):
         table[ord(c)] = i + 3
-    return table
-
-
-def encode(text: str, table: np.ndarray) -> np.ndarray:
+    rare = letters[single:]
+    if not rare:
+        return Symbols(table)
+    number = np.full(0x110000, -1, np.int32)
+    for i, c in enumerate(rare):
+        number[ord(c)] = i
+    places = 1
+    while DIGITS**places < len(rare):
+        places += 1
+    return Symbols(table, number, places)
+
+
+def encode(text: str, symbols: Symbols) -> np.ndarray:
     """Symbols of the lower-cased text, each run of other characters as one gap."""
-    codes = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = symbols.table[points]
     gap = codes == GAP
     gap[1:] &= gap[:-1]
     if len(gap):
         gap[0] = False
-    return codes[~gap]
+    codes = codes[~gap]
+    if symbols.number is None:
+        return codes
+    number = symbols.number[points[~gap]]
+    rare = number >= 0
+    if not rare.any():
+        return codes
+    each = np.where(rare, symbols.places, 1)
+    out, first = np.repeat(codes, each), np.cumsum(each) - each
+    for k in range(symbols.places):
+        out[first[rare] + k] = SYMBOLS - DIGITS + number[rare] // DIGITS**k % DIGITS
+    return out
 
 
 def suffix_automaton(codes: np.ndarray) -> np.ndarray:
@@ -97,7 +129,7 @@ class Model:
     most, least: each language's limits on phrases per symbol and margin, none where nothing was measured."""
 
     languages: list[str]
-    symbols: np.ndarray
+    symbols: Symbols
     moves: np.ndarray
     roots: np.ndarray
     most: np.ndarray | None = None
@@ -156,17 +188,20 @@ def measure(model: Model, held_out: dict[str, list[str]]) -> Model:
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on labelled documents, per language those whose id's hash is lowest, within the bounds above;
-    the limits of the languages are measured on others of them."""
+    the limits of the languages are measured on others of them. A language that has only longer texts is
+    learned from the first LANGUAGE_CHARS characters of the shortest."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.filter(F.length(text_col).between(1, LANGUAGE_CHARS)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LANGUAGE_DOCS).toPandas()
+    size = F.length(text_col)
+    rows = rows.filter(size > 0).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.greatest(size - LANGUAGE_CHARS, F.lit(0)).alias("over"))
+    order = Window.partitionBy("lang").orderBy("over", F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LANGUAGE_DOCS)
+    chosen = chosen.filter((F.col("over") == 0) | (F.col("n") == 1)).drop("over").toPandas()
     if not len(chosen):
         return fit({})
     spark = docs.sparkSession
     wanted = spark.createDataFrame(chosen, "doc_id bigint, lang string, n int")
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(wanted), ["doc_id", "lang"])
-    found = found.filter(F.length("text").between(1, LANGUAGE_CHARS)).toPandas().sort_values(["lang", "n", "text"])
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, LANGUAGE_CHARS).alias("text")).join(F.broadcast(wanted), ["doc_id", "lang"])
+    found = found.filter(F.length("text") > 0).toPandas().sort_values(["lang", "n", "text"])
     share = min(LANGUAGE_CHARS, TOTAL_CHARS // found["lang"].nunique()) if len(found) else 0
     samples: dict[str, list[str]] = {}
     held_out: dict[str, list[str]] = {}
@@ -214,11 +249,13 @@ class Parser:
         return total[:, first[1:]] - total[:, first[:-1]], sizes, letters
 
     def determined(self, texts: list[str]) -> list[str]:
-        """The language of each text, `und` also where its best language needs more phrases per symbol
+        """The language of each text, without a name where none was learned, `und` also where its best language needs more phrases per symbol
         than that language's documents do, or hardly fewer than the second. The phrase that the end of
         a lane cuts is not counted."""
         phrases, sizes, letters = self.phrases(texts)
         names, scores = self._named(phrases, sizes, letters)
+        if not self.model.languages:
+            return ["" if x else UNDETERMINED for x in letters]
         most, least = self.model.most, self.model.least
         if most is None:
             return names
@@ -238,7 +275,7 @@ class Parser:
         names, scores = [], []
         for i in range(len(sizes)):
             if not letters[i] or not self.model.languages:
-                names.append(UNDETERMINED if not letters[i] else UNLEARNED)
+                names.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
             rate = phrases[:, i] / sizes[i]
@@ -253,7 +290,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     phrases per symbol, ties to the first name, and by what share the second needs more.
 
     The automata, of bounded size, are broadcast; each text is parsed whole where it is read. Null,
-    empty and letterless texts are `und` with score 0, other texts `mis` if no language was learned;
+    empty and letterless texts are `und` with score 0, as are all texts if no language was learned;
     repeated rows and null ids are kept; no rows give no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -161,17 +161,22 @@ def _tokenizer(path: str) -> Callable[[str], bytes]:
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), cut: bool = True, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str, limits: Limits = Limits(), cut: bool = True, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, prompt_col: str | None = None
+) -> DataFrame:
     """Pieces of documents and their places in sequences: (doc_id, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset[, ids]); with `with_ids` also each piece's ids.
+    doc_tokens, sequence_id, offset[, ids][, loss]); with `with_ids` also each piece's ids, with `prompt_col`
+    how many of them bear loss.
 
-    A document is the ids of its text and one end id; all of them bear loss. Every task packs what it
+    A document is the ids of its text and one end id; all of them bear loss. Instruction data have the ids
+    of a prompt before, which bear none. Every task packs what it
     reads, with a pool of bounded size, so nothing is shuffled, no key can be hot and a lost task is
     simply run again; a task leaves at most a few sequences that are not full, and those are powers of
-    two long. Null text is empty: one end id. Repeated rows are packed apart, ids may be null or
-    repeated, very long texts are cut over many sequences, an empty table gives no rows; other
+    two long. Null text is empty: one end id; a null prompt is empty. Repeated rows are packed apart, ids may
+    be null or repeated, very long texts are cut over many sequences, an empty table gives no rows; other
     columns are not read.
     """
+    more = ["ids"] * with_ids + ["loss"] * (prompt_col is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, packer = _tokenizer(vocabulary), Packer(limits, cut)
@@ -183,28 +188,31 @@ def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(),
         def place(sequence: list[Piece], number: int) -> None:
             for p in sequence:
                 entry = waiting[p.example]
-                doc, ids, _ = entry
+                doc, ids, _, prompt = entry
                 piece = ids[4 * p.start : 4 * (p.start + p.length)]
-                rows.append((doc, p.start, p.length, zlib.crc32(piece), len(ids) // 4, first + number, p.offset, *([piece] if with_ids else [])))
+                loss = p.start + p.length - max(p.start, min(prompt, p.start + p.length))
+                rows.append((doc, p.start, p.length, zlib.crc32(piece), len(ids) // 4, first + number, p.offset, *([piece] * with_ids), *([loss] * (prompt_col is not None))))
                 entry[2] -= p.length
                 if not entry[2]:
                     del waiting[p.example]
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * (7 + with_ids)
-            types = [pa.int64()] * 7 + [pa.binary()] * with_ids
+            columns = list(zip(*rows)) or [()] * (7 + len(more))
+            types = [pa.int64()] * 7 + [pa.binary() if x == "ids" else pa.int64() for x in more]
             rows.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *more])
 
         example = 0
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 part = whole.slice(at, BATCH_ROWS)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = ids_of(text or "") + END_ID.to_bytes(4, "little")
-                    tokens = len(ids) // 4
-                    waiting[example] = [doc, ids, tokens]
-                    for sequence in packer.add(example, tokens, tokens):
+                prompts = part.column(2).to_pylist() if prompt_col is not None else [None] * part.num_rows
+                for doc, text, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), prompts):
+                    before = ids_of(asked) if asked else b""
+                    ids = before + ids_of(text or "") + END_ID.to_bytes(4, "little")
+                    tokens, prompt = len(ids) // 4, len(before) // 4
+                    waiting[example] = [doc, ids, tokens, prompt]
+                    for sequence in packer.add(example, tokens, tokens - prompt):
                         place(sequence, count)
                         count += 1
                     example += 1
@@ -215,4 +223,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(),
         yield batch()
 
     small_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    columns = [docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"), *([docs[prompt_col].alias("prompt")] if prompt_col is not None else [])]
+    return docs.select(columns).mapInArrow(run, SCHEMA + "".join({"ids": ", ids binary", "loss": ", loss bigint"}[x] for x in more))

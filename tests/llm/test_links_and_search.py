@@ -250,7 +250,7 @@ def test_pipeline(spark, small_dir):
     left = {i: t for i, t in texts.items() if scorer.score(t or "") < 0.5}
     some = spark.createDataFrame([(i,) for i in left], "doc_id long")
     model = language.fit_on(docs.join(some, "doc_id", "left_semi").select(docs.columns))
-    names, _ = language.Parser(model).predict([t or "" for t in left.values()])
+    names = language.Parser(model).determined([t or "" for t in left.values()])
     left = {i: t for (i, t), n in zip(left.items(), names) if n != "und"}
     sets = {i: shingles(t) for i, t in left.items()}
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]

@@ -108,6 +108,32 @@ def test_packing(odd, none):
     assert pack_documents(none, BYTES_JSON).count() == 0
 
 
+def test_packing_of_instructions(spark, small_dir, none):
+    """Answers of conversations after what was asked: prompts bear no loss, all three limits hold at once."""
+    turns = spark.read.parquet(f"{small_dir}/conversations.parquet")
+    asked = turns.filter("role <> 'assistant'").selectExpr("conv_id", "turn + 1 as turn", "text as prompt")
+    rows = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"], "left").selectExpr("conv_id * 1000 + turn as doc_id", "prompt", "text", "1 as loss", "2 as ids")
+    rows = rows.union(spark.createDataFrame([(-1, None, None, 1, 2), (-2, "word " * 900, "a", 1, 2), (-3, "a", "word " * 900, 1, 2), (-4, "", "", 1, 2)], rows.schema)).repartition(2)
+    library = Tokenizer.from_file(BYTES_JSON)
+    encode = lambda text: library.encode(text or "", add_special_tokens=False).ids
+    whole = {r.doc_id: (encode(r.prompt), encode(r.text)) for r in rows.collect()}
+    limits = Limits(256, 6, 100)
+    sequences, documents = {}, {}
+    for r in pack_documents(rows, BYTES_JSON, limits, prompt_col="prompt", with_ids=True).collect():
+        sequences.setdefault(r.sequence_id, []).append(r)
+        documents.setdefault(r.doc_id, []).append(r)
+    for pieces in sequences.values():
+        assert sum(r.length for r in pieces) <= 256 and len(pieces) <= 6 and sum(r.loss for r in pieces) <= 100
+    assert max(sum(r.loss for r in pieces) for pieces in sequences.values()) == 100
+    assert set(documents) == set(whole)
+    for i, (before, after) in whole.items():
+        pieces = sorted(documents[i], key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in pieces) == np.array([*before, *after, 0], "<u4").tobytes()
+        assert sum(r.loss for r in pieces) == len(after) + 1
+        assert all(r.loss == max(0, r.start + r.length - max(r.start, len(before))) for r in pieces)
+    assert pack_documents(none, BYTES_JSON, prompt_col="text").columns[-1] == "loss"
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_packer_keeps_all_limits(cut):
     rng = np.random.default_rng(3)
@@ -188,7 +214,27 @@ def test_language(spark, small_dir, odd, none):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (0, 1, 2))
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.identify(none, model).count() == 0
-    assert {r.lang_pred for r in language.identify(odd, language.fit_on(none)).collect()} == {"und", "mis"}
+    assert {r.lang_pred for r in language.identify(odd, language.fit_on(none)).collect()} == {"und"}
+    passed = language.determined_documents(odd, language.fit_on(none))
+    assert 0 < passed.count() < odd.count()
+
+
+def test_languages_of_many_letters(spark):
+    """Two languages of 3,000 letters each, most of them shared, and one that has a single, very long text."""
+    rng = np.random.default_rng(12)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    words = {n: ["".join(rng.choice(letters, 2)) for _ in range(1500)] for n in ("aa", "bb")}
+    rows = [(i, "".join(rng.choice(words[n], 150)), n) for i, n in enumerate(["aa", "bb"] * 120)]
+    rows.append((1000, "lorem ipsum dolor " * 4000, "cc"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_on(docs.filter("doc_id % 7 <> 3"))
+    assert model.languages == ["aa", "bb", "cc"] and model.symbols.places == 3
+    asked = docs.filter("doc_id % 7 = 3").collect()
+    names, _ = language.Parser(model).predict([r.text for r in asked] + ["dolor lorem ipsum"])
+    assert sum(n == r.lang for n, r in zip(names, asked)) >= 0.97 * len(asked) and names[-1] == "cc"
+    table = model.symbols
+    spelled = [language.encode(c, table).tobytes() for c in letters if (table.number[ord(c)] >= 0)]
+    assert len(set(spelled)) == len(spelled) and all(len(x) == 3 for x in spelled)
 
 
 def test_undetermined_documents_go(spark):
