@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col, lit
 
+import gumshoe.catalog.analysis  # noqa: F401 - the views over words
 from gumshoe.catalog.registry import query
 from gumshoe.catalog.views import VIEWS, with_views
 from gumshoe.functions import stemming

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions import similarity
+from gumshoe.functions.bounds import fuzzy_bound, text_words
 from gumshoe.functions.text import context, fold_accents, fold_text, sanitize_label
 from gumshoe.operators.attributes import source_url
 from gumshoe.operators.filters import get_events, get_idents, get_orgs
@@ -223,8 +224,9 @@ def snippets(page: DataFrame, docs: DataFrame, query: str, distance: int = 60, h
 
 
 def search_fuzzy(found: DataFrame, query: str, threshold: float = 70.0) -> DataFrame:
-    """Rerank the results by string likeness of title and description. Every result is scored, in
-    Arrow batches; a page is cut from the ranking, not before it."""
+    """Rerank the results by string likeness of title and description. Every result that can reach the threshold
+    by an upper bound of its letter and word counts is scored, in Arrow batches; a page is cut from the
+    ranking, not before it."""
     text = F.lower(F.concat_ws(" ", F.col("title"), F.when(F.col("description") != "", F.col("description"))))
     wanted = query.lower()
 
@@ -233,11 +235,14 @@ def search_fuzzy(found: DataFrame, query: str, threshold: float = 70.0) -> DataF
         rows = [similarity.fuzzy_score(wanted, t) for t in texts]
         return pd.DataFrame(rows, columns=["fuzzy", "phonetic", "all_tokens"])
 
-    scored = found.withColumn("_f", score(text)).where(F.col("_f.fuzzy") >= threshold)
+    shown = found.columns
+    worded = found.withColumn("_text", text).withColumn("_words", text_words(F.col("_text")))
+    possible = worded.where(fuzzy_bound(wanted, F.col("_text"), F.col("_words")) >= threshold - 1e-6)
+    scored = possible.withColumn("_f", score("_text")).where(F.col("_f.fuzzy") >= threshold)
     fuzzy = F.col("_f.fuzzy")
     share = 0.3 + fuzzy / 100 * 0.2
     return scored.select(
-        *found.columns,
+        *shown,
         F.round(fuzzy, 2).alias("fuzzy_score"),
         F.round("_f.phonetic", 2).alias("phonetic_score"),
         F.col("_f.all_tokens").alias("token_match"),
