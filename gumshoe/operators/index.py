@@ -137,11 +137,25 @@ def index_terms(field_rows: DataFrame) -> DataFrame:
 POSTINGS_PER_FILE, SPREAD_FILE, SPREAD = 4_000_000, 250_000, 64
 
 
+# BM25 constants and the floor of the length norm.
+K1, B, MIN_NORM = 1.2, 0.3, 0.5
+#: Levels of a term's postings by what they add to a score.
+LEVELS = 16
+
+
+def saturation(tf: Column | float, doc_len: Column | float, average: Column | float) -> Column:
+    """What a posting adds to a score for each unit of its term's weight, below K1 + 1: more with each occurrence,
+    less in longer documents."""
+    norm = F.greatest(doc_len / average, F.lit(MIN_NORM)) if isinstance(doc_len, Column) else max(doc_len / average, MIN_NORM)
+    return tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * norm))
+
+
 class SearchIndex:
     """A stored index: documents, postings by term and by stem, vocabulary, spellings, lengths, statistics.
 
-    Postings, spellings and vocabulary lie sorted in files by ranges of (term, document), so a query reads the row
-    groups of its terms and a term that most documents hold spans as many files as it needs.
+    Postings, spellings and vocabulary lie sorted in files by ranges of the term, so a query reads the row
+    groups of its terms and a term that most documents hold spans as many files as it needs. Within a term
+    postings lie by levels of what they add to a score, whose counts and bounds are stored beside them.
     `by` names a column (a peer) that has statistics of its own.
 
     The tables consist of segments: `write_index` writes the first, `update_index` adds one for each delta with the
@@ -224,14 +238,20 @@ def _write_segment(docs: DataFrame, path: str, number: int, weighted: bool, by:
         return table.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     stored = keep(docs, "docs")
-    counts = keep(term_counts(fields(stored, weighted)), "counts")
+    counts = pin(term_counts(fields(stored, weighted)))
+    total = counts.count()
+    files = max(-(-total // POSTINGS_PER_FILE), min(SPREAD, -(-total // SPREAD_FILE)), 1)
+    # By document, for what a few of them hold.
+    counts = keep(in_ranges(counts, "doc", "term"), "counts")
     lengths = counts.groupBy("doc").agg(F.sum("tf").alias("doc_len"))
     spoken = F.coalesce("lang", F.lit(language)) if "lang" in stored.columns else F.lit(language)
     lengths = keep(lengths.join(stored.select("doc", *group, spoken.alias("lang")), "doc"), "lengths")
-    total = counts.count()
-    files = max(-(-total // POSTINGS_PER_FILE), min(SPREAD, -(-total // SPREAD_FILE)), 1)
     # Sorted by term, the postings are what the other tables are made of.
-    postings = keep(in_ranges(counts.join(lengths, "doc"), "term", "doc"), "postings")
+    average = lengths.agg(F.avg("doc_len")).scalar()
+    rows = counts.join(lengths, "doc").withColumn("level", F.floor(LEVELS * saturation(F.col("tf"), F.col("doc_len"), average) / (K1 + 1)).cast("int"))
+    postings = keep(in_ranges(rows, "term", "level", "doc"), "postings")
+    levels = postings.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len"))
+    keep(in_ranges(levels, "term", "level"), "levels")
     terms = keep(vocabulary(postings), "terms")
     stems = postings.join(with_stems(terms), ["term", "lang"])
     stems = stems.groupBy("doc", "doc_len", *group, "stem").agg(F.sum("tf").alias("tf"))

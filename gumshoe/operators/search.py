@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -15,14 +17,14 @@ from gumshoe.functions.bounds import fuzzy_bound, text_words
 from gumshoe.functions.text import context, fold_accents, fold_text, sanitize_label
 from gumshoe.operators.attributes import source_url
 from gumshoe.operators.filters import get_events, get_idents, get_orgs
-from gumshoe.operators.index import CUTS, SearchIndex, cut_variants, fields, search_tokens, term_counts
+from gumshoe.operators.index import CUTS, SearchIndex, cut_variants, fields, saturation, search_tokens, term_counts
 from gumshoe.operators.ranking import join_same, sort_dated
 from gumshoe.plans.report import get_sources
 from gumshoe.quest import Quest
 from gumshoe.session import pin
 
-# BM25 constants, the floor of the length norm, and the smallest idf.
-K1, B, MIN_NORM, MIN_IDF = 1.2, 0.3, 0.5, 1e-6
+# Fixed value: the smallest idf.
+MIN_IDF = 1e-6
 
 
 def query_words(query: str) -> list[str]:
@@ -78,9 +80,7 @@ def scored_hits(hits: DataFrame, stats: DataFrame, n_words: int, op: str = "or",
     idf = F.greatest(F.log((F.col("n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(MIN_IDF))
     # One row per query word (and peer).
     weights = freq.select(*group, "term", idf.alias("_idf"), F.col("avg").alias("_avg"))
-    norm = F.greatest(F.col("doc_len") / F.col("_avg"), F.lit(MIN_NORM))
-    tf = F.col("tf")
-    weight = F.col("_idf") * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * norm))
+    weight = F.col("_idf") * saturation(F.col("tf"), F.col("doc_len"), F.col("_avg"))
     scored = join_same(hits, weights, [*group, "term"])
     scored = scored.groupBy("doc", *group).agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("_terms"))
     if op.lower() == "and":
@@ -112,6 +112,72 @@ def search_index(
     return found.withColumn("percent", 100 * F.col("score") / found.agg(F.max("score")).scalar())
 
 
+#: Values of one condition that Parquet readers test one by one; more would become a range.
+PUSHED = 8
+#: Documents that are looked up by name at the end of a pruned search, and how the rows read grow each time.
+LOOKED_UP, GROWTH = 512, 4
+
+
+@dataclass
+class Pruned:
+    """The k best documents (doc, score), how many postings were read for them, and of how many."""
+
+    best: DataFrame
+    read: int
+    held: int
+
+
+def search_top(index: SearchIndex, query: str, k: int = 10) -> Pruned:
+    """The k documents with the highest score of any of the query's words, ties by name: the same as the first k of
+    `search_index`, without reading postings that cannot matter.
+
+    The levels of the words' postings have bounds of what they add. The highest are read first. A document in
+    none of them scores at most the sum of the highest bounds left; once the k-th partial score is
+    above that, only documents already met count, and of them those whose own bound reaches it. When they
+    are few, their rows are looked up by document; else more levels are read, in the end all.
+    """
+    words, spark = query_words(query), index.spark
+    n, average = index.stats().select("n", "avg").first()
+    df = {r["term"]: r["df"] for r in index.vocabulary().where(F.col("term").isin(*words)).collect()}
+    empty = spark.createDataFrame([], "doc string, score double")
+    if not df:
+        return Pruned(empty, 0, 0)
+    idf = {t: max(math.log((n - d + 0.5) / (d + 0.5)), MIN_IDF) for t, d in df.items()}
+    levels = index.table("levels").where(F.col("term").isin(*df)).groupBy("term", "level")
+    # At most LEVELS rows for each word of the query.
+    rows = levels.agg(F.sum("n").alias("n"), F.max("most_tf").alias("tf"), F.min("least_len").alias("len")).collect()
+    bounds = sorted(((idf[r["term"]] * saturation(r["tf"], r["len"], average) * (1 + 1e-9), r["term"], r["level"], r["n"]) for r in rows), reverse=True)
+    held, taken, wanted = sum(b[3] for b in bounds), 0, GROWTH * k
+    weight = F.create_map(*[F.lit(x) for t in idf for x in (t, idf[t])])[F.col("term")]
+    add = weight * saturation(F.col("tf"), F.col("doc_len"), F.lit(float(average)))
+    read = 0
+    while True:
+        while taken < len(bounds) and (sum(b[3] for b in bounds[:taken]) < wanted):
+            taken += 1
+        opened: dict[str, list[int]] = {}
+        for _, term, level, _ in bounds[:taken]:
+            opened.setdefault(term, []).append(level)
+        left = {t: max((b[0] for b in bounds[taken:] if b[1] == t), default=0.0) for t in idf}
+        read += sum(b[3] for b in bounds[:taken])
+        chosen = reduce(Column.__or__, [(F.col("term") == t) & F.col("level").isin(*own) for t, own in opened.items()])
+        rest = F.create_map(*[F.lit(x) for t in left for x in (t, left[t])])[F.col("term")]
+        met = index.live("postings").where(chosen).groupBy("doc").agg(F.sum(add).alias("part"), F.sum(rest).alias("known"))
+        if taken == len(bounds):
+            best = met.select("doc", F.col("part").alias("score")).orderBy(F.desc("score"), "doc").limit(k)
+            return Pruned(best, read, held)
+        met = pin(met)
+        first = met.orderBy(F.desc("part")).limit(k).agg(F.min("part"), F.count(F.lit(1))).first()
+        if first[1] == k and first[0] > sum(left.values()):
+            able = met.where(F.col("part") + sum(left.values()) - F.col("known") >= first[0] * (1 - 1e-9)).select("doc")
+            names = [r["doc"] for r in able.limit(LOOKED_UP + 1).collect()]
+            if len(names) <= LOOKED_UP:
+                asked = reduce(Column.__or__, [F.col("doc").isin(*names[at : at + PUSHED]) for at in range(0, len(names), PUSHED)])
+                counted = index.live("counts").where(asked & F.col("term").isin(*df)).select("doc", "term", "tf")
+                exact = counted.join(index.live("lengths").where(asked).select("doc", "doc_len"), "doc").groupBy("doc").agg(F.sum(add).alias("score"))
+                return Pruned(exact.orderBy(F.desc("score"), "doc").limit(k), read + len(names) * len(df), held)
+        wanted = GROWTH * max(wanted, sum(b[3] for b in bounds[:taken]))
+
+
 def search_bm25(
     docs: DataFrame,
     query: str,
@@ -175,10 +241,6 @@ def search_synonyms(docs: DataFrame, name: str) -> DataFrame:
     return synonym_pairs(docs).where(F.col("variant") == " ".join(query_words(name))).select("doc", "other")
 
 
-#: Values of one condition that Parquet readers test one by one; more would become a range.
-PUSHED = 8
-
-
 def search_spelling(spelling: DataFrame, query: str, distance: int = CUTS) -> DataFrame:
     """(word, correction): per query word the nearest term within `distance`, ties by document frequency then
     alphabet; the word itself when it is known.
