@@ -366,7 +366,7 @@ def search_sort(spark, sf):
 def snippets(spark, sf):
     stored = stored_index(spark, sf)
     found = search.search_index(stored, QUERY).withColumn("score", F.round("score", 9))
-    return search.snippets(search.result_page(found, limit=20), stored.docs(), "que", 30, "").select("doc", "context")
+    return search.indexed_snippets(stored, search.result_page(found, limit=20), "que", 30, "").select("doc", "context")
 
 
 @query("facet_terms", with_views("select distinct lower(unnest(cats)) as value from corpus", "corpus"))

@@ -158,10 +158,14 @@ def context(text: Column, query: str, distance: int = 60, highlight: str = "") -
     """Snippets of `distance` characters round the first hit of each query word, joined by dots.
 
     Every highlighted word is wrapped in the whole snippet built so far."""
-    out = F.lit("")
     lowered = F.lower(text)
-    for word in query.split(" "):
-        at = F.instr(lowered, word.lower()) - 1
+    return context_at(text, [(word, F.instr(lowered, word.lower()) - 1) for word in query.split(" ")], distance, highlight)
+
+
+def context_at(text: Column, hits: Sequence[tuple[str, Column]], distance: int = 60, highlight: str = "") -> Column:
+    """The same for words whose first places are known, -1 where there is none."""
+    out = F.lit("")
+    for word, at in hits:
         low = F.greatest(at - distance, F.lit(0))
         high = F.least(at + distance, F.length(text))
         piece = F.substring(text, low + 1, high - low)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,6 +249,7 @@ def _write_segment(docs: DataFrame, path: str, number: int, weighted: bool, by:
     lengths = counts.groupBy("doc").agg(F.sum("tf").alias("doc_len"))
     spoken = F.coalesce("lang", F.lit(language)) if "lang" in stored.columns else F.lit(language)
     lengths = keep(lengths.join(stored.select("doc", *group, spoken.alias("lang")), "doc"), "lengths")
+    keep(in_ranges(word_places(stored), "doc", "word"), "places")
     # Sorted by term, the postings are what the other tables are made of.
     average = lengths.agg(F.avg("doc_len")).scalar()
     rows = counts.join(lengths, "doc").withColumn("level", F.floor(LEVELS * saturation(F.col("tf"), F.col("doc_len"), average) / (K1 + 1)).cast("int"))
@@ -310,6 +314,34 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("df"))
 
 
+def word_places(docs: DataFrame) -> DataFrame:
+    """(doc, word, at): where each distinct word of the text, in lower case, first stands, in characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: list[str] = []
+            first: list[tuple[str, int]] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found: dict[str, int] = {}
+                for word in WORD.finditer(text or ""):
+                    found.setdefault(word.group(), word.start())
+                names += [doc] * len(found)
+                first += found.items()
+                if len(first) > 500_000:
+                    yield _places(names, first)
+                    names, first = [], []
+            yield _places(names, first)
+
+    return docs.select("doc", F.lower("data").alias("text")).mapInArrow(run, "doc string, word string, at bigint")
+
+
+WORD = re.compile(r"\w+")
+
+
+def _places(names: list[str], first: list[tuple[str, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(names, pa.string()), pa.array([w for w, _ in first], pa.string()), pa.array([at for _, at in first], pa.int64())], names=["doc", "word", "at"])
+
+
 #: Letters cut from a word to find its neighbours, and letters at its beginning that are cut from.
 CUTS, HEAD = 2, 7
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from gumshoe.functions.arrays import unnest
 from gumshoe.functions import similarity
 from gumshoe.functions.bounds import fuzzy_bound, text_words
-from gumshoe.functions.text import context, fold_accents, fold_text, sanitize_label
+from gumshoe.functions.text import context, context_at, fold_accents, fold_text, sanitize_label
 from gumshoe.operators.attributes import source_url
 from gumshoe.operators.filters import get_events, get_idents, get_orgs
-from gumshoe.operators.index import CUTS, SearchIndex, cut_variants, fields, saturation, search_tokens, term_counts
+from gumshoe.operators.index import CUTS, WORD, SearchIndex, cut_variants, fields, saturation, search_tokens, term_counts
 from gumshoe.operators.ranking import join_same, sort_dated
 from gumshoe.plans.report import get_sources
 from gumshoe.quest import Quest
@@ -171,7 +171,7 @@ def search_top(index: SearchIndex, query: str, k: int = 10) -> Pruned:
             able = met.where(F.col("part") + sum(left.values()) - F.col("known") >= first[0] * (1 - 1e-9)).select("doc")
             names = [r["doc"] for r in able.limit(LOOKED_UP + 1).collect()]
             if len(names) <= LOOKED_UP:
-                asked = reduce(Column.__or__, [F.col("doc").isin(*names[at : at + PUSHED]) for at in range(0, len(names), PUSHED)])
+                asked = named(names)
                 counted = index.live("counts").where(asked & F.col("term").isin(*df)).select("doc", "term", "tf")
                 exact = counted.join(index.live("lengths").where(asked).select("doc", "doc_len"), "doc").groupBy("doc").agg(F.sum(add).alias("score"))
                 return Pruned(exact.orderBy(F.desc("score"), "doc").limit(k), read + len(names) * len(df), held)
@@ -285,6 +285,31 @@ def snippets(page: DataFrame, docs: DataFrame, query: str, distance: int = 60, h
     return rows.withColumn("context", context(F.coalesce("data", F.lit("")), query, distance, highlight)).drop("data")
 
 
+def named(docs: Sequence[str]) -> Column:
+    """Condition for the rows of a few documents that Parquet readers can test."""
+    chunks = [F.col("doc").isin(*docs[at : at + PUSHED]) for at in range(0, len(docs), PUSHED)]
+    return reduce(Column.__or__, chunks, F.lit(False))
+
+
+def indexed_snippets(index: SearchIndex, page: DataFrame, query: str, distance: int = 60, highlight: str = "<b>%s</b>") -> DataFrame:
+    """`snippets` for a page of results, from the stored places of words: the rows of its documents are read, their
+    texts are cut and not searched. A query word stands where the first word that contains it does; one with
+    other characters is looked for in the text."""
+    page = pin(page)
+    names = [r["doc"] for r in page.select("doc").distinct().collect()]  # a page
+    words = list(dict.fromkeys(w for w in query.split(" ") if WORD.fullmatch(w)))
+    low = {w: w.lower() for w in words}
+    at = [F.min(F.when(F.instr("word", low[w]) > 0, F.col("at") + F.instr("word", low[w]) - 1)).alias(f"_at{i}") for i, w in enumerate(words)]
+    docs = index.docs().where(named(names)).select("doc", F.coalesce("data", F.lit("")).alias("_data"))
+    if at:
+        docs = docs.join(index.live("places").where(named(names)).groupBy("doc").agg(*at), "doc", "left")
+    data = F.col("_data")
+    place = {w: F.coalesce(f"_at{i}", F.lit(-1)) for i, w in enumerate(words)}
+    hits = [(w, place[w] if w in place else F.instr(F.lower(data), w.lower()) - 1) for w in query.split(" ")]
+    found = docs.select("doc", context_at(data, hits, distance, highlight).alias("context"))
+    return page.join(found, "doc", "left").withColumn("context", F.coalesce("context", context(F.lit(""), query, distance, highlight)))
+
+
 def search_fuzzy(found: DataFrame, query: str, threshold: float = 70.0) -> DataFrame:
     """Rerank the results by string likeness of title and description. Every result that can reach the threshold
     by an upper bound of its letter and word counts is scored, in Arrow batches; a page is cut from the
