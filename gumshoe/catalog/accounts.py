@@ -323,10 +323,11 @@ _CHAIN = (
 )
 
 
-@query("thread_text", _CHAIN + "select root, did, max(depth)::int as replies, sha256(string_agg(text, chr(10) order by depth)) as digest from chain group by 1, 2")
+@query("thread_text", _CHAIN + "select root, did, (depth // 4)::int as part, max(depth)::int as replies, sha256(string_agg(text, chr(10) order by depth)) as digest from chain group by 1, 2, 3")
 def thread_text(spark, sf):
-    out = social.thread_text(_replies(spark, sf))
-    return out.select("root", "did", "replies", F.sha2("text", 256).alias("digest"))
+    """The texts of all threads, four posts to a part."""
+    out = social.thread_text(_replies(spark, sf), posts=4)
+    return out.select("root", "did", "part", "replies", F.sha2("text", 256).alias("digest"))
 
 
 @query("thread_rows", _CHAIN + "select root, did, depth::int as step, last as cid, sha256(text) as digest from chain")

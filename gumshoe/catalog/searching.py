@@ -311,14 +311,13 @@ def search_fuzzy(spark, sf):
 
 
 def _names(spark, sf):
-    """Idents named by the first two words of each conversation turn, each name once."""
-    turns = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.slice(tokens(col("text")), 1, 2).alias("w")
-    )
-    label = F.initcap(F.array_join("w", " "))
+    """Idents named by the two longest words of each whole conversation turn, the first by the alphabet where
+    they are as long."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(tokens(col("text"))).alias("w"))
+    longest = F.slice(F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 2)["x"]
     return turns.select(
         F.concat_ws("_", lit("ident"), col("conv_id").cast("string"), col("turn").cast("string")).alias("name"),
-        label.alias("label"),
+        F.initcap(F.array_join(longest, " ")).alias("label"),
     )
 
 

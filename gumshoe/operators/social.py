@@ -276,11 +276,16 @@ def thread_rows(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("root", "did", "step", "cid", "text"), circles.select(F.col("node").alias("cid"))
 
 
-def thread_text(replies: DataFrame) -> DataFrame:
-    """(root, did, text, replies): the same chains with their texts joined by lines, for threads that
-    fit a cell; `thread_rows` gives them in rows."""
+#: Posts of a thread whose texts share a cell.
+PART_POSTS = 256
+
+
+def thread_text(replies: DataFrame, posts: int = PART_POSTS) -> DataFrame:
+    """(root, did, part, text, replies): the same chains with their texts joined by lines, so many posts to a part,
+    and the step of a part's last one. However long a thread is, no task gathers more than a part of it."""
     rows, _ = thread_rows(replies)
-    return rows.groupBy("root", "did").agg(
+    parts = rows.withColumn("part", F.call_function("div", F.col("step"), F.lit(posts)).cast("int"))
+    return parts.groupBy("root", "did", "part").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("step", "text")))["text"], "\n").alias("text"),
         F.max("step").alias("replies"),
     )
