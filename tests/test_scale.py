@@ -198,3 +198,22 @@ def test_long_thread(spark):
     parts = thread_text(replies).orderBy("part").collect()
     assert [(r.part, r.replies) for r in parts] == [(0, 255), (1, 299)]
     assert "\n".join(r.text for r in parts).split("\n") == [str(i) for i in range(300)]
+
+
+def test_large_tables_are_dealt_out(spark, small_dir, monkeypatch):
+    """A table beyond a row group has as many tasks as its bytes ask for, and all of its rows."""
+    from gumshoe.sources import tables
+
+    monkeypatch.setattr(tables, "file_bytes", lambda *_: 200 << 20)
+    dealt = tables.texts(spark, small_dir, "documents", "doc_id")
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.count() == tables.table(spark, small_dir, "documents").count()
+    assert tables.texts(spark, small_dir, "documents", "doc_id", large=False).rdd.getNumPartitions() < 50
+
+
+def test_letters_are_folded_where_there_are_any(spark):
+    from gumshoe.functions.text import _folded, first_tokens, fold_accents, tokens
+
+    texts = ["plain words", "", None, " Éque  ñandú é ", "Σίσυφος ß æŒ", "Жук объект", "日本 İstanbul", "x" * 500 + " a b c", " ".join("ab%d" % i for i in range(300)), "é-" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(fold_accents(F.col("t")).alias("a"), _folded(F.col("t")).alias("b"), first_tokens(F.col("t"), 7).alias("c"), F.slice(tokens(F.col("t")), 1, 7).alias("d")).collect():
+        assert r.a == r.b and r.c == r.d
