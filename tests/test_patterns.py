@@ -58,3 +58,14 @@ def test_substrings_of_a_long_text(spark):
     docs = spark.createDataFrame([("s", "Word, " * 200_000 + "Iran!")], "source string, text string")
     words = spark.createDataFrame([("iran", "c.ir"), ("word  word", "c.w"), ("ran ", "c.r")], "phrase string, key string")
     assert sorted(tuple(r) for r in match_substrings(docs, words).collect()) == [("s", "c.ir", 1), ("s", "c.r", 1), ("s", "c.w", 1)]
+
+
+def test_only_found_phrases_are_shuffled(spark):
+    """Mentions of short phrases come from one pass over the texts: no run of words is made a row."""
+    from gumshoe.operators import mentions
+
+    words = spark.createDataFrame([("one two", "k1"), ("two", "k2"), ("two", "k3"), ("", "k4"), (" two", "k5")], "phrase string, key string")
+    docs = spark.createDataFrame([("a", "x one two two one two y"), ("a", "x two y"), ("b", "two one"), ("c", None), ("d", ""), (None, "x two y")], "source string, text string")
+    found = mentions.match_phrases(docs, words, occurrences=True)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", "k1", 1, 2), ("a", "k2", 1, 4), ("a", "k3", 1, 4), (None, "k2", 1, 1), (None, "k3", 1, 1)], key=str)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
