@@ -158,3 +158,34 @@ def test_snippets_from_places(spark, tmp_path):
             want = {r.doc: r.context for r in search.snippets(page, docs, query, 8, mark).collect()}
             got = {r.doc: r.context for r in search.indexed_snippets(one, page, query, 8, mark).collect()}
             assert got == want, query
+
+
+def test_words_are_counted_without_a_shuffle(spark):
+    """Counts equal the grouped ones, weighted or not, and no word moves; no length, stem or place needs a join."""
+    rows = [("a", "Éque que", "one two one", "x|y", "que la que " * 300), ("b", "", None, None, None), ("ü ß", None, "Ω", None, "日本 日本 İ ﬁ"), ("", "", "", "", "")]
+    docs = spark.createDataFrame(rows * 1, "doc string, title string, description string, altlabels string, data string")
+    for weighted in (False, True):
+        got = index.counted_rows(docs, weighted)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = index.index_terms(index.fields(docs, weighted))
+        columns = ["doc", "term", "tf", "doc_len"]
+        assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+
+
+def test_repeated_and_missing_names(spark, tmp_path):
+    """Rows of one name are one document in the counts; rows without a name are only stored."""
+    rows = [("a", "p", "que la"), ("a", "q", "que"), ("b", "p", "la la"), (None, "p", "que"), (None, "p", "la")]
+    docs = spark.createDataFrame([(d, "", "", None, p, x) for d, p, x in rows], "doc string, title string, description string, altlabels string, peer string, data string")
+    docs = docs.withColumns({"url": F.lit("http://x"), "cats": F.array(F.lit("a")), "type": F.lit("t"), "country": F.lit("c"), "begin": F.lit(None).cast("date")})
+    one = index.write_index(docs, str(tmp_path / "one"), by="peer")
+    assert sorted((r.doc, r.tf, r.doc_len, r.peer) for r in one.hits(["que"]).collect()) == [("a", 2, 5, "p"), ("a", 2, 5, "q")]
+    assert sorted((r.doc, r.term, r.tf) for r in one.live("counts").where("term = 'la'").collect()) == [("a", "la", 1), ("b", "la", 2)]
+    assert one.docs().count() == 5 and sorted((r.doc, r.doc_len) for r in one.live("lengths").collect()) == [("a", 5), ("a", 5), ("b", 3)]
+
+
+def test_postings_are_stored_once(stored):
+    """Stems are terms beside their stems, not postings once more."""
+    import os
+
+    assert not os.path.isdir(os.path.join(stored.path, "stems"))
+    assert {r.stem for r in stored.table("stemmed").where("term = 'cities'").collect()} == {r.stem for r in stored.table("stemmed").where("term = 'city'").collect()}
