@@ -124,3 +124,17 @@ def test_dot_types(quest):
 def test_edge_name(spark):
     row = spark.range(1).selectExpr("'ident.a' a", "'knows' l", "'ident.b' b")
     assert row.select(edge_name("relation", "a", "l", "b")).first()[0] == "relation.ident.a__knows__ident.b"
+
+
+def test_report_reads_each_table_once(spark, quest):
+    """The reported rows of a table are written once and read from there; results as from the tables themselves."""
+    from gumshoe.operators import linked
+
+    report = build_report(quest, Params(cats=("test1",)))
+    inside = report.rows()
+    cut = linked.reported_tables(quest, inside)
+    for kind in KINDS:
+        assert cut.table(kind) is cut.table(kind) and (cut.table(kind).inputFiles() or not cut.table(kind).count())
+        assert sorted(r.name for r in cut.table(kind).collect()) == sorted(r.name for r in report.of(quest, kind).collect())
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(linked.report_rows(quest, report, cut)) == key(linked.report_rows(quest, report))
