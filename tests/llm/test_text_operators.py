@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from gumshoe.llm import html_text, language, toxicity
+from gumshoe.llm import bpe, html_text, language, toxicity
 from gumshoe.llm.bpe import decode_documents, encode_documents, replay_merges
 from gumshoe.llm.catalog import QUERIES
 from gumshoe.llm.common import table
@@ -56,6 +57,38 @@ def test_replay_equals_word_by_word():
         assert ids == enc._core_bpe.encode_single_piece(word.encode())
 
 
+def test_replay_in_waves_equals_one_by_one():
+    """Words of all lengths up to and beyond the bound of waves, also for ranks no training would give."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abc"), n)) for n in [*range(1, 71), *rng.integers(1, 12, 400)]] + ["a" * n for n in range(1, 70)]
+    made = sorted({"".join(rng.choice(list("abc"), rng.integers(2, 6))) for _ in range(80)})
+    ranks = {bytes([i]): i for i in range(256)} | {made[i].encode(): 256 + n for n, i in enumerate(rng.permutation(len(made)))}
+
+    def alone(word):
+        parts = [bytes([x]) for x in word]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[x] for x in parts]
+
+    assert replay_merges([t.encode() for t in texts], ranks) == [alone(t.encode()) for t in texts]
+    assert replay_merges([b"a" * 65, b"", b"ab"], ranks) == [alone(b"a" * 65), [], alone(b"ab")] and replay_merges([], ranks) == []
+
+
+def test_replay_of_many_words_takes_less_than_one_merge_at_a_time():
+    _, ranks = encoding()
+    rng = np.random.default_rng(2)
+    words = sorted({bytes(x).decode("latin-1").encode() for x in (rng.choice(list(b" aeinorst\xe9"), rng.integers(6, 15)).astype(np.uint8) for _ in range(30_000))})
+    merges = bpe.Merges(ranks)
+    start = time.process_time()
+    found = bpe.replay_bytes(words, merges)
+    middle = time.process_time()
+    expected = bpe.replay_long(words, ranks)
+    end = time.process_time()
+    assert found == [np.array(x, "<u4").tobytes() for x in expected]
+    assert middle - start < 0.6 * (end - middle)
+
+
 def test_encode_and_decode(odd, none):
     enc, _ = encoding()
     rows = decode_documents(encode_documents(odd, RANKS, public_tokenizers.PATTERN), RANKS).collect()
