@@ -99,3 +99,33 @@ def test_mentions_are_partitioned(spark, tmp_path):
     exports.write_mentions(mentions, str(tmp_path / "m"))
     back = spark.read.parquet(str(tmp_path / "m")).where("kind = 'idents'")
     assert [r.source for r in back.collect()] == ["s1"]
+
+
+def test_mention_report_has_every_kind(spark, tmp_path):
+    """Cities and countries belong to the inverted report as much as idents and orgs; it is written by kind."""
+    from __spark_entry__ import queries
+
+    words = "alpha beta gamma delta epsilonic zeta"
+    spark.createDataFrame([(1, words)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(7, f"so {words} end"), (8, "so zeta end"), (9, "none of them")]
+    docs = [(i, t, "en", "web", len(t)) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries()["sink_mentions"](spark, str(tmp_path))
+    got = {(r.kind, r.key, r.source) for r in rows.collect()}
+    assert got == {
+        ("idents", "ident.1", "source.d7"), ("orgs", "org.1", "source.d7"), ("cities", "city.1", "source.d7"),
+        ("countries", "country.1", "source.d7"), ("countries", "country.1", "source.d8"),
+    }
+    assert any("kind=cities" in f for f in rows.inputFiles())
+
+
+def test_match_kinds_agrees_with_each_kind(spark):
+    docs = spark.createDataFrame([("s1", "x red fox runs home y"), ("s2", "x fox red y")], "source string, text string")
+    one = spark.createDataFrame([("red fox", "org.a"), ("fox red", "org.a"), ("one two three four five", "org.b")], "phrase string, key string")
+    two = spark.createDataFrame([("red fox", "city.a"), ("runs", "city b")], "phrase string, key string")
+    from gumshoe.operators import mentions
+
+    got = sorted(tuple(r) for r in mentions.match_kinds(docs, orgs=one, cities=two).collect())
+    parts = mentions.mention_table(orgs=mentions.match_phrases(docs, one), cities=mentions.match_phrases(docs, two))
+    assert got == sorted(tuple(r) for r in parts.collect()) and len(got) == 4
