@@ -62,9 +62,7 @@ def _stored_rows(q):
 def src_entities(spark, sf):
     """A quest stored as JSON lines, every kind read back with the stated schema."""
     path = _scratch(spark)
-    q = quest_from_tables(spark, sf)
-    for kind in KINDS:
-        q.table(kind).write.json(os.path.join(path, kind))
+    exports.snapshot(quest_from_tables(spark, sf), path, KINDS, "json")
     return _stored_rows(stores.read_quest(spark, path, "json"))
 
 
