@@ -189,3 +189,23 @@ def test_postings_are_stored_once(stored):
 
     assert not os.path.isdir(os.path.join(stored.path, "stems"))
     assert {r.stem for r in stored.table("stemmed").where("term = 'cities'").collect()} == {r.stem for r in stored.table("stemmed").where("term = 'city'").collect()}
+
+
+def test_texts_are_gathered_once_for_a_list_of_sources(spark, monkeypatch):
+    """A source cited by many entities: its text is gathered for its list, not for each of them."""
+    from gumshoe.quest import KINDS, Quest, conform
+
+    cited = F.when(F.col("id") < 90, F.array(F.lit("source.a"))).when(F.col("id") < 96, F.array(F.lit("source.b"), F.lit("source.a")))
+    orgs = spark.range(100).select(F.concat(F.lit("org."), F.col("id").cast("string")).alias("name"), F.lit("l").alias("label"), cited.alias("sources"))
+    orgs = orgs.union(orgs.where("name = 'org.95'"))  # a name that comes twice has the sources of both rows
+    sources = spark.createDataFrame([("source.a", "a", "http://a"), ("source.b", "b", None)], "name string, label string, url string")
+    quest = Quest(**{k: conform({"orgs": orgs, "sources": sources}.get(k, orgs.limit(0)), k) for k in KINDS})
+    texts = spark.createDataFrame([("source.a", "one"), ("source.b", "two")], "source string, text string")
+    gathered = []
+    bodies = index._bodies
+    monkeypatch.setattr(index, "_bodies", lambda lists, *rest: gathered.append(lists.count()) or bodies(lists, *rest))
+    docs = index.build_docs(quest, texts, ("orgs",))
+    assert docs.count() == 101 and gathered == [3]
+    got = sorted((r.doc, r.url, r.data) for r in docs.collect() if r.doc in ("org.1", "org.94", "org.95", "org.99"))
+    twice = ("org.95", "http://a", "two\ntwo\none\none")
+    assert got == [("org.1", "http://a", "one"), ("org.94", "http://a", "two\none"), twice, twice, ("org.99", None, None)]
