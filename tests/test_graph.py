@@ -1,12 +1,15 @@
 """Filters, expansion and graph text on small hand-made quests."""
 
+import os
+
 import pytest
 
-from gumshoe.operators import expand, filters
+from gumshoe.operators import expand, filters, linked
 from gumshoe.operators.attributes import inherit_attrs
 from gumshoe.operators.filters import Params
 from gumshoe.plans.report import build_report, report_filter
-from gumshoe.quest import KINDS, Quest, conform, edge_name
+from gumshoe.quest import EDGE_ENDS, KINDS, Quest, conform, edge_name
+from gumshoe.session import _JOINS
 from gumshoe.sinks.exports import graph_dot
 
 STYLES = {
@@ -138,3 +141,89 @@ def test_report_reads_each_table_once(spark, quest):
         assert sorted(r.name for r in cut.table(kind).collect()) == sorted(r.name for r in report.of(quest, kind).collect())
     key = lambda rows: sorted(map(str, rows.collect()))
     assert key(linked.report_rows(quest, report, cut)) == key(linked.report_rows(quest, report))
+
+
+def _tangled(spark, seed=5):
+    """Names that come twice, ends that no table has, own and inherited categories."""
+    import random
+
+    draw = random.Random(seed)
+    cats = lambda: draw.sample(["test1", "test2", "test3"], draw.randint(0, 2))
+    orgs = [{"name": f"org.{i}", "label": "o", "cats": cats(), "sources": [f"source.{i}"]} for i in range(5)]
+    idents = [{"name": f"ident.{i % 14}", "label": "i", "cats": cats(), "orgs": draw.sample([f"org.{k}" for k in range(7)], draw.randint(0, 2)), "sources": [f"source.{i % 9}"]} for i in range(16)]
+    events = [{"name": f"event.{i}", "label": "e", "cats": cats(), "orgs": [f"org.{i % 6}"] * (i % 2), "sources": [f"source.{i % 4}"]} for i in range(12)]
+
+    def edges(prefix, a, b, start, stop):
+        out = []
+        for i in range(40):
+            x, y = f"{start}.{draw.randint(0, 16)}", f"{stop}.{draw.randint(0, 13)}"
+            out.append({"name": f"{prefix}.{i % 37}", "label": "l", a: x, b: y, "cats": cats() if i % 3 == 0 else [], "sources": [f"source.{i % 8}"] * (i % 2)})
+        return out
+
+    return make(
+        spark, orgs=orgs, idents=idents, events=events,
+        relations=edges("relation", "rfrom", "rto", "ident", "ident"), links=edges("link", "lfrom", "lto", "ident", "event"),
+        quotes=edges("quote", "qfrom", "qto", "event", "event"),
+        sources=[{"name": f"source.{i}", "label": "s"} for i in range(7)],
+    )
+
+
+@pytest.mark.parametrize("borders", [True, False])
+def test_kept_edges_look_each_end_up_once(spark, borders):
+    """The edges of `touching` over `get_edges`, with one join for each end instead of two."""
+    quest = _tangled(spark)
+    for kind, starts, stops in (("relations", "idents", "idents"), ("links", "idents", "events"), ("quotes", "events", "events")):
+        a, b = EDGE_ENDS[kind][:2]
+        starts, stops = (filters.filter_cats(quest.table(k), ["test1"]).select("name") for k in (starts, stops))
+        starts = starts.union(spark.createDataFrame([("ident.15",), ("ident.15",)], "name string"))
+        for cats, exclude in ((["test1"], ()), (["test2"], ["test3"]), ((), ())):
+            kept = expand.kept_edges(quest, kind, starts, stops, borders, cats, exclude)
+            edges = filters.get_edges(quest, kind, cats, exclude).select("name", a, b)
+            old = expand.touching(edges, a, b, starts, stops, borders)
+            assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, old.collect()))
+    kept = expand.kept_edges(quest, "relations", starts, starts, borders, ["test1"])
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
+
+
+def test_report_neighbours_by_one_join_for_each_kind(spark):
+    """Both ends of every linked row are reported; the end that a table row is needs no look-up."""
+    quest = _tangled(spark)
+    for params in (Params(cats=("test1",)), Params(cats=("test2",), borders=False)):
+        report = build_report(quest, params)
+        inside = {tuple(r) for r in report.rows().select("kind", "name").collect()}
+        side = lambda kind: kind.removesuffix("_from").removesuffix("_to")
+        near = [r for r in linked.linked_rows(quest).select("kind", "name", "linked_kind", "linked").collect()]
+        near = sorted(tuple(r) for r in near if (r.kind, r.name) in inside and (side(r.linked_kind), r.linked) in inside)
+        got = linked.report_neighbours(quest, report)
+        assert near and sorted(tuple(r) for r in got.select("kind", "name", "linked_kind", "linked").collect()) == near
+        counts = {}
+        for kind, name, linked_kind, _ in near:
+            key = (kind, name, side(linked_kind))
+            counts[key] = counts.get(key, 0) + 1
+        for r in linked.report_tables(quest, report).collect():
+            for kind in ("idents", "events", "relations", "links", "quotes", "sources"):
+                assert r["n_" + kind] == counts.get((r.kind, r.name, kind), 0)
+    # One for each column that names a far end; the citations of a kind serve both of their sides.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2 + 3 + 3 + 8
+
+
+def test_graph_text_is_ordered_from_a_written_table(spark):
+    """Ordering reads its input twice, so no join of large tables may stand below it."""
+    lines = graph_dot(_tangled(spark), Params(cats=("test1",)), STYLES)
+    assert "Join" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.count() > 20
+
+
+def test_no_shuffle_files_outlive_a_written_join(spark):
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for _, _, fs in os.walk(d.getPath()) for f in fs if f.startswith("shuffle_")}
+
+    quest, before = _tangled(spark), files()
+    report = build_report(quest, Params(cats=("test1",)))
+    linked.report_tables(quest, report)
+    left = files() - before
+    kept = {name: spark.conf.get(name) for name in _JOINS}
+    assert not left and kept["spark.sql.classic.shuffleDependency.fileCleanup.enabled"] == "false"
