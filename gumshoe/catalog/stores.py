@@ -512,7 +512,7 @@ def _edge(table_: str, a: str, b: str) -> str:
     ),
 )
 def sink_dot(spark, sf):
-    lines = exports.graph_dot(quest_from_tables(spark, sf), PARAMS, STYLES)
+    lines = exports.graph_dot(quest_from_tables(spark, sf, stored=True), PARAMS, STYLES)
     return lines.select("place.section", col("place.group").alias("grp"), "line")
 
 
